@@ -16,6 +16,7 @@ def changing_candidates(
     min_area: float | None = None, max_area: float | None = None,
 ) -> DataFrame:
     """Red-stable, bright objects with a positive first green value, with the brightness limit used."""
+    summary = materialise(summary)
     limit = exact_quantiles(summary, "day0_brightness", {"q": brightness_quantile})
     rows = summary.withColumn("brightness_threshold", limit.select("q").scalar()).where(
         (F.col("red_cv") <= red_cv_max)

@@ -45,24 +45,24 @@ def complete_rois(
     """Rows with both channels, of objects that have both channels on every required day.
 
     Valid rows on further days are kept. Without ``required_days`` every day seen in a valid row
-    (of the same ``by`` group) is required. The per-object set holds days only, so it stays small.
+    (of the same ``by`` group) is required. A window holds the days of one object only, and it shares
+    its partitioning with the windows of the steps that follow.
     """
     by = list(by)
     valid = wide.where(F.col("red").isNotNull() & F.col("green").isNotNull())
+    per_roi = W.partitionBy(*by, "roi_id")
     if required_days is not None:
         days = sorted({int(d) for d in required_days})
-        seen = F.size(F.collect_set(F.when(F.col("day").isin(days), F.col("day"))))
-        complete = valid.groupBy(*by, "roi_id").agg(seen.alias("_seen")).where(F.col("_seen") == len(days))
+        seen = F.size(F.collect_set(F.when(F.col("day").isin(days), F.col("day"))).over(per_roi))
+        return valid.withColumn("_seen", seen).where(F.col("_seen") == len(days)).drop("_seen")
+    counted = valid.withColumn("_seen", F.size(F.collect_set("day").over(per_roi)))
+    if by:
+        needed = valid.groupBy(*by).agg(F.size(F.collect_set("day")).alias("_need"))
+        counted = counted.join(needed, by)
     else:
-        seen = F.size(F.collect_set("day"))
-        per_roi = valid.groupBy(*by, "roi_id").agg(seen.alias("_seen"))
-        if by:
-            needed = valid.groupBy(*by).agg(F.size(F.collect_set("day")).alias("_need"))
-            complete = per_roi.join(needed, by).where(F.col("_seen") == F.col("_need"))
-        else:
-            needed = valid.agg(F.size(F.collect_set("day")).alias("_need"))
-            complete = per_roi.where(F.col("_seen") == needed.select("_need").scalar())
-    return valid.join(complete.select(*by, "roi_id"), [*by, "roi_id"], "left_semi")
+        needed = valid.agg(F.size(F.collect_set("day")).alias("_need"))
+        counted = counted.withColumn("_need", needed.select("_need").scalar())
+    return counted.where(F.col("_seen") == F.col("_need")).drop("_seen", "_need")
 
 
 def roi_window(by: Sequence[str] = ()) -> W:

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from longitrack.plans import catalogue_ratio, sql_ratio
+from longitrack.plans import catalogue_matching, catalogue_ratio, sql_matching, sql_ratio
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**catalogue_ratio.QUERIES}
+    return {**catalogue_ratio.QUERIES, **catalogue_matching.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**sql_ratio.SQL}
+    return {**sql_ratio.SQL, **sql_matching.SQL}

@@ -8,6 +8,7 @@ from longitrack.operators import fits as fit_ops, qc, ranking, ratio, trajectori
 from longitrack.operators.ordering import exact_quantiles
 from longitrack.params import GeometryQC
 from longitrack.plans import relations as rel
+from longitrack.session import materialise
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -77,7 +78,7 @@ def daily_linear_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fit_residuals(spark: SparkSession, sf: str) -> DataFrame:
-    m = rel.metrics(spark, sf)
+    m = materialise(rel.metrics(spark, sf))
     out = fit_ops.fit_residuals(m, fit_ops.daily_fits(m))
     return rounded(out.select(
         "roi_id", "day", "predicted_green_from_fit", "green_fit_residual", "green_fit_signed_distance",
@@ -86,7 +87,7 @@ def fit_residuals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def residual_sign_changes(spark: SparkSession, sf: str) -> DataFrame:
-    m = rel.metrics(spark, sf)
+    m = materialise(rel.metrics(spark, sf))
     return rounded(trajectories.residual_sign_changes(fit_ops.fit_residuals(m, fit_ops.daily_fits(m))))
 
 
@@ -138,7 +139,9 @@ def ranked_roi_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ranked_heatmap(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ranking.ranked_roi_days(rel.metrics(spark, sf), _top(spark, sf, "decreasing"), 30, ["selection_rank"])
+    m = materialise(rel.metrics(spark, sf))
+    top = ranking.top_changing(ratio.roi_summary(m), "decreasing", top_n=30, red_cv_max=0.35)
+    rows = ranking.ranked_roi_days(m, top, 30, ["selection_rank"])
     return rounded(ranking.ranked_heatmap(rows, "delta_log2_green_over_red", range(7)))
 
 
@@ -164,7 +167,7 @@ def size_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def size_filter(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = _sizes(spark, sf)
+    sizes = materialise(_sizes(spark, sf))
     return rounded(qc.within_size_bounds(sizes, qc.size_bounds(sizes)))
 
 

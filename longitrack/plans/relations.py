@@ -46,3 +46,64 @@ def metrics(spark: SparkSession, sf: str) -> DataFrame:
     from longitrack.operators.ratio import complete_rois, log_ratio_metrics
 
     return log_ratio_metrics(complete_rois(roi_day(spark, sf)), EPSILON)
+
+
+# --- point sets for matching --------------------------------------------------------------------
+
+# Fixed values of the mapping, shared with the SQL text.
+FIELD_SIZE = 1000
+SESSIONS = 4
+UM_PER_UNIT = 100.0
+OVERLAP_REACH_UM = 8.0
+PAIR = ["field_id", "index_a", "index_b"]
+
+
+def points(spark: SparkSession, sf: str) -> DataFrame:
+    """Object centroids: vector as object, its first three components as position.
+
+    A field of view holds a thousand consecutive vectors spread over four sessions, so the number of
+    fields grows with the table while a field keeps its size.
+    """
+    e = F.col("embedding")
+    return table(spark, sf, "embeddings").select(
+        F.floor(F.col("vec_id") / FIELD_SIZE).alias("field_id"),
+        (F.col("vec_id") % SESSIONS).cast("int").alias("session_index"),
+        F.col("vec_id").alias("label"),
+        (e[0].cast("double") * UM_PER_UNIT).alias("z_um"),
+        (e[1].cast("double") * UM_PER_UNIT).alias("y_um"),
+        (e[2].cast("double") * UM_PER_UNIT).alias("x_um"),
+        (F.col("label") + 1).cast("double").alias("area_voxels"),
+    )
+
+
+def sides(pts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every point once per session pair it belongs to, as first and as second session; gaps up to two."""
+    step = F.explode(F.array(F.lit(1), F.lit(2))).alias("_gap")
+    a = pts.select("*", step).withColumn("index_a", F.col("session_index")).withColumn(
+        "index_b", F.col("session_index") + F.col("_gap")
+    )
+    b = pts.select("*", step).withColumn("index_b", F.col("session_index")).withColumn(
+        "index_a", F.col("session_index") - F.col("_gap")
+    )
+    return (
+        a.where(F.col("index_b") < SESSIONS).drop("_gap", "session_index"),
+        b.where(F.col("index_a") >= 0).drop("_gap", "session_index"),
+    )
+
+
+def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Overlap evidence: dice falls linearly to zero at the reach."""
+    from longitrack.operators.spatial import radius_join
+
+    near = radius_join(a, b, OVERLAP_REACH_UM, OVERLAP_REACH_UM, PAIR)
+    dice = 1.0 - F.col("distance_um") / OVERLAP_REACH_UM
+    return near.select(*PAIR, F.col("a.label").alias("label_a"), F.col("b.label").alias("label_b"), dice.alias("dice")).withColumn(
+        "iou", F.col("dice") / (2.0 - F.col("dice"))
+    )
+
+
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    from longitrack.operators.candidates import candidate_pairs
+
+    a, b = sides(points(spark, sf))
+    return candidate_pairs(a, b, overlaps(a, b), pair=PAIR)
