@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from longitrack.session import materialise
 
 AXES = ("z_um", "y_um", "x_um")
-LEAF_POINTS = 16
+LEAF_POINTS = 64
 LEVELS_PER_PASS = 6
 DEEPEST_LEVEL = 48
 
@@ -98,13 +98,12 @@ def knn_join(
         .groupBy(*by, *AXES)
         .agg(F.sort_array(F.collect_list("label")).alias("_labels"))
     )
-    merged = materialise(merged)
     box = merged.groupBy(*by).agg(
         *[F.min(a).alias(f"_min_{a}") for a in AXES],
         F.greatest(*[F.max(a) - F.min(a) for a in AXES], F.lit(1e-9)).alias("_side"),
     )
-    box = materialise(box)
     points = materialise(merged.join(box, by))
+    box = points.select(*by, *[f"_min_{a}" for a in AXES], "_side").distinct()
     # Cells count labels through their positions; every position holds at least one label.
     tree = _octree(points, by, max(leaf_points, k))
     depth = tree.agg(F.max("_level")).first()[0] or 0
@@ -145,19 +144,35 @@ def knn_join(
             stepped.where("_leaf").select(*spot_columns, F.lit(level).alias("_level"), *cell, "_near", "_bound")
         )
         open_cells = stepped.where(~F.col("_leaf")).select(*spot_columns, "_bound", *cell)
-    final = F.min("_bound").over(per_query)
-    leaves = leaves.withColumn("_final", final).where(F.col("_near") <= F.col("_final"))
+    bound = F.min("_bound").over(per_query)
+    leaves = leaves.withColumn("_bound", bound).where(F.col("_near") <= F.col("_bound"))
     leaf_points_table = (
         points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(int(depth)))))
         .withColumn("_cells", F.struct(*[_cell(a, F.col("_level")).alias(c) for a, c in zip(AXES, cell)]))
         .select(*by, "_level", "_cells.*", F.struct(*AXES).alias("t"), "_labels")
         .join(tree.where("_leaf").select(*by, "_level", *cell), [*by, "_level", *cell], "left_semi")
     )
-    found = (
-        leaves.select(*by, "_level", *cell, F.struct(*AXES).alias("q"))
-        .join(leaf_points_table, [*by, "_level", *cell])
-        .select(*by, "q", distance("q", "t").alias("distance_um"), F.explode("_labels").alias("neighbour"))
-    )
+
+    def measured(cells: DataFrame) -> DataFrame:
+        pairs = cells.select(*by, "_level", *cell, F.struct(*AXES).alias("q")).join(leaf_points_table, [*by, "_level", *cell])
+        return pairs.select(*by, "q", distance("q", "t").alias("distance_um"), F.explode("_labels").alias("neighbour"))
+
+    if depth > 1:
+        # The nearest leaf alone gives a far tighter bound than any cell corner.
+        leaves = materialise(leaves)
+        nearest_leaf = W.partitionBy(*by, *AXES).orderBy("_near", "_level", *cell)
+        first = measured(leaves.withColumn("_r", F.row_number().over(nearest_leaf)).where(F.col("_r") == 1))
+        by_distance = W.partitionBy(*by, "q").orderBy("distance_um")
+        tight = (
+            first.withColumn("_r", F.row_number().over(by_distance))
+            .where(F.col("_r") == k)
+            .select(*by, *[F.col(f"q.{x}").alias(x) for x in AXES],
+                    (F.col("distance_um") * F.col("distance_um") * (1 + 1e-9)).alias("_tight"))
+        )
+        leaves = leaves.join(tight, [*by, *AXES], "left").where(
+            F.col("_tight").isNull() | (F.col("_near") <= F.col("_tight"))
+        )
+    found = measured(leaves)
     order = W.partitionBy(*by, "q").orderBy("distance_um", "neighbour")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     best = best.select(*by, *[F.col(f"q.{a}").alias(a) for a in AXES], "rank", "neighbour", "distance_um")

@@ -107,3 +107,49 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
     a, b = sides(points(spark, sf))
     return candidate_pairs(a, b, overlaps(a, b), pair=PAIR)
+
+
+# --- voxels -------------------------------------------------------------------------------------
+
+def grid_voxels(spark: SparkSession, sf: str) -> DataFrame:
+    """Two labelled sessions, one voxel per order; the label is the order's lowest supplier.
+
+    In session ``b`` every fifth order belongs to the next supplier, which gives large and small overlaps.
+    """
+    k = F.col("l_orderkey")
+    orders = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.min("l_suppkey").alias("s"),
+        F.sum("l_tax").alias("tax"),
+        F.sum("l_discount").alias("discount"),
+    )
+    session = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("session_id")
+    moved = F.when((F.col("session_id") == "b") & (k % 5 == 0), F.col("s") + 1).otherwise(F.col("s"))
+    return orders.select("*", session).select(
+        "session_id", (k % 16).cast("int").alias("z"), (F.floor(k / 16) % 128).cast("int").alias("y"),
+        F.floor(k / 2048).cast("int").alias("x"), moved.alias("label"), F.col("tax").alias("red"), F.col("discount").alias("green"),
+    )
+
+
+def block_voxels(spark: SparkSession, sf: str) -> DataFrame:
+    """Compact regions with ragged borders: 8 x 8 pixel blocks, filled where an order is finished."""
+    k = F.col("o_orderkey")
+    y, x = (F.floor(k / 4) % 64).cast("int"), F.floor(k / 256).cast("int")
+    return table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(
+        F.lit("a").alias("session_id"), (k % 4).cast("int").alias("z"), y.alias("y"), x.alias("x"),
+        (1 + F.floor(y / 8) + 8 * F.floor(x / 8)).alias("label"), F.col("o_totalprice").alias("red"),
+    )
+
+
+def plane_voxels(spark: SparkSession, sf: str) -> DataFrame:
+    """Two sessions whose planes are offset by three: one voxel per order, plane by customer."""
+    session = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("session_id")
+    z = F.when(F.col("session_id") == "a", F.col("o_custkey") % 16).otherwise((F.col("o_custkey") + 3) % 16)
+    return table(spark, sf, "orders").select("*", session).select(
+        "session_id", z.cast("int").alias("z"), F.lit(0).alias("y"), F.col("o_orderkey").alias("x"), F.lit(1).alias("label")
+    )
+
+
+def volume_sizes(voxels: DataFrame, nz: int, ny: int) -> DataFrame:
+    return voxels.groupBy("session_id").agg((F.max("x") + 1).cast("int").alias("nx")).select(
+        "session_id", F.lit(nz).alias("nz"), F.lit(ny).alias("ny"), "nx"
+    )
