@@ -132,18 +132,24 @@ def graph_scores(
     )
 
 
-def graph_assignment(scored: DataFrame, pair: Sequence[str] = PAIR, finish_rows: int = FINISH_ROWS) -> DataFrame:
+def graph_assignment(
+    scored: DataFrame, pair: Sequence[str] = PAIR, finish_rows: int = FINISH_ROWS, fallback: DataFrame | None = None,
+) -> DataFrame:
     """Lock the anchors, then assign the rest greedily by refined score.
 
-    A pair without anchors keeps all its balanced candidates as they are.
+    A pair without anchors keeps its balanced candidates as they are, or only those that are among
+    the ``fallback`` matches (the balanced one-to-one matches, in a full run).
     """
     pair = list(pair)
     keys = [*pair, "label_a", "label_b"]
     rows = materialise(scored.where("graph_rule"))
     anchored = rows.where(F.col("graph_status") != "no_anchor_fallback")
-    fallback = rows.where(F.col("graph_status") == "no_anchor_fallback").withColumn(
-        "assignment_source", F.lit("baseline_fallback")
-    )
+    baseline = rows.where(F.col("graph_status") == "no_anchor_fallback")
+    if fallback is not None:
+        baseline = baseline.join(fallback.select(*keys), keys, "left_semi").withColumn(
+            "graph_status", F.lit("baseline_fallback")
+        )
+    baseline = baseline.withColumn("assignment_source", F.lit("baseline_fallback"))
     locked = anchored.where("is_graph_anchor").withColumn("assignment_source", F.lit("locked_anchor"))
     free = anchored.join(locked.select(*pair, "label_a"), [*pair, "label_a"], "left_anti").join(
         locked.select(*pair, "label_b"), [*pair, "label_b"], "left_anti"
@@ -151,7 +157,7 @@ def graph_assignment(scored: DataFrame, pair: Sequence[str] = PAIR, finish_rows:
     refined = free.join(greedy_keys(free, GRAPH_ORDER, pair, finish_rows), keys, "left_semi").withColumn(
         "assignment_source", F.lit("graph_refined")
     )
-    out = fallback.unionByName(locked).unionByName(refined)
+    out = baseline.unionByName(locked).unionByName(refined)
     return out.withColumn("assignment_policy", F.lit("graph")).withColumn("match_policy", F.lit("graph"))
 
 

@@ -114,8 +114,8 @@ def graph_scores(spark: SparkSession, sf: str) -> DataFrame:
 def _graph_matches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     a, b, rows, anchors, _ = _graph(spark, sf)
     scored = graph.graph_scores(rows, anchors, a, b, GraphParams(), PAIR)
-    balanced = assignment.greedy_one_to_one(rows, "balanced_rule", pair=PAIR)
-    return materialise(graph.graph_assignment(scored, PAIR)), materialise(balanced), rows
+    balanced = materialise(assignment.greedy_one_to_one(rows, "balanced_rule", pair=PAIR))
+    return materialise(graph.graph_assignment(scored, PAIR, fallback=balanced)), balanced, rows
 
 
 def graph_matches(spark: SparkSession, sf: str) -> DataFrame:

@@ -134,7 +134,7 @@ scored AS (
          CASE WHEN graph_status = 'scored' THEN med END AS med_s
   FROM gs)"""
 
-GRAPH = SCORES + f""",
+GRAPH = SCORES + BALANCED + f""",
 free AS (
   SELECT * FROM scored f WHERE balanced_rule AND graph_status IN ('scored', 'insufficient_support')
     AND NOT EXISTS (SELECT 1 FROM anchors q WHERE q.field_id = f.field_id AND q.index_a = f.index_a AND q.index_b = f.index_b
@@ -143,12 +143,11 @@ free AS (
     "refined_score DESC, sc_count DESC, med_s ASC NULLS LAST, dice DESC, distance_um, label_a, label_b",
 ) + f""",
 gm AS (
-  SELECT s.*, CASE WHEN graph_status = 'no_anchor_fallback' THEN 'baseline_fallback'
-                   WHEN graph_status = 'anchor' THEN 'locked_anchor' ELSE 'graph_refined' END AS assignment_source
-  FROM scored s LEFT JOIN ref USING ({K})
-  WHERE s.balanced_rule AND (graph_status IN ('no_anchor_fallback', 'anchor') OR ref.rn_ok))""".replace(
-    "LEFT JOIN ref USING", "LEFT JOIN (SELECT *, true AS rn_ok FROM ref) ref USING"
-)
+  SELECT s.* REPLACE (replace(graph_status, 'no_anchor_fallback', 'baseline_fallback') AS graph_status),
+         CASE WHEN graph_status = 'no_anchor_fallback' THEN 'baseline_fallback'
+              WHEN graph_status = 'anchor' THEN 'locked_anchor' ELSE 'graph_refined' END AS assignment_source
+  FROM scored s LEFT JOIN (SELECT *, true AS rn_ok FROM ref) ref USING ({K}) LEFT JOIN (SELECT *, true AS in_bal FROM bal) bal USING ({K})
+  WHERE s.balanced_rule AND (graph_status = 'anchor' OR ref.rn_ok OR (graph_status = 'no_anchor_fallback' AND in_bal)))"""
 
 
 def track_sql(base: str, matches: str) -> str:
@@ -349,7 +348,7 @@ SELECT {K}, graph_support_count, {r('graph_support_fraction', 'graph_residual_me
 SELECT {K}, graph_status, sc_count AS graph_support_count, {r('graph_score', 'refined_score')} FROM scored""",
     "graph_matches": f"""{REC}{GRAPH}
 SELECT {K}, graph_status, assignment_source, {r('refined_score')} FROM gm""",
-    "match_diff_full_outer": f"""{REC}{GRAPH}{BALANCED}
+    "match_diff_full_outer": f"""{REC}{GRAPH}
 SELECT {K}, coalesce(i, false) AS in_balanced, coalesce(j, false) AS in_graph, coalesce(i, false) <> coalesce(j, false) AS changed
 FROM (SELECT {K}, true AS i FROM bal) FULL JOIN (SELECT {K}, true AS j FROM gm) USING ({K})""",
     "track_nodes": f"""{REC}{BAL_TRACKS}
@@ -384,7 +383,7 @@ SELECT field_id, track_uid, n_cycle_comparable, n_cycle_agree, {r('cycle_agreeme
        used_gap_bridge OR has_cycle_conflict AS review_required,
        concat_ws(',', CASE WHEN used_gap_bridge THEN 'gap_bridge' END, CASE WHEN has_cycle_conflict THEN 'cycle_conflict' END) AS review_reasons
 FROM meta""",
-    "agreement_labels": f"""{REC}{track_sql(GRAPH + BALANCED, f"SELECT {K} FROM gm")},
+    "agreement_labels": f"""{REC}{track_sql(GRAPH, f"SELECT {K} FROM gm")},
 lab AS (SELECT t.*, b.label_a IS NOT NULL AS con FROM tedge t LEFT JOIN bal b USING ({K})),
 ag AS (SELECT field_id, track_session, track_label, count(*) AS n, count(*) FILTER (con) AS nc, count(*) FILTER (NOT con) AS ng
        FROM lab GROUP BY ALL)

@@ -38,7 +38,8 @@ def parse_names(files: DataFrame) -> DataFrame:
 def day_of(date_key: str | Column, start: str | Column) -> Column:
     """Days from the start date, both as YYYYMMDD."""
     start = F.lit(start) if isinstance(start, str) else start
-    return F.datediff(F.to_date(F.col(date_key) if isinstance(date_key, str) else date_key, "yyyyMMdd"), F.to_date(start, "yyyyMMdd"))
+    key = F.col(date_key) if isinstance(date_key, str) else date_key
+    return F.datediff(F.try_to_date(key, "yyyyMMdd"), F.to_date(start, "yyyyMMdd"))
 
 
 def start_date(parsed: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def calendar_weeks(lookup: DataFrame) -> DataFrame:
 
     ``week_start`` identifies the week; a week holds at most seven days.
     """
-    day = lookup.select("day", F.to_date(F.substring("name", 1, 8), "yyyyMMdd").alias("_d")).groupBy("day").agg(
+    day = lookup.select("day", F.try_to_date(F.substring("name", 1, 8), "yyyyMMdd").alias("_d")).groupBy("day").agg(
         F.min("_d").alias("_d")
     )
     return day.groupBy(F.to_date(F.date_trunc("week", "_d")).alias("week_start")).agg(
