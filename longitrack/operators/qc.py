@@ -158,7 +158,7 @@ def funnel(df: DataFrame, steps: dict[str, Column], by: Sequence[str] = ()) -> D
 
 def merge_reasons(existing: Column, additions: dict[str, Column]) -> Column:
     """Comma-joined review reasons: the existing ones, then each new one whose condition holds."""
-    trimmed = F.transform(F.split(F.coalesce(existing, F.lit("")), ","), F.trim)
+    trimmed = F.transform(F.split(F.coalesce(existing, F.lit("")), ","), lambda r: F.trim(r))
     old = F.filter(trimmed, lambda r: r != "")
     new = F.array(*[F.when(c, F.lit(name)) for name, c in additions.items()])
     fresh = F.filter(new, lambda r: r.isNotNull() & ~F.array_contains(old, r))
