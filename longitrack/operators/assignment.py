@@ -67,12 +67,13 @@ def greedy_keys(
 
     With a strict order the greedy result equals this fix-point: accept every candidate that is the
     best of both its labels, remove the labels, repeat. Each round is two aggregations and joins on
-    unique keys. What is left below ``finish_rows`` is finished pair by pair.
+    unique keys. What is left below ``finish_rows`` is finished pair by pair. ``candidates`` should be
+    a written table, as the rounds read it repeatedly.
     """
     pair = list(pair)
     keys = [*pair, "label_a", "label_b"]
     names = [c for c, _ in order]
-    left = materialise(candidates.select(*dict.fromkeys([*keys, *names])))
+    left = candidates.select(*dict.fromkeys([*keys, *names]))
     accepted = None
     while True:
         n = left.count()

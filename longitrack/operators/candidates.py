@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from longitrack.operators.spatial import AXES, distance, knn_join
 from longitrack.params import OverlapParams, Spacing
+from longitrack.session import materialise
 
 PAIR = ("day_a", "day_b")
 
@@ -43,8 +44,12 @@ def mutual_centroid_pairs(
     a: DataFrame, b: DataFrame, params: OverlapParams = OverlapParams(), pair: Sequence[str] = PAIR,
 ) -> DataFrame:
     """Points that are each other's nearest neighbour within the distance limit, with their ambiguity."""
-    ab = two_nearest(a, b, pair).where(F.col("d1") <= params.centroid_max_um)
-    ba = two_nearest(b, a, pair).where(F.col("d1") <= params.centroid_max_um)
+    pair = list(pair)
+    # Both directions are one neighbour join: the direction is a further key.
+    queries = a.withColumn("_way", F.lit(0)).unionByName(b.withColumn("_way", F.lit(1)))
+    targets = b.withColumn("_way", F.lit(0)).unionByName(a.withColumn("_way", F.lit(1)))
+    near = materialise(two_nearest(queries, targets, [*pair, "_way"]).where(F.col("d1") <= params.centroid_max_um))
+    ab, ba = near.where(F.col("_way") == 0), near.where(F.col("_way") == 1)
     left = ab.select(*pair, F.col("label").alias("label_a"), F.col("neighbour").alias("label_b"),
                      F.col("d1").alias("distance_um"), F.col("d2").alias("_second_a"))
     right = ba.select(*pair, F.col("label").alias("label_b"), F.col("neighbour").alias("label_a"),

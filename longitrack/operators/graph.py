@@ -151,8 +151,10 @@ def graph_assignment(
         )
     baseline = baseline.withColumn("assignment_source", F.lit("baseline_fallback"))
     locked = anchored.where("is_graph_anchor").withColumn("assignment_source", F.lit("locked_anchor"))
-    free = anchored.join(locked.select(*pair, "label_a"), [*pair, "label_a"], "left_anti").join(
-        locked.select(*pair, "label_b"), [*pair, "label_b"], "left_anti"
+    free = materialise(
+        anchored.join(locked.select(*pair, "label_a"), [*pair, "label_a"], "left_anti").join(
+            locked.select(*pair, "label_b"), [*pair, "label_b"], "left_anti"
+        )
     )
     refined = free.join(greedy_keys(free, GRAPH_ORDER, pair, finish_rows), keys, "left_semi").withColumn(
         "assignment_source", F.lit("graph_refined")

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from longitrack.session import materialise
 
-# Distinct values a single exact percentile buffer may hold; larger groups take the range-partitioned way.
-SMALL_GROUP = 500_000
+# Values the exact percentile buffers of one query may hold; beyond it quantiles are bracketed first.
+SMALL_GROUP = 100_000
+# Rank error of a digest is at most the number of values over this accuracy.
+DIGEST_ACCURACY = 100_000
 
 
 def cumulative(
@@ -58,42 +60,52 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per ``by`` group.
 
-    Equal values are counted before the shuffle, so a hot value is one row. Up to ``small``
-    distinct rows the built-in exact percentile is used with these counts as frequencies; beyond
-    it the cumulative counts of a range-partitioned table give the two neighbouring order
-    statistics of every quantile.
+    Up to ``small`` values the built-in exact percentile is used. Beyond it, a mergeable digest
+    brackets the two order statistics of every quantile, a second pass counts the values below each
+    bracket, and only the few distinct values inside the brackets are sorted. Both passes combine on
+    the map side, so neither a hot group nor a hot value moves as a whole.
     """
     by = list(by)
-    counts = materialise(
-        df.where(F.col(value).isNotNull() & ~F.isnan(value))
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+    values = materialise(
+        df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     )
-    if counts.count() <= small:
-        return counts.groupBy(*by).agg(
-            *[F.percentile("_v", F.lit(p), F.col("_n")).alias(name) for name, p in probs.items()]
-        )
-    running = cumulative(counts, [F.col("_v")], by, weight=F.col("_n"), out="_cum")
-    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    if by:
-        sized = running.alias("r").join(
-            sizes.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
-        ).select("r.*", "s._size")
-    else:
-        sized = running.withColumn("_size", sizes.select("_size").scalar())
-
-    def pick(position: Column) -> Column:
-        inside = (position < F.col("_cum")) & (position >= F.col("_cum") - F.col("_n"))
-        return F.max(F.when(inside, F.col("_v")))
-
-    aggregates = []
-    for name, p in probs.items():
-        at = F.lit(p) * (F.col("_size") - 1)
-        aggregates += [pick(F.floor(at)).alias(f"_lo_{name}"), pick(F.ceil(at)).alias(f"_hi_{name}")]
-    picked = sized.groupBy(*by, "_size").agg(*aggregates)
-    result = []
-    for name, p in probs.items():
-        at = F.lit(p) * (F.col("_size") - 1)
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        result.append((low + (high - low) * (at - F.floor(at))).alias(name))
-    return picked.select(*by, *result)
+    if values.count() <= small:
+        return values.groupBy(*by).agg(*[F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()])
+    keys = by or ["_all"]
+    values = values if by else values.withColumn("_all", F.lit(0))
+    margin = 2.0 / DIGEST_ACCURACY
+    edges = [[max(0.0, p - margin), min(1.0, p + margin)] for p in probs.values()]
+    bracket = values.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_size"),
+        *[F.percentile_approx("_v", e, DIGEST_ACCURACY).alias(f"_b{i}") for i, e in enumerate(edges)],
+    )
+    positions = [F.lit(p) * (F.col("_size") - 1) for p in probs.values()]
+    bracket = materialise(bracket)
+
+    def inside(i: int) -> Column:
+        return (F.col("_v") >= F.col(f"_b{i}")[0]) & (F.col("_v") <= F.col(f"_b{i}")[1])
+
+    def bracketed(table: DataFrame) -> DataFrame:
+        return values.join(table, keys)
+
+    below = bracketed(bracket).groupBy(*keys).agg(*[
+        F.count(F.when(F.col("_v") < F.col(f"_b{i}")[0], 1)).alias(f"_below{i}") for i in range(len(edges))
+    ])
+    anywhere = inside(0)
+    for i in range(1, len(edges)):
+        anywhere = anywhere | inside(i)
+    distinct = bracketed(bracket).where(anywhere).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    table = distinct.join(bracket, keys).join(below, keys)
+    upto = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    aggregates, result = [], []
+    for i, (name, at) in enumerate(zip(probs, positions)):
+        own = F.when(inside(i), F.col("_n")).otherwise(F.lit(0))
+        table = table.withColumn(f"_cum{i}", F.col(f"_below{i}") + F.sum(own).over(upto))
+        for tag, position in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            hit = inside(i) & (position < F.col(f"_cum{i}")) & (position >= F.col(f"_cum{i}") - F.col("_n"))
+            aggregates.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}"))
+        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        missed = F.raise_error(F.lit("a quantile lies outside its digest bracket")).cast("double")
+        exact = low + (high - low) * (at - F.floor(at))
+        result.append(F.when(low.isNull() | high.isNull(), missed).otherwise(exact).alias(name))
+    return table.groupBy(*keys, "_size").agg(*aggregates).select(*by, *result)

@@ -215,21 +215,20 @@ def restricted_transforms(
     rows = materialise(seeds.withColumn("keep", F.lit(True)))
     failed = None
     for _ in range(params.trim_iterations):
-        solved = _solve(_normal_sums(rows, pair))
+        solved = materialise(_solve(_normal_sums(rows, pair)))
         fitted = rows.join(solved.select(*pair, "_full", *COEFFICIENTS), pair).where("_full")
-        measured = materialise(fitted.withColumn("residual", _residuals(fitted, spacing)).drop(*COEFFICIENTS, "_full"))
+        measured = fitted.withColumn("residual", _residuals(fitted, spacing)).drop(*COEFFICIENTS, "_full")
         broken = solved.where(~F.col("_full")).select(*pair, "n_inlier", F.lit("rank_deficient").alias("_reason"))
         failed = broken if failed is None else failed.unionByName(broken)
         limit = exact_quantiles(measured.where("keep"), "residual", {"q": params.trim_quantile}, pair)
         cut = F.least(F.lit(params.max_residual_um), F.col("q"))
         moved = materialise(measured.join(limit, pair).withColumn("_new", F.col("residual") <= cut))
-        settled = moved.where(F.col("_new") != F.col("keep")).isEmpty()
         rows = moved.select(*pair, "za", "ya", "xa", "zb", "yb", "xb", F.col("_new").alias("keep"))
-        if settled:
+        if moved.where(F.col("_new") != F.col("keep")).isEmpty():
             break
-    final = _solve(_normal_sums(rows, pair))
+    final = materialise(_solve(_normal_sums(rows, pair)))
     fitted = rows.join(final.select(*pair, "_full", *COEFFICIENTS), pair).where("_full")
-    kept = materialise(fitted.withColumn("residual", _residuals(fitted, spacing)).where("keep"))
+    kept = fitted.withColumn("residual", _residuals(fitted, spacing)).where("keep")
     spread = exact_quantiles(
         kept, "residual", {"residual_median_um": 0.5, "residual_p95_um": params.trim_quantile}, pair
     )

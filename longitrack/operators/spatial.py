@@ -34,15 +34,15 @@ def _cell(axis: str, level: Column) -> Column:
     return F.least(raw, cells.cast("long") - 1)
 
 
-def _octree(points: DataFrame, by: list[str], leaf_points: int) -> DataFrame:
-    """All cells down to the leaves: group, level, cell, number of points and whether it is a leaf.
+def _octree(points: DataFrame, by: list[str], leaf_points: int) -> tuple[DataFrame, int]:
+    """Steps from every cell to its children, from every leaf to itself, and the depth of the tree.
 
     One pass counts several levels at once with partial aggregation; only points of cells that are
     still crowded go on to the next pass. Distinct points always separate at some level.
     """
     cell = [f"_c{i}" for i in range(3)]
     found = None
-    active, first = points, 0
+    active, first, depth = points, 0, 0
     while True:
         last = min(first + LEVELS_PER_PASS - 1, DEEPEST_LEVEL)
         level = F.col("_level")
@@ -53,22 +53,33 @@ def _octree(points: DataFrame, by: list[str], leaf_points: int) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("_n"))
         )
         found = counted if found is None else found.unionByName(counted)
-        crowded = counted.where((level == last) & (F.col("_n") > leaf_points))
-        if last == DEEPEST_LEVEL or crowded.isEmpty():
+        deepest = counted.where(F.col("_n") > leaf_points).agg(F.max("_level")).first()[0]
+        if deepest is not None:
+            depth = min(deepest + 1, DEEPEST_LEVEL)
+        if last == DEEPEST_LEVEL or deepest != last:
             break
+        crowded = counted.where((level == last) & (F.col("_n") > leaf_points))
         keyed = active.select("*", *[_cell(a, F.lit(last)).alias(c) for a, c in zip(AXES, cell)])
         active = materialise(keyed.join(crowded.select(*by, *cell), [*by, *cell], "left_semi").drop(*cell))
         first = last + 1
     # A cell belongs to the tree when its parent is crowded.
-    parents = found.where(F.col("_n") > leaf_points).select(
-        *by, (F.col("_level") + 1).alias("_level"), *[F.col(c).alias(f"_p{c}") for c in cell]
+    parents = found.where(F.col("_n") > leaf_points).select(*by, "_level", *cell)
+    children = found.where(F.col("_level") > 0).select(
+        *by, (F.col("_level") - 1).alias("_level"), *[F.floor(F.col(c) / 2).alias(c) for c in cell],
+        *[F.col(c).alias(f"_to{c}") for c in ("_level", *cell, "_n")],
+    ).join(parents, [*by, "_level", *cell], "left_semi")
+    root = found.where(F.col("_level") == 0).select(
+        *by, F.lit(-1).alias("_level"), *[F.lit(0).cast("long").alias(c) for c in cell],
+        *[F.col(c).alias(f"_to{c}") for c in ("_level", *cell, "_n")],
     )
-    children = found.where(F.col("_level") > 0).select("*", *[F.floor(F.col(c) / 2).alias(f"_p{c}") for c in cell])
-    kept = children.join(parents, [*by, "_level", *[f"_p{c}" for c in cell]], "left_semi").drop(*[f"_p{c}" for c in cell])
-    tree = found.where(F.col("_level") == 0).unionByName(kept)
-    return materialise(
-        tree.withColumn("_leaf", (F.col("_n") <= leaf_points) | (F.col("_level") == DEEPEST_LEVEL))
+    steps = children.unionByName(root).withColumn(
+        "_leaf", (F.col("_to_n") <= leaf_points) | (F.col("_to_level") == DEEPEST_LEVEL)
     )
+    stay = steps.where("_leaf").select(
+        *by, *[F.col(f"_to{c}").alias(c) for c in ("_level", *cell)],
+        *[F.col(f"_to{c}").alias(f"_to{c}") for c in ("_level", *cell, "_n")], "_leaf",
+    )
+    return materialise(steps.unionByName(stay)), depth
 
 
 def knn_join(
@@ -76,13 +87,13 @@ def knn_join(
 ) -> DataFrame:
     """The ``k`` nearest targets of every query point within the same ``by`` group.
 
-    Both inputs have ``label`` and the three coordinates. Ties go to the lower target label. Result:
-    ``by``, ``label``, ``rank`` (from 1), ``neighbour`` and ``distance_um``.
+    Both inputs have a ``label``, unique in its group, and the three coordinates. Ties go to the lower
+    target label. Result: ``by``, ``label``, ``rank`` (from 1), ``neighbour`` and ``distance_um``.
 
     Equal target positions are merged first, keeping the ``k`` lowest labels, which is all a
-    nearest-``k`` list can use; equal query positions are answered once. The search walks down the
-    octree: a cell is dropped for a query as soon as it is farther away than the far corner of some
-    cell that surely holds ``k`` points. The open cells per query stay few at every density.
+    nearest-``k`` list can use. The search walks down the octree: a cell is dropped for a query as
+    soon as it is farther away than the far corner of some cell that surely holds ``k`` points. The
+    open cells per query stay few at every density.
     """
     by = list(by)
     if not by:
@@ -103,80 +114,68 @@ def knn_join(
         F.greatest(*[F.max(a) - F.min(a) for a in AXES], F.lit(1e-9)).alias("_side"),
     )
     points = materialise(merged.join(box, by))
-    box = points.select(*by, *[f"_min_{a}" for a in AXES], "_side").distinct()
-    # Cells count labels through their positions; every position holds at least one label.
-    tree = _octree(points, by, max(leaf_points, k))
-    depth = tree.agg(F.max("_level")).first()[0] or 0
-
-    spots = queries.select(*by, *AXES).distinct().join(box, by)
-    spot_columns = [*by, *AXES, *[f"_min_{a}" for a in AXES], "_side"]
-    far = F.lit(float("inf"))
-    root = tree.where(F.col("_level") == 0).select(*by, *cell, "_leaf")
-    open_cells = spots.select(*spot_columns, far.alias("_bound")).join(root, by)
-    leaves = open_cells.where("_leaf").select(*spot_columns, F.lit(0).alias("_level"), *cell, F.lit(0.0).alias("_near"), "_bound")
-    open_cells = open_cells.where(~F.col("_leaf")).drop("_leaf")
-    per_query = W.partitionBy(*by, *AXES)
-    for level in range(1, depth + 1):
-        octants = F.explode(F.array(*[
-            F.struct(*[F.lit(i >> b & 1).alias(f"_o{b}") for b in range(3)]) for i in range(8)
-        ]))
-        stepped = open_cells.withColumn("_o", octants)
-        for b, c in enumerate(cell):
-            stepped = stepped.withColumn(c, F.col(c) * 2 + F.col(f"_o._o{b}"))
-        nodes = tree.where(F.col("_level") == level).drop("_level")
-        stepped = stepped.drop("_o").join(nodes, [*by, *cell])
-        size = F.col("_side") / float(2**level)
+    corner = [f"_min_{a}" for a in AXES]
+    box = points.select(*by, *corner, "_side").distinct()
+    # Cells count positions; every position holds at least one label.
+    steps, depth = _octree(points, by, max(leaf_points, k))
+
+    far = float("inf")
+    own = [*by, "label", *AXES, *corner, "_side"]
+    start = queries.select(*by, "label", *AXES).join(box, by)
+    cells = start.select(
+        *own, F.lit(far).alias("_bound"), F.lit(-1).alias("_level"), *[F.lit(0).cast("long").alias(c) for c in cell]
+    )
+    per_query = W.partitionBy(*by, "label")
+    for level in range(depth + 1):
+        stepped = cells.join(steps, [*by, "_level", *cell])
+        size = F.col("_side") / F.pow(F.lit(2.0), F.col("_to_level"))
         # A margin far below any real distance covers rounding at the cell borders.
         slack = size * 1e-9
         near, farthest = F.lit(0.0), F.lit(0.0)
         for axis, c in zip(AXES, cell):
-            low = F.col(f"_min_{axis}") + F.col(c) * size - slack
-            high = F.col(f"_min_{axis}") + (F.col(c) + 1) * size + slack
+            low = F.col(f"_min_{axis}") + F.col(f"_to{c}") * size - slack
+            high = F.col(f"_min_{axis}") + (F.col(f"_to{c}") + 1) * size + slack
             out = F.greatest(low - F.col(axis), F.col(axis) - high, F.lit(0.0))
             far_side = F.greatest(F.abs(F.col(axis) - low), F.abs(F.col(axis) - high))
             near, farthest = near + out * out, farthest + far_side * far_side
-        stepped = stepped.withColumn("_near", near).withColumn("_far", F.when(F.col("_n") >= k, farthest).otherwise(far))
-        stepped = stepped.withColumn("_bound", F.least(F.min("_bound").over(per_query), F.min("_far").over(per_query)))
-        stepped = stepped.where(F.col("_near") <= F.col("_bound"))
-        if level % 3 == 0:
-            stepped = materialise(stepped)
-        leaves = leaves.unionByName(
-            stepped.where("_leaf").select(*spot_columns, F.lit(level).alias("_level"), *cell, "_near", "_bound")
+        reach = F.least(F.col("_bound"), F.when(F.col("_to_n") >= k, farthest).otherwise(F.lit(far)))
+        cells = (
+            stepped.select(
+                *own, near.alias("_near"), reach.alias("_reach"), *[F.col(f"_to{c}").alias(c) for c in ("_level", *cell)]
+            )
+            .select("*", F.min("_reach").over(per_query).alias("_bound"))
+            .where(F.col("_near") <= F.col("_bound"))
+            .drop("_reach")
         )
-        open_cells = stepped.where(~F.col("_leaf")).select(*spot_columns, "_bound", *cell)
-    bound = F.min("_bound").over(per_query)
-    leaves = leaves.withColumn("_bound", bound).where(F.col("_near") <= F.col("_bound"))
-    leaf_points_table = (
+        if level % 4 == 3 and level < depth:
+            cells = materialise(cells)
+    leaf_keys = steps.where("_leaf").select(*by, *[F.col(f"_to{c}").alias(c) for c in ("_level", *cell)]).distinct()
+    in_leaf = (
         points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(int(depth)))))
-        .withColumn("_cells", F.struct(*[_cell(a, F.col("_level")).alias(c) for a, c in zip(AXES, cell)]))
-        .select(*by, "_level", "_cells.*", F.struct(*AXES).alias("t"), "_labels")
-        .join(tree.where("_leaf").select(*by, "_level", *cell), [*by, "_level", *cell], "left_semi")
+        .select(*by, "_level", *[_cell(a, F.col("_level")).alias(c) for a, c in zip(AXES, cell)],
+                F.struct(*AXES).alias("t"), "_labels")
+        .join(leaf_keys, [*by, "_level", *cell], "left_semi")
     )
 
-    def measured(cells: DataFrame) -> DataFrame:
-        pairs = cells.select(*by, "_level", *cell, F.struct(*AXES).alias("q")).join(leaf_points_table, [*by, "_level", *cell])
-        return pairs.select(*by, "q", distance("q", "t").alias("distance_um"), F.explode("_labels").alias("neighbour"))
+    def measured(open_leaves: DataFrame) -> DataFrame:
+        pairs = open_leaves.select(*by, "_level", *cell, "label", F.struct(*AXES).alias("q")).join(in_leaf, [*by, "_level", *cell])
+        return pairs.select(*by, "label", distance("q", "t").alias("distance_um"), F.explode("_labels").alias("neighbour"))
 
     if depth > 1:
         # The nearest leaf alone gives a far tighter bound than any cell corner.
-        leaves = materialise(leaves)
-        nearest_leaf = W.partitionBy(*by, *AXES).orderBy("_near", "_level", *cell)
-        first = measured(leaves.withColumn("_r", F.row_number().over(nearest_leaf)).where(F.col("_r") == 1))
-        by_distance = W.partitionBy(*by, "q").orderBy("distance_um")
+        cells = materialise(cells)
+        nearest_leaf = per_query.orderBy("_near", "_level", *cell)
+        first = measured(cells.withColumn("_r", F.row_number().over(nearest_leaf)).where(F.col("_r") == 1))
         tight = (
-            first.withColumn("_r", F.row_number().over(by_distance))
+            first.withColumn("_r", F.row_number().over(per_query.orderBy("distance_um")))
             .where(F.col("_r") == k)
-            .select(*by, *[F.col(f"q.{x}").alias(x) for x in AXES],
-                    (F.col("distance_um") * F.col("distance_um") * (1 + 1e-9)).alias("_tight"))
+            .select(*by, "label", (F.col("distance_um") * F.col("distance_um") * (1 + 1e-9)).alias("_tight"))
         )
-        leaves = leaves.join(tight, [*by, *AXES], "left").where(
+        cells = cells.join(tight, [*by, "label"], "left").where(
             F.col("_tight").isNull() | (F.col("_near") <= F.col("_tight"))
         )
-    found = measured(leaves)
-    order = W.partitionBy(*by, "q").orderBy("distance_um", "neighbour")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    best = best.select(*by, *[F.col(f"q.{a}").alias(a) for a in AXES], "rank", "neighbour", "distance_um")
-    return queries.select(*by, "label", *AXES).join(best, [*by, *AXES]).drop(*AXES)
+    order = per_query.orderBy("distance_um", "neighbour")
+    return measured(cells).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def radius_join(
