@@ -102,3 +102,12 @@ def pair_diagnostics(matches: DataFrame, pair: Sequence[str], distances: Sequenc
     for column, probs in wanted.items():
         out = out.join(exact_quantiles(matches, column, probs, pair), list(pair), "left")
     return out
+
+
+def match_distances(matches: DataFrame, pair: Sequence[str], xy_um: float = 710.0 / 1024.0, z_um: float = 5.0) -> DataFrame:
+    """One row per accepted match with its distances in pixels, planes and micrometres."""
+    return matches.select(
+        *pair, "label_a", "label_b", F.col("dxy").alias("distance_xy_px"), (F.col("dxy") * xy_um).alias("distance_xy_um"),
+        F.col("dz").alias("distance_z_planes"), (F.col("dz") * z_um).alias("distance_z_um"),
+        F.col("score").alias("match_score"), "confidence",
+    )

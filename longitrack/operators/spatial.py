@@ -34,8 +34,9 @@ def _cell(axis: str, level: Column) -> Column:
     return F.least(raw, cells.cast("long") - 1)
 
 
-def _octree(points: DataFrame, by: list[str], leaf_points: int) -> tuple[DataFrame, int]:
-    """Steps from every cell to its children, from every leaf to itself, and the depth of the tree.
+def _octree(points: DataFrame, box: DataFrame, by: list[str], leaf_points: int) -> tuple[DataFrame, int]:
+    """Steps from every cell to its children and from every leaf to itself, with the bounds of the cell
+    stepped to, and the depth of the tree.
 
     One pass counts several levels at once with partial aggregation; only points of cells that are
     still crowded go on to the next pass. Distinct points always separate at some level.
@@ -79,7 +80,14 @@ def _octree(points: DataFrame, by: list[str], leaf_points: int) -> tuple[DataFra
         *by, *[F.col(f"_to{c}").alias(c) for c in ("_level", *cell)],
         *[F.col(f"_to{c}").alias(f"_to{c}") for c in ("_level", *cell, "_n")], "_leaf",
     )
-    return materialise(steps.unionByName(stay)), depth
+    size = F.col("_side") / F.pow(F.lit(2.0), F.col("_to_level"))
+    # A margin far below any real distance covers rounding at the cell borders.
+    bounds = []
+    for axis, c in zip(AXES, cell):
+        low = F.col(f"_min_{axis}") + F.col(f"_to{c}") * size
+        bounds += [(low - size * 1e-9).alias(f"_low_{axis}"), (low + size * (1 + 1e-9)).alias(f"_high_{axis}")]
+    both = steps.unionByName(stay)
+    return materialise(both.join(box, by).select(*both.columns, *bounds)), depth
 
 
 def knn_join(
@@ -117,24 +125,19 @@ def knn_join(
     corner = [f"_min_{a}" for a in AXES]
     box = points.select(*by, *corner, "_side").distinct()
     # Cells count positions; every position holds at least one label.
-    steps, depth = _octree(points, by, max(leaf_points, k))
+    steps, depth = _octree(points, box, by, max(leaf_points, k))
 
     far = float("inf")
-    own = [*by, "label", *AXES, *corner, "_side"]
-    start = queries.select(*by, "label", *AXES).join(box, by)
-    cells = start.select(
+    own = [*by, "label", *AXES]
+    cells = queries.select(
         *own, F.lit(far).alias("_bound"), F.lit(-1).alias("_level"), *[F.lit(0).cast("long").alias(c) for c in cell]
     )
     per_query = W.partitionBy(*by, "label")
     for level in range(depth + 1):
         stepped = cells.join(steps, [*by, "_level", *cell])
-        size = F.col("_side") / F.pow(F.lit(2.0), F.col("_to_level"))
-        # A margin far below any real distance covers rounding at the cell borders.
-        slack = size * 1e-9
         near, farthest = F.lit(0.0), F.lit(0.0)
-        for axis, c in zip(AXES, cell):
-            low = F.col(f"_min_{axis}") + F.col(f"_to{c}") * size - slack
-            high = F.col(f"_min_{axis}") + (F.col(f"_to{c}") + 1) * size + slack
+        for axis in AXES:
+            low, high = F.col(f"_low_{axis}"), F.col(f"_high_{axis}")
             out = F.greatest(low - F.col(axis), F.col(axis) - high, F.lit(0.0))
             far_side = F.greatest(F.abs(F.col(axis) - low), F.abs(F.col(axis) - high))
             near, farthest = near + out * out, farthest + far_side * far_side

@@ -273,6 +273,23 @@ def plane_labels(voxels: DataFrame, plane: int, matched: int) -> DataFrame:
     return voxels.where(F.col("z") == plane).withColumn("layer", F.when(F.col("label") == matched, 2).otherwise(1))
 
 
+def display_planes(records: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Plane to show for a track: the rounded median of its regions' centre planes."""
+    return records.groupBy(*keys).agg(F.rint(F.median("center_plane")).cast("int").alias("display_plane"))
+
+
+def track_crops(regions: DataFrame, keys: Sequence[str], ny: Column, nx: Column, pad_xy: int = 20) -> DataFrame:
+    """Common crop of all regions of a track, padded and inside the image."""
+    spans = regions.groupBy(*keys).agg(
+        *[F.min(f"bbox_{c}0").alias(f"_{c}0") for c in ("y", "x")], *[F.max(f"bbox_{c}1").alias(f"_{c}1") for c in ("y", "x")]
+    )
+    return spans.select(
+        *keys,
+        *[F.greatest(F.lit(0), F.col(f"_{c}0") - pad_xy).alias(f"{c}_start") for c in ("y", "x")],
+        *[F.least(n, F.col(f"_{c}1") + pad_xy).alias(f"{c}_stop") for c, n in (("y", ny), ("x", nx))],
+    )
+
+
 # --- projected shape ---------------------------------------------------------------------------
 
 def _crofton_weights() -> list[float]:

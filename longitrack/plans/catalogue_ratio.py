@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from longitrack.operators import fits as fit_ops, qc, ranking, ratio, trajectories
+from longitrack.functions import labels
+from longitrack.operators import fits as fit_ops, qc, ranking, ratio, sessions, trajectories, voxels as vox
 from longitrack.operators.ordering import exact_quantiles
 from longitrack.params import GeometryQC
 from longitrack.plans import relations as rel
@@ -252,6 +253,33 @@ def green_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rel.roi_channel_means(spark, sf).groupBy(bins).agg(F.count(F.lit(1)).alias("n")))
 
 
+def display_composite(spark: SparkSession, sf: str) -> DataFrame:
+    """Red and green scaled to display range."""
+    return rounded(vox.composite_rgb(rel.roi_channel_means(spark, sf), 40.0, 100.0))
+
+
+def day_date_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Label of every session day of every object."""
+    days = rel.roi_channel_means(spark, sf).select("roi_id", "day", F.lit(3).alias("center"))
+    return rounded(days.select(
+        "roi_id", "day", labels.day_label("day", "20260511").alias("label"), labels.plane_label("day", "center").alias("plane")
+    ))
+
+
+def session_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sessions.session_similarity(rel.roi_day(spark, sf), "green"))
+
+
+def session_medoid(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sessions.medoid(sessions.session_similarity(rel.roi_day(spark, sf), "green")))
+
+
+def object_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of variance per principal component of the log-ratio changes (no SQL twin)."""
+    _, shares = sessions.object_components(materialise(rel.metrics(spark, sf)), "delta_log2_green_over_red", range(7), 3)
+    return rounded(spark.createDataFrame([(i + 1, v) for i, v in enumerate(shares)], "component int, explained_variance double"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -260,6 +288,6 @@ QUERIES = {
         residual_sign_changes, artifact_filter_refit, mean_line, ci_band, trajectory_classes, top_decreasing,
         top_increasing, ranked_roi_days, ranked_heatmap, random_sample_rois, size_bounds, size_filter, display_range,
         shape_flags, geometry_qc, track_geometry_summary, centroid_steps, presence_summary, filter_funnel,
-        green_histogram,
+        green_histogram, display_composite, day_date_labels, session_similarity, session_medoid, object_components,
     )
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from longitrack.operators import hull, legacy, registration, voxels as vox
+from longitrack.operators import assignment, hull, legacy, registration, review, voxels as vox
 from longitrack.params import LegacyParams, OverlapParams, Spacing
 from longitrack.plans import relations as rel
 from longitrack.plans.catalogue_ratio import rounded
@@ -194,6 +194,28 @@ def legacy_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(legacy.scored_pairs(table, _pairs(spark, 0.0, 0.5, 0.25), LEGACY).drop("day_a", "day_b"))
 
 
+def legacy_match_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Accepted weekly matches with their distances in pixels and micrometres."""
+    v = _two_weeks(spark, sf)
+    table = materialise(legacy.records(v, rel.volume_sizes(v, 4, 64), LEGACY))
+    matches = assignment.reciprocal_best(legacy.scored_pairs(table, _pairs(spark, 0.0, 0.5, 0.25), LEGACY))
+    return rounded(review.match_distances(matches, [], 0.7, 5.0))
+
+
+def track_display(spark: SparkSession, sf: str) -> DataFrame:
+    """Display plane and common crop of the regions with the same label in both sessions."""
+    v = _two_weeks(spark, sf)
+    sizes = rel.volume_sizes(v, 4, 64)
+    records = legacy.records(v, sizes, LEGACY)
+    crops = vox.track_crops(vox.region_features(v, sizes, UNIT), ["label"], F.lit(64), F.lit(10**6), 3)
+    return rounded(vox.display_planes(records, ["label"]).join(crops, "label"))
+
+
+def plane_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels in one plane, the matched region apart from its neighbours."""
+    return rounded(vox.plane_labels(rel.block_voxels(spark, sf), 1, 9).select("y", "x", "label", "layer"))
+
+
 # --- listings and manifests ---------------------------------------------------------------------
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,7 +285,7 @@ QUERIES = {
         roi_features, mask_validation, label_mean_zero_excluded, overlap_dice_iou, shifted_overlap, occupancy_projection,
         z_shift_xcorr, projected_shape, projected_solidity, center_crop, roi_crop_bounds, fixed_crop_bounds, crop_projection,
         neighbour_slices, raw_space_geometry, group_geometry, restricted_transform, xy_phase_shift, legacy_shift_support,
-        legacy_records, legacy_candidates, filename_listing_parse, infer_start_date, registered_lookup, raw_lookup,
+        legacy_records, legacy_candidates, legacy_match_distances, track_display, plane_labels, filename_listing_parse, infer_start_date, registered_lookup, raw_lookup,
         inverse_mask_lookup, missing_channels, week_buckets, elapsed_days, manifest_order_check,
     )
 }

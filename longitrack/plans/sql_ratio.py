@@ -271,4 +271,17 @@ SELECT step_order, step, count,
 FROM c""",
     "green_histogram": f"""WITH {MEANS}
 SELECT CASE WHEN green >= 140 THEN 21 ELSE floor(green / 140.0 * 20)::BIGINT + 1 END AS bin, count(*) AS n FROM means GROUP BY 1""",
+    "display_composite": f"""WITH {MEANS}
+SELECT roi_id, day, {r('red', 'green')}, round(least(1.0, greatest(0.0, red / 40.0::DOUBLE)), 6) AS r,
+       round(least(1.0, greatest(0.0, green / 100.0::DOUBLE)), 6) AS g, 0.0::DOUBLE AS b FROM means""",
+    "day_date_labels": f"""WITH {MEANS}
+SELECT roi_id, day, 'Day ' || day || ' ' || strftime(DATE '2026-05-11' + day::INT, '%m-%d') AS label,
+       CASE WHEN day = 3 THEN 'z' WHEN day > 3 THEN 'z+' || (day - 3) ELSE 'z' || (day - 3) END AS plane FROM means""",
+    "session_similarity": f"""WITH {ROI_DAY}
+SELECT a.day AS session_a, b.day AS session_b, round(-corr(a.green, b.green), 6) AS similarity
+FROM roi_day a JOIN roi_day b USING (roi_id) GROUP BY ALL""",
+    "session_medoid": f"""WITH {ROI_DAY},
+s AS (SELECT a.day AS d, b.day AS e, -corr(a.green, b.green) AS v FROM roi_day a JOIN roi_day b USING (roi_id) GROUP BY ALL),
+t AS (SELECT d, sum(v) AS total FROM s GROUP BY d)
+SELECT d AS medoid_session, round(total, 6) AS total_similarity FROM t ORDER BY total, d LIMIT 1""",
 }

@@ -147,6 +147,33 @@ rs AS (SELECT ring, count(*) AS size FROM sq GROUP BY 1),
 occ AS (SELECT session_id, label, ring, count(*) / any_value(size) AS f FROM pat JOIN sq ON sq.y = dy AND sq.x = dx JOIN rs USING (ring) GROUP BY ALL),
 ringp AS (SELECT session_id, label, ring, f / sum(f) OVER (PARTITION BY session_id, label) AS f FROM occ)"""
 
+LEGACY_PAIRS = TWO_WEEKS + """,
+pr AS (
+  SELECT a.label AS label_a, b.label AS label_b, a.is_edge OR b.is_edge AS e, abs(a.cz - b.cz) AS dz,
+         sqrt(power(a.cy - (b.cy + 0.5), 2) + power(a.cx - (b.cx + 0.25), 2)) AS dxy,
+         least(a.area_center, b.area_center) / greatest(a.area_center, b.area_center) AS area_ratio,
+         (greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0) + 1) * greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1))::DOUBLE AS box,
+         (a.y1 - a.y0 + 1) * (a.x1 - a.x0 + 1) AS sa, (b.y1 - b.y0 + 1) * (b.x1 - b.x0 + 1) AS sb
+  FROM rec a JOIN rec b ON a.session_id = 'a' AND b.session_id = 'b'),
+g AS (SELECT *, CASE WHEN e THEN 8.0::DOUBLE ELSE 5.0::DOUBLE END AS lim FROM pr WHERE dxy <= CASE WHEN e THEN 8.0 ELSE 5.0 END AND dz <= 2),
+np AS (SELECT session_id, label, count(*) AS n FROM pat GROUP BY ALL),
+nc AS (SELECT session_id, label, count(*) AS n FROM can GROUP BY ALL),
+c AS (
+  SELECT g.*,
+    coalesce((SELECT count(*) FROM pat p JOIN pat q ON p.dy = q.dy AND p.dx = q.dx WHERE p.session_id = 'a' AND q.session_id = 'b' AND p.label = label_a AND q.label = label_b)
+      / sqrt((SELECT n FROM np WHERE session_id = 'a' AND label = label_a)::DOUBLE * (SELECT n FROM np WHERE session_id = 'b' AND label = label_b)), 0.0) AS patch_cos,
+    (SELECT count(*) FROM can p JOIN can q ON p.ky = q.ky AND p.kx = q.kx WHERE p.session_id = 'a' AND q.session_id = 'b' AND p.label = label_a AND q.label = label_b) AS ci,
+    (SELECT n FROM nc WHERE session_id = 'a' AND label = label_a) + (SELECT n FROM nc WHERE session_id = 'b' AND label = label_b) AS cs,
+    (SELECT sum(abs(coalesce(p.f, 0.0) - coalesce(q.f, 0.0)))
+     FROM (SELECT * FROM ringp WHERE session_id = 'a' AND label = label_a) p
+     FULL JOIN (SELECT * FROM ringp WHERE session_id = 'b' AND label = label_b) q ON p.ring = q.ring) AS radial_l1
+  FROM g),
+s AS (
+  SELECT *, ci / (cs - ci) AS iou, box / (sa + sb - box) AS bbox_iou,
+         greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.28::DOUBLE * exp(-power(dxy / greatest(1.0, 0.45::DOUBLE * lim), 2)) + 0.12::DOUBLE * exp(-power(dz / 1.1::DOUBLE, 2))
+           + 0.14::DOUBLE * patch_cos + 0.24::DOUBLE * (ci / (cs - ci)) + 0.08::DOUBLE * area_ratio + 0.04::DOUBLE * exp(-2.0::DOUBLE * radial_l1)
+           + 0.10::DOUBLE * (box / (sa + sb - box)) + CASE WHEN e THEN 0.02::DOUBLE ELSE 0.0 END)) AS score FROM c)"""
+
 FILES = """
 files AS (
   SELECT strftime(o_orderdate, '%Y%m%d') || '_' || CASE WHEN o_custkey % 3 = 0 THEN 'G' ELSE 'R' END
@@ -235,32 +262,7 @@ SELECT r.session_id, r.label, round(cz, 6) AS centroid_z, round(cy, 6) AS centro
        round(coalesce((SELECT f FROM ringp q WHERE q.session_id = r.session_id AND q.label = r.label AND ring = 0), 0.0), 6) AS ring0,
        round(coalesce((SELECT f FROM ringp q WHERE q.session_id = r.session_id AND q.label = r.label AND ring = 5), 0.0), 6) AS ring5
 FROM rec r""",
-    "legacy_candidates": f"""WITH {TWO_WEEKS},
-pr AS (
-  SELECT a.label AS label_a, b.label AS label_b, a.is_edge OR b.is_edge AS e, abs(a.cz - b.cz) AS dz,
-         sqrt(power(a.cy - (b.cy + 0.5), 2) + power(a.cx - (b.cx + 0.25), 2)) AS dxy,
-         least(a.area_center, b.area_center) / greatest(a.area_center, b.area_center) AS area_ratio,
-         (greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0) + 1) * greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1))::DOUBLE AS box,
-         (a.y1 - a.y0 + 1) * (a.x1 - a.x0 + 1) AS sa, (b.y1 - b.y0 + 1) * (b.x1 - b.x0 + 1) AS sb
-  FROM rec a JOIN rec b ON a.session_id = 'a' AND b.session_id = 'b'),
-g AS (SELECT *, CASE WHEN e THEN 8.0::DOUBLE ELSE 5.0::DOUBLE END AS lim FROM pr WHERE dxy <= CASE WHEN e THEN 8.0 ELSE 5.0 END AND dz <= 2),
-np AS (SELECT session_id, label, count(*) AS n FROM pat GROUP BY ALL),
-nc AS (SELECT session_id, label, count(*) AS n FROM can GROUP BY ALL),
-c AS (
-  SELECT g.*,
-    coalesce((SELECT count(*) FROM pat p JOIN pat q ON p.dy = q.dy AND p.dx = q.dx WHERE p.session_id = 'a' AND q.session_id = 'b' AND p.label = label_a AND q.label = label_b)
-      / sqrt((SELECT n FROM np WHERE session_id = 'a' AND label = label_a)::DOUBLE * (SELECT n FROM np WHERE session_id = 'b' AND label = label_b)), 0.0) AS patch_cos,
-    (SELECT count(*) FROM can p JOIN can q ON p.ky = q.ky AND p.kx = q.kx WHERE p.session_id = 'a' AND q.session_id = 'b' AND p.label = label_a AND q.label = label_b) AS ci,
-    (SELECT n FROM nc WHERE session_id = 'a' AND label = label_a) + (SELECT n FROM nc WHERE session_id = 'b' AND label = label_b) AS cs,
-    (SELECT sum(abs(coalesce(p.f, 0.0) - coalesce(q.f, 0.0)))
-     FROM (SELECT * FROM ringp WHERE session_id = 'a' AND label = label_a) p
-     FULL JOIN (SELECT * FROM ringp WHERE session_id = 'b' AND label = label_b) q ON p.ring = q.ring) AS radial_l1
-  FROM g),
-s AS (
-  SELECT *, ci / (cs - ci) AS iou, box / (sa + sb - box) AS bbox_iou,
-         greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.28::DOUBLE * exp(-power(dxy / greatest(1.0, 0.45::DOUBLE * lim), 2)) + 0.12::DOUBLE * exp(-power(dz / 1.1::DOUBLE, 2))
-           + 0.14::DOUBLE * patch_cos + 0.24::DOUBLE * (ci / (cs - ci)) + 0.08::DOUBLE * area_ratio + 0.04::DOUBLE * exp(-2.0::DOUBLE * radial_l1)
-           + 0.10::DOUBLE * (box / (sa + sb - box)) + CASE WHEN e THEN 0.02::DOUBLE ELSE 0.0 END)) AS score FROM c)
+    "legacy_candidates": f"""WITH {LEGACY_PAIRS}
 SELECT label_a, label_b, {r('dxy', 'dz', 'area_ratio', 'patch_cos', 'radial_l1', 'iou', 'bbox_iou')}, 0.5::DOUBLE AS shift_y, 0.25::DOUBLE AS shift_x,
        e::INT::DOUBLE AS edge_case, {r('score')} FROM s WHERE score >= 0.30""",
     "filename_listing_parse": f"WITH {FILES} SELECT date_key, channel, is_syn, count(*) AS n FROM parsed GROUP BY ALL",
@@ -285,4 +287,19 @@ SELECT strftime(date_trunc('week', dt), '%Y-%m-%d') AS week_start, count(*) AS n
 SELECT o_custkey, session_index FROM (
   SELECT *, lag(session_index, 1, -1) OVER w AS i, lag(d) OVER w AS p FROM g WINDOW w AS (PARTITION BY o_custkey ORDER BY session_index))
 WHERE session_index - i <> 1 OR p > d""",
+    "legacy_match_distances": f"""WITH {LEGACY_PAIRS},
+k AS (SELECT * FROM s WHERE score >= 0.30),
+w AS (
+  SELECT *, max(score) OVER (PARTITION BY label_a) AS ba, max(score) OVER (PARTITION BY label_b) AS bb,
+         coalesce(nth_value(score, 2) OVER (PARTITION BY label_a ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0.0) AS sa2,
+         coalesce(nth_value(score, 2) OVER (PARTITION BY label_b ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0.0) AS sb2
+  FROM k)
+SELECT label_a, label_b, round(dxy, 6) AS distance_xy_px, round(dxy * 0.7::DOUBLE, 6) AS distance_xy_um, round(dz, 6) AS distance_z_planes,
+       round(dz * 5.0::DOUBLE, 6) AS distance_z_um, round(score, 6) AS match_score,
+       round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.70::DOUBLE * score + 0.15::DOUBLE * (score - sa2) + 0.15::DOUBLE * (score - sb2))), 6) AS confidence
+FROM w WHERE score + 1e-9 >= ba AND score + 1e-9 >= bb""",
+    "track_display": f"""WITH {TWO_WEEKS}
+SELECT label, round_even(median(center_plane), 0)::BIGINT AS display_plane, greatest(0, min(y0) - 3) AS y_start, greatest(0, min(x0) - 3) AS x_start,
+       least(64, max(y1) + 1 + 3) AS y_stop, least(1000000, max(x1) + 1 + 3) AS x_stop FROM rec GROUP BY label""",
+    "plane_labels": f"WITH {BLOCK} SELECT y, x, label, CASE WHEN label = 9 THEN 2 ELSE 1 END AS layer FROM vox WHERE z = 1",
 }

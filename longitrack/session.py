@@ -45,9 +45,10 @@ def materialise(df: DataFrame) -> DataFrame:
 
     This cuts the lineage, makes repeated use of a partition-dependent result safe when executors
     are lost, and gives the planner the real size in bytes, so that Spark's own
-    ``autoBroadcastJoinThreshold`` decides which joins may broadcast the table.
+    ``autoBroadcastJoinThreshold`` decides which joins may broadcast the table. The tables of one
+    application lie in one folder, which may be dropped when it has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,6 +15,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 
 import pyspark
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -41,7 +42,11 @@ class Store:
         return written
 
     def has(self, name: str) -> bool:
-        return Path(self.path(name), "_SUCCESS").exists()
+        try:
+            self.spark.read.parquet(self.path(name))
+            return True
+        except AnalysisException:
+            return False
 
     def read(self, name: str, schema: StructType | None = None) -> DataFrame:
         """A table of the run; with a schema a missing table is read as an empty one."""
