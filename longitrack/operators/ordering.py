@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from longitrack.session import materialise
 
 # Values the exact percentile buffers of one query may hold; beyond it quantiles are bracketed first.
-SMALL_GROUP = 100_000
+SMALL_GROUP = 1_000_000
 # Rank error of a digest is at most the number of values over this accuracy.
 DIGEST_ACCURACY = 100_000
+DIGEST_MARGIN = 10 / DIGEST_ACCURACY
 
 
 def cumulative(
@@ -26,16 +27,13 @@ def cumulative(
     partition) meets in a single window. The range-partitioned rows are written once, because a
     partition number may not be computed twice.
     """
-    spark = df.sparkSession
     by = list(by)
     weight = F.lit(1) if weight is None else weight
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        df.withColumn("_w", weight.cast("long"))
-        .repartitionByRange(parts, *[F.col(c) for c in by], *order)
-        .withColumn("_pid", F.spark_partition_id())
-    )
-    ranged = materialise(ranged)
+    keys = [*[F.col(c) for c in by], *order]
+    weighted = df.withColumn("_w", weight.cast("long"))
+    # Without a given number the session's setting applies and adaptive execution joins small neighbours.
+    ranged = weighted.repartitionByRange(partitions, *keys) if partitions else weighted.repartitionByRange(*keys)
+    ranged = materialise(ranged.withColumn("_pid", F.spark_partition_id()))
     totals = ranged.groupBy(*by, "_pid").agg(F.sum("_w").alias("_total"))
     before = W.partitionBy(*by).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*by, "_pid", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
@@ -50,9 +48,11 @@ def cumulative(
     return keyed.withColumn(out, F.col("_offset") + F.sum("_w").over(local)).drop("_w", "_pid", "_offset")
 
 
-def global_rank(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), out: str = "rank") -> DataFrame:
+def global_rank(
+    df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), out: str = "rank", partitions: int | None = None,
+) -> DataFrame:
     """1-based position in the strict total order ``order``, within each ``by`` group."""
-    return cumulative(df, order, by, out=out)
+    return cumulative(df, order, by, out=out, partitions=partitions)
 
 
 def exact_quantiles(
@@ -63,7 +63,8 @@ def exact_quantiles(
     Up to ``small`` values the built-in exact percentile is used. Beyond it, a mergeable digest
     brackets the two order statistics of every quantile, a second pass counts the values below each
     bracket, and only the few distinct values inside the brackets are sorted. Both passes combine on
-    the map side, so neither a hot group nor a hot value moves as a whole.
+    the map side, so neither a hot group nor a hot value moves as a whole. Should a digest miss its
+    bracket, the cumulative counts of a range-partitioned table answer instead.
     """
     by = list(by)
     values = materialise(
@@ -73,39 +74,74 @@ def exact_quantiles(
         return values.groupBy(*by).agg(*[F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()])
     keys = by or ["_all"]
     values = values if by else values.withColumn("_all", F.lit(0))
-    margin = 2.0 / DIGEST_ACCURACY
-    edges = [[max(0.0, p - margin), min(1.0, p + margin)] for p in probs.values()]
-    bracket = values.groupBy(*keys).agg(
+    found = materialise(_bracketed_quantiles(values, keys, probs))
+    missing = F.lit(False)
+    for name in probs:
+        missing = missing | F.col(name).isNull()
+    if not found.where(missing).isEmpty():
+        found = _ranked_quantiles(values, keys, probs)
+    return found.select(*by, *probs)
+
+
+def _between(low: Column, high: Column, p: float) -> Column:
+    """Linear interpolation at the fractional position of quantile ``p``."""
+    at = F.lit(p) * (F.col("_size") - 1)
+    return low + (high - low) * (at - F.floor(at))
+
+
+def _bracketed_quantiles(values: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """Quantiles from digest brackets; NULL where a bracket does not hold the order statistics."""
+    edges = [[max(0.0, p - DIGEST_MARGIN), min(1.0, p + DIGEST_MARGIN)] for p in probs.values()]
+    bracket = materialise(values.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_size"),
         *[F.percentile_approx("_v", e, DIGEST_ACCURACY).alias(f"_b{i}") for i, e in enumerate(edges)],
-    )
-    positions = [F.lit(p) * (F.col("_size") - 1) for p in probs.values()]
-    bracket = materialise(bracket)
+    ))
+    v = F.col("_v")
+    # The next values outside join the bracket, since digest ranks and quantile positions differ by up to one.
+    around = materialise(values.join(bracket, keys).groupBy(*keys).agg(*[
+        column
+        for i in range(len(edges))
+        for column in (
+            F.count(F.when(v < F.col(f"_b{i}")[0], 1)).alias(f"_below{i}"),
+            F.max(F.when(v < F.col(f"_b{i}")[0], v)).alias(f"_prev{i}"),
+            F.min(F.when(v > F.col(f"_b{i}")[1], v)).alias(f"_next{i}"),
+        )
+    ]).join(bracket, keys))
 
     def inside(i: int) -> Column:
-        return (F.col("_v") >= F.col(f"_b{i}")[0]) & (F.col("_v") <= F.col(f"_b{i}")[1])
-
-    def bracketed(table: DataFrame) -> DataFrame:
-        return values.join(table, keys)
+        first, last = F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]
+        return (v >= F.coalesce(F.col(f"_prev{i}"), first)) & (v <= F.coalesce(F.col(f"_next{i}"), last))
 
-    below = bracketed(bracket).groupBy(*keys).agg(*[
-        F.count(F.when(F.col("_v") < F.col(f"_b{i}")[0], 1)).alias(f"_below{i}") for i in range(len(edges))
-    ])
     anywhere = inside(0)
     for i in range(1, len(edges)):
         anywhere = anywhere | inside(i)
-    distinct = bracketed(bracket).where(anywhere).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    table = distinct.join(bracket, keys).join(below, keys)
-    upto = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    table = values.join(around, keys).where(anywhere).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    table = table.join(around, keys)
+    group = W.partitionBy(*keys)
+    upto = group.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     aggregates, result = [], []
-    for i, (name, at) in enumerate(zip(probs, positions)):
+    for i, (name, p) in enumerate(probs.items()):
         own = F.when(inside(i), F.col("_n")).otherwise(F.lit(0))
-        table = table.withColumn(f"_cum{i}", F.col(f"_below{i}") + F.sum(own).over(upto))
+        early = F.when(inside(i) & (v < F.col(f"_b{i}")[0]), F.col("_n")).otherwise(F.lit(0))
+        table = table.withColumn(f"_cum{i}", F.col(f"_below{i}") - F.sum(early).over(group) + F.sum(own).over(upto))
+        at = F.lit(p) * (F.col("_size") - 1)
         for tag, position in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             hit = inside(i) & (position < F.col(f"_cum{i}")) & (position >= F.col(f"_cum{i}") - F.col("_n"))
+            aggregates.append(F.max(F.when(hit, v)).alias(f"_{tag}{i}"))
+        result.append(_between(F.col(f"_lo{i}"), F.col(f"_hi{i}"), p).alias(name))
+    return table.groupBy(*keys, "_size").agg(*aggregates).select(*keys, *result)
+
+
+def _ranked_quantiles(values: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """Quantiles from the cumulative counts of all distinct values."""
+    counts = materialise(values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+    running = cumulative(counts, [F.col("_v")], keys, weight=F.col("_n"), out="_cum").join(sizes, keys)
+    aggregates, result = [], []
+    for i, (name, p) in enumerate(probs.items()):
+        at = F.lit(p) * (F.col("_size") - 1)
+        for tag, position in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            hit = (position < F.col("_cum")) & (position >= F.col("_cum") - F.col("_n"))
             aggregates.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}"))
-        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        missed = F.raise_error(F.lit("a quantile lies outside its digest bracket")).cast("double")
-        exact = low + (high - low) * (at - F.floor(at))
-        result.append(F.when(low.isNull() | high.isNull(), missed).otherwise(exact).alias(name))
-    return table.groupBy(*keys, "_size").agg(*aggregates).select(*by, *result)
+        result.append(_between(F.col(f"_lo{i}"), F.col(f"_hi{i}"), p).alias(name))
+    return running.groupBy(*keys, "_size").agg(*aggregates).select(*keys, *result)

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from longitrack.operators import fits, qc, ranking, ratio, trajectories
-from longitrack.operators.ordering import cumulative, exact_quantiles, global_rank
+from longitrack.operators.ordering import (
+    _bracketed_quantiles, _ranked_quantiles, cumulative, exact_quantiles, global_rank,
+)
 from longitrack.params import GeometryQC
 
 LONG = "roi_id int, day int, channel string, mean_intensity double"
@@ -203,12 +205,24 @@ def test_exact_quantiles_both_ways(spark, small):
     assert one.q == pytest.approx(np.quantile(groups[0], 0.25))
 
 
-def test_ranks_over_partitions(spark):
+@pytest.mark.parametrize("way", [_bracketed_quantiles, _ranked_quantiles])
+def test_quantiles_at_every_group_size(spark, way):
+    """Positions between ranks, for groups of one to forty values, some of them equal."""
+    rng = np.random.default_rng(8)
+    groups = {n: np.round(rng.normal(size=n), 1 + n % 2) for n in range(1, 41)}
+    df = spark.createDataFrame([(n, float(v)) for n, vs in groups.items() for v in vs], "g int, _v double").repartition(5)
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.75, "e": 0.95, "f": 1.0}
+    for r in way(df, ["g"], probs).collect():
+        assert [r[k] for k in probs] == pytest.approx(np.quantile(groups[r.g], list(probs.values())))
+
+
+@pytest.mark.parametrize("partitions", [None, 6])
+def test_ranks_over_partitions(spark, partitions):
     df = spark.range(1000).select("id", (F.col("id") % 3).alias("g"), (-F.col("id") % 10).alias("k"))
-    ranked = global_rank(df, [F.desc("k"), F.asc("id")]).orderBy("rank").collect()
+    ranked = global_rank(df, [F.desc("k"), F.asc("id")], partitions=partitions).orderBy("rank").collect()
     assert [r["rank"] for r in ranked] == list(range(1, 1001))
     assert [r.id for r in ranked] == [r.id for r in sorted(ranked, key=lambda r: (-r.k, r.id))]
-    grouped = global_rank(df, [F.asc("id")], ["g"]).collect()
+    grouped = global_rank(df, [F.asc("id")], ["g"], partitions=partitions).collect()
     assert all(r["rank"] == r.id // 3 + 1 for r in grouped)
-    total = cumulative(df, [F.asc("id")], weight=F.col("id")).agg(F.max("cum")).first()[0]
+    total = cumulative(df, [F.asc("id")], weight=F.col("id"), partitions=partitions).agg(F.max("cum")).first()[0]
     assert total == 999 * 1000 // 2
