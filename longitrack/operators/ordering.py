@@ -57,9 +57,12 @@ def global_rank(
 
 def exact_quantiles(
     df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), small: int = SMALL_GROUP,
+    written: bool = False,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per ``by`` group.
 
+    The values are read several times, so they are written first unless ``df`` is a ``written`` table.
+
     Up to ``small`` values the built-in exact percentile is used. Beyond it, a mergeable digest
     brackets the two order statistics of every quantile, a second pass counts the values below each
     bracket, and only the few distinct values inside the brackets are sorted. Both passes combine on
@@ -67,9 +70,9 @@ def exact_quantiles(
     bracket, the cumulative counts of a range-partitioned table answer instead.
     """
     by = list(by)
-    values = materialise(
-        df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    )
+    values = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    if not written:
+        values = materialise(values)
     if values.count() <= small:
         return values.groupBy(*by).agg(*[F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()])
     keys = by or ["_all"]

@@ -200,6 +200,12 @@ def _residuals(rows: DataFrame, spacing: Spacing) -> Column:
     return F.sqrt(dz * dz + dy * dy + dx * dx)
 
 
+def _measured(rows: DataFrame, solved: DataFrame, pair: list[str], spacing: Spacing) -> DataFrame:
+    """The seeds of all solvable pairs with their distance from the fitted position, written once."""
+    fitted = rows.join(solved.select(*pair, "_full", *COEFFICIENTS), pair).where("_full")
+    return materialise(fitted.select(*rows.columns, _residuals(fitted, spacing).alias("residual")))
+
+
 def restricted_transforms(
     seeds: DataFrame, shifts: DataFrame, params: OverlapParams = OverlapParams(), spacing: Spacing = Spacing(),
     pair: Sequence[str] = PAIR,
@@ -212,25 +218,26 @@ def restricted_transforms(
     so all pairs take the same number of rounds. Failing pairs fall back to the shift alone.
     """
     pair = list(pair)
-    rows = materialise(seeds.withColumn("keep", F.lit(True)))
+    places = ["za", "ya", "xa", "zb", "yb", "xb"]
+    rows = seeds.select(*pair, *places, F.lit(True).alias("keep"))
     failed = None
     for _ in range(params.trim_iterations):
         solved = materialise(_solve(_normal_sums(rows, pair)))
-        fitted = rows.join(solved.select(*pair, "_full", *COEFFICIENTS), pair).where("_full")
-        measured = fitted.withColumn("residual", _residuals(fitted, spacing)).drop(*COEFFICIENTS, "_full")
         broken = solved.where(~F.col("_full")).select(*pair, "n_inlier", F.lit("rank_deficient").alias("_reason"))
         failed = broken if failed is None else failed.unionByName(broken)
-        limit = exact_quantiles(measured.where("keep"), "residual", {"q": params.trim_quantile}, pair)
+        measured = _measured(rows, solved, pair, spacing)
+        limit = materialise(
+            exact_quantiles(measured.where("keep"), "residual", {"q": params.trim_quantile}, pair, written=True)
+        )
         cut = F.least(F.lit(params.max_residual_um), F.col("q"))
-        moved = materialise(measured.join(limit, pair).withColumn("_new", F.col("residual") <= cut))
-        rows = moved.select(*pair, "za", "ya", "xa", "zb", "yb", "xb", F.col("_new").alias("keep"))
+        moved = measured.join(limit, pair).withColumn("_new", F.col("residual") <= cut)
+        rows = moved.select(*pair, *places, F.col("_new").alias("keep"))
         if moved.where(F.col("_new") != F.col("keep")).isEmpty():
             break
     final = materialise(_solve(_normal_sums(rows, pair)))
-    fitted = rows.join(final.select(*pair, "_full", *COEFFICIENTS), pair).where("_full")
-    kept = fitted.withColumn("residual", _residuals(fitted, spacing)).where("keep")
+    kept = _measured(rows, final, pair, spacing).where("keep")
     spread = exact_quantiles(
-        kept, "residual", {"residual_median_um": 0.5, "residual_p95_um": params.trim_quantile}, pair
+        kept, "residual", {"residual_median_um": 0.5, "residual_p95_um": params.trim_quantile}, pair, written=True
     )
     counts = seeds.groupBy(*pair).agg(F.count(F.lit(1)).alias("_seeds"))
     early = failed.groupBy(*pair).agg(F.first("_reason").alias("_early"), F.first("n_inlier").alias("_early_n"))
