@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from longitrack.params import Spacing
 from longitrack.session import materialise
 
+# Edge of the image tiles on which crops and voxels meet, in pixels.
+TILE = 32
+
 
 def invalid_masks(voxels: DataFrame, volumes: DataFrame) -> DataFrame:
     """Sessions whose mask has no foreground or no background; empty when all are fine."""
@@ -200,10 +203,18 @@ def roi_crops(features: DataFrame, volumes: DataFrame, pad_xy: int = 20, min_siz
 def crop_projection(voxels: DataFrame, crop: DataFrame, value: str) -> DataFrame:
     """Maximum over z of ``value`` in each region's crop, and where the region itself is.
 
-    ``crop`` comes from :func:`roi_crops` for the regions to show.
+    ``crop`` comes from :func:`roi_crops` for the regions to show. Crops and voxels meet on image tiles,
+    so a voxel is only compared with the crops that reach into its tile.
     """
+    def tile(c: str | Column) -> Column:
+        return F.floor((F.col(c) if isinstance(c, str) else c) / TILE)
+
     boxes = crop.withColumnRenamed("label", "roi_id")
-    inside = boxes.join(voxels, "session_id").where(
+    for c in ("y", "x"):
+        tiles = F.sequence(tile(f"{c}_start"), tile(F.col(f"{c}_stop") - 1))
+        boxes = boxes.withColumn(f"tile_{c}", F.explode(tiles))
+    placed = voxels.withColumn("tile_y", tile("y")).withColumn("tile_x", tile("x"))
+    inside = boxes.join(placed, ["session_id", "tile_y", "tile_x"]).where(
         (F.col("z") >= F.col("z_start")) & (F.col("z") < F.col("z_stop"))
         & (F.col("y") >= F.col("y_start")) & (F.col("y") < F.col("y_stop"))
         & (F.col("x") >= F.col("x_start")) & (F.col("x") < F.col("x_stop"))

@@ -114,7 +114,7 @@ def raw_space_geometry(spark: SparkSession, sf: str) -> DataFrame:
 def group_geometry(spark: SparkSession, sf: str) -> DataFrame:
     features = _block(spark, sf)[2]
     groups = features.select("label", (F.floor((F.col("label") - 1) / 8)).alias("group_id"))
-    return rounded(vox.group_geometry(features, groups, "a", 2, 8))
+    return rounded(vox.group_geometry(features, groups, "f", 2, 8))
 
 
 # --- registration -------------------------------------------------------------------------------
@@ -140,8 +140,8 @@ def restricted_transform(spark: SparkSession, sf: str) -> DataFrame:
 
 def xy_phase_shift(spark: SparkSession, sf: str) -> DataFrame:
     """Sub-pixel in-plane shift from FFT correlation (no SQL twin; checked on small fixtures)."""
-    a = rel.block_voxels(spark, sf)
-    b = a.withColumn("session_id", F.lit("b")).withColumn("y", F.col("y") + 2).where(F.col("y") < 64)
+    a = rel.block_voxels(spark, sf).withColumn("session_id", F.translate("session_id", "f", "a"))
+    b = a.withColumn("session_id", F.translate("session_id", "a", "b")).withColumn("y", F.col("y") + 2).where(F.col("y") < 64)
     v = a.unionByName(b)
     return rounded(registration.xy_shifts(vox.occupancy_projection(v), rel.volume_sizes(v, 4, 64), _pairs(spark)))
 

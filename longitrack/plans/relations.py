@@ -131,11 +131,11 @@ def grid_voxels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def block_voxels(spark: SparkSession, sf: str) -> DataFrame:
-    """Compact regions with ragged borders: 8 x 8 pixel blocks, filled where an order is finished."""
+    """Session ``f``: compact regions with ragged borders, 8 x 8 pixel blocks filled where an order is finished."""
     k = F.col("o_orderkey")
     y, x = (F.floor(k / 4) % 64).cast("int"), F.floor(k / 256).cast("int")
     return table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(
-        F.lit("a").alias("session_id"), (k % 4).cast("int").alias("z"), y.alias("y"), x.alias("x"),
+        F.lower("o_orderstatus").alias("session_id"), (k % 4).cast("int").alias("z"), y.alias("y"), x.alias("x"),
         (1 + F.floor(y / 8) + 8 * F.floor(x / 8)).alias("label"), F.col("o_totalprice").alias("red"),
     )
 

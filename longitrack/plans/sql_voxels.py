@@ -207,7 +207,7 @@ SELECT label, 'red' AS channel, round(avg(red), 6) AS mean_intensity FROM v GROU
 UNION ALL SELECT label, 'green', round(avg(green), 6) FROM v GROUP BY label HAVING NOT bool_or(green = 0)""",
     "overlap_dice_iou": overlap(0, 0, 0),
     "shifted_overlap": overlap(0, 2, 0),
-    "occupancy_projection": f"WITH {BLOCK} SELECT 'a' AS session_id, y, x, count(*) AS n FROM vox GROUP BY ALL",
+    "occupancy_projection": f"WITH {BLOCK} SELECT 'f' AS session_id, y, x, count(*) AS n FROM vox GROUP BY ALL",
     "z_shift_xcorr": """WITH a AS (SELECT o_custkey % 16 AS z, count(*) AS n FROM orders GROUP BY 1),
 b AS (SELECT (o_custkey + 3) % 16 AS z, count(*) AS n FROM orders GROUP BY 1),
 ca AS (SELECT z, n - (SELECT sum(n) / 16 FROM a) AS v FROM a),
@@ -216,16 +216,16 @@ k AS (SELECT ca.z - cb.z AS lag, sum(ca.v * cb.v) AS c FROM ca, cb GROUP BY 1)
 SELECT 'a' AS day_a, 'b' AS day_b, (SELECT lag FROM k ORDER BY c DESC, lag LIMIT 1)::DOUBLE AS shift_z, false AS z_fallback,
        NULL::VARCHAR AS z_fallback_reason""",
     "projected_shape": f"""WITH {SHAPE}
-SELECT 'a' AS session_id, label, voxel_count, proj_area_px, z_span_px, y_span_px, x_span_px, round(p, 6) AS proj_perimeter_px,
+SELECT 'f' AS session_id, label, voxel_count, proj_area_px, z_span_px, y_span_px, x_span_px, round(p, 6) AS proj_perimeter_px,
        round(4 * pi() * proj_area_px / (p * p), 6) AS circularity,
        round(CASE WHEN big > 0 THEN sqrt(1 - small / big) ELSE 0.0 END, 6) AS eccentricity,
        round(CASE WHEN small > 1e-12 THEN sqrt(big / small) END, 6) AS axis_ratio, round(sqrt(4 * proj_area_px / pi()), 6) AS eq_diam_px,
        round(proj_area_px * (0.7::DOUBLE * 0.7::DOUBLE), 6) AS proj_area_um2, round(sqrt(4 * proj_area_px / pi()) * 0.7, 6) AS eq_diam_um,
        round(z_span_px * 5.0::DOUBLE, 6) AS z_span_um FROM eig""",
     "center_crop": f"""WITH {BLOCK}
-SELECT 'a' AS session_id, z, y - 15 AS y, x - (nx - 5) // 2 AS x, label FROM vox, dims
+SELECT 'f' AS session_id, z, y - 15 AS y, x - (nx - 5) // 2 AS x, label FROM vox, dims
 WHERE y >= 15 AND y < 48 AND x >= (nx - 5) // 2 AND x < (nx - 5) // 2 + 5""",
-    "roi_crop_bounds": f"WITH {crops(3, 20, 1)} SELECT 'a' AS session_id, * FROM crop",
+    "roi_crop_bounds": f"WITH {crops(3, 20, 1)} SELECT 'f' AS session_id, * FROM crop",
     "fixed_crop_bounds": f"""WITH {BLOCK}
 SELECT label, greatest(0, least({rint('cy - 12')}, 40)) AS y_start, greatest(0, least({rint('cy - 12')}, 40)) + 24 AS y_stop FROM feat""",
     "crop_projection": f"""WITH {crops(2, 12, 0)}
