@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from longitrack.operators import assignment, legacy, qc, registration, tracks, voxels as vox
+from longitrack.operators.ordering import global_rank
 from longitrack.operators.review import pair_diagnostics
 from longitrack.params import LegacyParams, RatioParams
 from longitrack.plans.daywise import analyse, pair_schedule
@@ -27,33 +28,29 @@ def match_weeks(
     volumes = store.write("volumes", tiff.read_volumes(spark, specs))
     pairs = pair_schedule(spark, sessions, 2)
     records = store.write("roi_records", legacy.records(voxels, volumes, params))
-    zero = pairs.select(*PAIR, F.lit(0.0).alias("shift_y"), F.lit(0.0).alias("shift_x"))
     if use_shift:
         found = registration.xy_shifts(vox.occupancy_projection(voxels), volumes, pairs, legacy_reach=params.max_shift)
         found = store.write("correlation_shifts", found)
         shifts = registration.legacy_shift(records, found, params.max_dist_xy, params.max_dist_z)
     else:
-        shifts = zero
+        shifts = pairs.select(*PAIR, F.lit(0.0).alias("shift_y"), F.lit(0.0).alias("shift_x"))
     shifts = store.write("shifts", shifts)
     candidates = store.write("candidates", legacy.scored_pairs(records, shifts, params))
     matches = store.write("matches", assignment.reciprocal_best(candidates).join(pairs, PAIR), ("day_a", "day_b"))
     counts = candidates.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("candidate_pairs"))
     store.write("pair_summary", shifts.join(counts, PAIR, "left").join(pair_diagnostics(matches, PAIR, ("dxy", "dz")), PAIR, "left"))
     nodes, links = tracks.legacy_tracks(matches, len(sessions), params.min_gap_support)
-    alone = records.join(
-        spark.createDataFrame([(s.session_id, s.session_index) for s in sessions], "session_id string, session_index int"), "session_id"
-    ).select("session_index", "label").join(nodes, ["session_index", "label"], "left_anti")
+    index = spark.createDataFrame([(s.session_id, s.session_index) for s in sessions], "session_id string, session_index int")
+    placed = records.join(index, "session_id").select("session_index", "label", "is_edge")
+    alone = placed.select("session_index", "label").join(nodes, ["session_index", "label"], "left_anti")
     nodes = store.write("track_nodes", nodes.unionByName(
         alone.withColumn("head_session", F.col("session_index")).withColumn("head_label", F.col("label"))
     ))
     table = tracks.legacy_track_table(nodes, links)
-    edges = nodes.join(
-        records.join(spark.createDataFrame([(s.session_id, s.session_index) for s in sessions], "session_id string, session_index int"),
-                     "session_id").select("session_index", "label", "is_edge"), ["session_index", "label"]
-    ).groupBy("head_session", "head_label").agg(F.bool_or("is_edge").alias("any_edge_roi"))
+    edges = nodes.join(placed, ["session_index", "label"]).groupBy("head_session", "head_label").agg(
+        F.bool_or("is_edge").alias("any_edge_roi")
+    )
     table = table.join(edges, ["head_session", "head_label"], "left")
-    from longitrack.operators.ordering import global_rank
-
     order = [F.desc("n_days_present"), F.desc("mean_confidence"), F.asc("signature")]
     table = store.write("tracks", qc.legacy_flags(global_rank(table, order, out="cluster_id"), params.low_confidence))
     store.write("track_lengths", tracks.length_thresholds(table))
