@@ -30,9 +30,11 @@ from longitrack.session import materialise
 SHINGLE_WORDS = 4
 PERCENT = 85
 # Counters of the frequency table and bits of the membership table; both sizes are fixed.
-COUNTERS = 1 << 22
+COUNTERS = 1 << 24
 MEMBER_BITS = 1 << 26
 CHUNK_SLOTS = 1 << 16
+# Bits of the table of wanted document ids.
+WANTED_BITS = 1 << 23
 # Pairs multiplied in one block.
 BLOCK_PAIRS = 64
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -86,8 +88,8 @@ def _table_chunks(table: np.ndarray):
             yield at // CHUNK_SLOTS, zlib.compress(part.tobytes(), 1)
 
 
-def merged_table(chunks: DataFrame, size: int, dtype, add) -> np.ndarray:
-    """The tables of all tasks as one: chunks meet by number, each task adds up its own."""
+def merged_table(chunks: DataFrame, size: int, dtype, add, finish=lambda table: table) -> np.ndarray:
+    """The tables of all tasks as one byte table: chunks meet by number, each task adds up and finishes its own."""
 
     def merge(batches):
         totals: dict[int, np.ndarray] = {}
@@ -97,16 +99,21 @@ def merged_table(chunks: DataFrame, size: int, dtype, add) -> np.ndarray:
                 totals[number] = add(totals[number], part) if number in totals else part
         if totals:
             yield pa.RecordBatch.from_arrays([
-                pa.array(list(totals), pa.int32()), pa.array([zlib.compress(t.tobytes(), 1) for t in totals.values()], pa.binary())],
+                pa.array(list(totals), pa.int32()), pa.array([zlib.compress(finish(t).tobytes(), 1) for t in totals.values()], pa.binary())],
                 names=["chunk", "data"])
 
-    out = np.zeros(size, dtype)
+    out = np.zeros(size, np.uint8)
     for row in chunks.select("chunk", "data").repartition(F.col("chunk")).mapInArrow(merge, "chunk int, data binary").collect():
         at = row["chunk"] * CHUNK_SLOTS
-        out[at:at + CHUNK_SLOTS] = np.frombuffer(zlib.decompress(row["data"]), dtype)
+        out[at:at + CHUNK_SLOTS] = np.frombuffer(zlib.decompress(row["data"]), np.uint8)
     return out
 
 
+def eighths(counts: np.ndarray) -> np.ndarray:
+    """Eighths of a power of two: enough for an order, and they fit into a byte."""
+    return np.minimum(255, 8 * np.log2(np.maximum(1, counts))).astype(np.uint8)
+
+
 def classes_and_frequencies(docs: DataFrame, words: int, counters: int) -> DataFrame:
     """One pass: a row (doc_id, key, n) per document, and rows (chunk, data) of the counters of each task."""
 
@@ -170,36 +177,37 @@ def postings(docs: DataFrame, frequency, words: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(emit, "shingle long, key long, n int, place int")
 
 
-def member_table(shingle_table: DataFrame, bits: int) -> np.ndarray:
-    """Bit table of the given shingles; other shingles may be taken for members."""
+def is_member(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slots = values % np.uint64(len(table) * 8)
+    return (table[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def member_table(values: DataFrame, bits: int) -> np.ndarray:
+    """Bit table of the one column of ``values`` (long, not null); other values may be taken for members."""
 
     def mark(batches):
         table = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            slots = batch.column("shingle").to_numpy().view(np.uint64) % np.uint64(bits)
+            slots = batch.column(0).to_numpy().view(np.uint64) % np.uint64(bits)
             np.bitwise_or.at(table, (slots >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slots & np.uint64(7)).astype(np.uint8))
         for number, data in _table_chunks(table):
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "data"])
 
-    return merged_table(shingle_table.select("shingle").mapInArrow(mark, "chunk int, data binary"), bits // 8, np.uint8, np.bitwise_or)
+    return merged_table(values.mapInArrow(mark, "chunk int, data binary"), bits // 8, np.uint8, np.bitwise_or)
 
 
 def candidates(docs: DataFrame, frequency, members, words: int, percent: int) -> DataFrame:
-    """Documents with prefix shingles among ``members``: (doc_id, key, n, shingles, places, text)."""
+    """Documents with prefix shingles among ``members``: (doc_id, key, n, shingles, places)."""
 
     def emit(batches):
-        table = members.value
-        bits = np.uint64(len(table) * 8)
         for batch in batches:
             out = {k: [] for k in ("row", "key", "n", "shingles", "places")}
-            texts = batch.column("text")
-            for row, text in enumerate(texts):
+            for row, text in enumerate(batch.column("text")):
                 found = shingles(text.as_py(), words)
                 if not len(found):
                     continue
                 first = prefix(found, frequency.value, percent)
-                slots = first % bits
-                hit = np.flatnonzero(table[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8) & 1)
+                hit = np.flatnonzero(is_member(members.value, first))
                 if len(hit):
                     for k, v in zip(out, (row, class_key(found), len(found), first[hit].view(np.int64), hit.astype(np.int32))):
                         out[k].append(v)
@@ -207,10 +215,33 @@ def candidates(docs: DataFrame, frequency, members, words: int, percent: int) ->
                 rows = pa.array(out["row"])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").take(rows), pa.array(out["key"], pa.int64()), pa.array(out["n"], pa.int32()),
-                    pa.array(out["shingles"], pa.list_(pa.int64())), pa.array(out["places"], pa.list_(pa.int32())), texts.take(rows),
-                ], names=["doc_id", "key", "n", "shingles", "places", "text"])
+                    pa.array(out["shingles"], pa.list_(pa.int64())), pa.array(out["places"], pa.list_(pa.int32())),
+                ], names=["doc_id", "key", "n", "shingles", "places"])
+
+    return docs.mapInArrow(emit, "doc_id long, key long, n int, shingles array<long>, places array<int>")
+
+
+def texts_of(docs: DataFrame, pairs: DataFrame, heads: DataFrame, words: int) -> DataFrame:
+    """(key, text): one text for every class in ``pairs`` (a, b).
+
+    The texts are found by the doc_ids of ``heads``, through a bit table of fixed size, so that few others
+    are shuffled; the name of the set decides.
+    """
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    wanted = materialise(heads.select("key", "doc_id").join(keys, "key"))
+    table = docs.sparkSession.sparkContext.broadcast(member_table(wanted.where("doc_id is not null").select("doc_id"), WANTED_BITS))
+
+    def fetch(batches):
+        for batch in batches:
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            hit = np.flatnonzero(is_member(table.value, ids.fill_null(0).to_numpy().view(np.uint64)) | ids.is_null().to_numpy(zero_copy_only=False))
+            if len(hit):
+                own = texts.take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([pa.array([class_key(shingles(t.as_py(), words)) for t in own], pa.int64()), own], names=["key", "text"])
+
+    return materialise(docs.mapInArrow(fetch, "key long, text string").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+
 
-    return docs.mapInArrow(emit, "doc_id long, key long, n int, shingles array<long>, places array<int>, text string")
 
 
 def may_link(n_a: Column, place_a: Column, n_b: Column, place_b: Column, percent: int) -> Column:
@@ -299,9 +330,8 @@ def near_duplicates(
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     scanned = materialise(classes_and_frequencies(docs, words, counters))
-    counts = merged_table(scanned.where("chunk is not null"), counters, np.uint32, np.add)
-    # Eighths of a power of two are enough for an order and fit into a byte.
-    frequency = spark.sparkContext.broadcast(np.minimum(255, 8 * np.log2(np.maximum(1, counts))).astype(np.uint8))
+    frequency = spark.sparkContext.broadcast(
+        merged_table(scanned.where("chunk is not null"), counters, np.uint32, np.add, eighths))
     rows = scanned.where("chunk is null").select("doc_id", "key", "n")
 
     posted = postings(docs, frequency, words, percent)
@@ -311,11 +341,10 @@ def near_duplicates(
             F.min("key").alias("low"), F.max("key").alias("high"),
             F.min(F.struct("place", "n", "key")).alias("pivot"))
         .where("low <> high").select("shingle", "pivot"))
-    members = spark.sparkContext.broadcast(member_table(columns, member_bits))
+    members = spark.sparkContext.broadcast(member_table(columns.select("shingle"), member_bits))
     found = materialise(candidates(docs, frequency, members, words, percent))
     # One row stands for a class: all its texts have the same set. Copies collapse before the shuffle.
     heads = materialise(found.dropDuplicates(["key"]))
-    texts = heads.select("key", "text")
     entries = materialise(
         heads.select("key", "n", F.explode(F.arrays_zip("shingles", "places")).alias("e"))
         .select(F.col("e.shingles").alias("shingle"), "key", "n", F.col("e.places").alias("place"))
@@ -325,7 +354,7 @@ def near_duplicates(
         (F.col("key") != F.col("pivot.key")) & may_link(F.col("n"), F.col("place"), F.col("pivot.n"), F.col("pivot.place"), percent)
     ).select(F.col("key").alias("a"), F.col("pivot.key").alias("b")).distinct()
     star = materialise(star)
-    links = materialise(linked_pairs(star, texts, words, percent))
+    links = materialise(linked_pairs(star, texts_of(docs, star, heads, words), words, percent))
     labels = connected(links)
 
     labelled = entries.join(labels, "key", "left").select(
@@ -336,7 +365,8 @@ def near_duplicates(
     crossing = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & may_link(
         F.col("a.n"), F.col("a.place"), F.col("b.n"), F.col("b.place"), percent)).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = linked_pairs(materialise(crossing.join(tried, ["a", "b"], "left_anti")), texts, words, percent)
+    crossing = materialise(crossing.join(tried, ["a", "b"], "left_anti"))
+    more = linked_pairs(crossing, texts_of(docs, crossing, heads, words), words, percent)
     labels = connected(materialise(links.union(more)))
 
     # From classes to documents: the least doc_id of all classes of a component.
