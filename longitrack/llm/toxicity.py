@@ -23,7 +23,7 @@ from longitrack.llm.tokens import gathered
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}@$!*]+")
 THRESHOLD = 0.7
 # Labelled rows used for training, by label: the bound of the sample, taken by a hash of the id.
-MAX_TRAINED = {0: 3_000, 1: 1_500}
+MAX_TRAINED = {0: 2_500, 1: 1_200}
 # Size of the n-gram table and of its vectors, and the n-grams of a word.
 BUCKETS = 1 << 18
 DIMENSIONS = 6
@@ -102,11 +102,11 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 0) -> ToxicityM
     number: dict[str, int] = {}
     bags, owner = [], []
     for i, text in enumerate(texts):
-        words = np.asarray([number.setdefault(w, len(number)) for w in WORD.findall((text or "").lower())], np.int32)
+        words = WORD.findall((text or "").lower())
         spans = passages(len(words))
         if len(spans) > TRAINED_PASSAGES:
             spans = [spans[k] for k in sorted(rng.choice(len(spans), TRAINED_PASSAGES, replace=False))]
-        bags += [words[a:b] for a, b in spans]
+        bags += [np.asarray([number.setdefault(w, len(number)) for w in words[a:b]], np.int32) for a, b in spans]
         owner += [i] * len(spans)
     owner = np.asarray(owner, np.int64)
     label = np.asarray(toxic, np.int64)[owner] if len(owner) else owner
