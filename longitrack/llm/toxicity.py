@@ -184,7 +184,8 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, limit: dict[int, int] =
     wanted = F.lit(False)
     for value, size in sizes.items():
         wanted = wanted | ((F.col("toxic") == value) & (share < min(1.0, limit.get(value, 0) / size)))
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.where(wanted), "doc_id")
+    # The sample of ids is bounded by ``limit``, whatever the size of the tables.
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.where(wanted)), "doc_id")
     rows = sample.select("doc_id", "text", "toxic").collect() if sizes else []
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
