@@ -89,14 +89,17 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     rows with one doc_id any may stand for the next document.
     """
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
-    pairs = neighbours(own)
+    known, unknown = own.where("doc_id is not null"), own.where("doc_id is null")
+    n_chars = F.char_length("text").cast("long")
+    cut = F.floor(n_chars / 3).cast("int")
     # What a document needs of the next one: the most characters that any of its rows replaces.
-    need = materialise(own.where("doc_id is not null").groupBy("doc_id").agg(F.max("cut").alias("cut")).join(pairs, "doc_id"))
-    heads = own.select("doc_id", "text").join(need.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("of"), "cut"), "doc_id")
+    need = materialise(known.groupBy("doc_id").agg(F.max(cut).alias("cut")).join(neighbours(known), "doc_id"))
+    # Both joins deal the texts by doc_id in the same form, so that they are shuffled once.
+    heads = known.join(need.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("of"), "cut"), "doc_id")
     heads = heads.select(F.col("of").alias("doc_id"), F.substring("text", F.lit(1), F.col("cut")).alias("head"), sketch(F.col("text")).alias("next_sketch"))
     heads = heads.groupBy("doc_id").agg(F.min_by(F.struct("head", "next_sketch"), "head").alias("next"))
-    joined = own.join(heads, "doc_id", "left")
+    joined = known.join(heads, "doc_id", "left").unionByName(unknown, allowMissingColumns=True)
+    joined = joined.withColumn("n_chars", n_chars).withColumn("cut", cut)
     stem = F.substring("text", F.lit(1), (F.col("n_chars") - F.col("cut")).cast("int"))
     edited = F.concat(stem, F.coalesce(F.substring(F.col("next.head"), F.lit(1), F.col("cut")), F.lit("")))
     both = joined.select(
