@@ -5,37 +5,37 @@ from __future__ import annotations
 from longitrack.plans.sql_ratio import r
 
 PAIRS = """
-pts AS (
+pts AS MATERIALIZED (
   SELECT vec_id // 1000 AS field_id, (vec_id % 4)::BIGINT AS s, vec_id AS label, embedding[1]::DOUBLE * 100.0 AS z,
          embedding[2]::DOUBLE * 100.0 AS y, embedding[3]::DOUBLE * 100.0 AS x, (label + 1)::DOUBLE AS area
   FROM embeddings),
-dist AS (
+dist AS MATERIALIZED (
   SELECT a.field_id, a.s AS index_a, b.s AS index_b, a.label AS label_a, b.label AS label_b, a.area AS area_a, b.area AS area_b,
          sqrt((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS d,
          a.z AS az, a.y AS ay, a.x AS ax, b.z AS bz, b.y AS by_, b.x AS bx
   FROM pts a JOIN pts b ON a.field_id = b.field_id AND b.s > a.s AND b.s <= a.s + 2),
-ranked AS (
+ranked AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY field_id, index_a, index_b, label_a ORDER BY d, label_b) AS ra,
          row_number() OVER (PARTITION BY field_id, index_a, index_b, label_b ORDER BY d, label_a) AS rb
   FROM dist),
-na AS (SELECT field_id, index_a, index_b, label_a, max(label_b) FILTER (ra = 1) AS nb, max(d) FILTER (ra = 1) AS d1,
+na AS MATERIALIZED (SELECT field_id, index_a, index_b, label_a, max(label_b) FILTER (ra = 1) AS nb, max(d) FILTER (ra = 1) AS d1,
               max(d) FILTER (ra = 2) AS d2 FROM ranked WHERE ra <= 2 GROUP BY ALL),
-nb AS (SELECT field_id, index_a, index_b, label_b, max(label_a) FILTER (rb = 1) AS na, max(d) FILTER (rb = 1) AS d1,
+nb AS MATERIALIZED (SELECT field_id, index_a, index_b, label_b, max(label_a) FILTER (rb = 1) AS na, max(d) FILTER (rb = 1) AS d1,
               max(d) FILTER (rb = 2) AS d2 FROM ranked WHERE rb <= 2 GROUP BY ALL),
-cent AS (
+cent AS MATERIALIZED (
   SELECT na.field_id, na.index_a, na.index_b, na.label_a, nb.label_b, na.d1 AS distance_um,
          greatest(CASE WHEN na.d2 > 0 THEN na.d1 / na.d2 ELSE 1.25 END, CASE WHEN nb.d2 > 0 THEN nb.d1 / nb.d2 ELSE 1.25 END)
            AS ambiguity
   FROM na JOIN nb ON na.field_id = nb.field_id AND na.index_a = nb.index_a AND na.index_b = nb.index_b
        AND na.nb = nb.label_b AND nb.na = na.label_a
   WHERE na.d1 <= 10),
-ovl AS (
+ovl AS MATERIALIZED (
   SELECT field_id, index_a, index_b, label_a, label_b, 1.0::DOUBLE - d / 8.0 AS dice,
          (1.0::DOUBLE - d / 8.0) / (2.0::DOUBLE - (1.0::DOUBLE - d / 8.0)) AS iou
   FROM dist WHERE d <= 8)"""
 
 CANDIDATES = PAIRS + """,
-uni AS (
+uni AS MATERIALIZED (
   SELECT d.field_id, d.index_a, d.index_b, d.label_a, d.label_b,
          CASE WHEN c.label_a IS NOT NULL AND o.label_a IS NOT NULL THEN 'both'
               WHEN c.label_a IS NOT NULL THEN 'mutual_centroid' ELSE 'mutual_overlap' END AS candidate_source,
@@ -45,10 +45,10 @@ uni AS (
   LEFT JOIN cent c USING (field_id, index_a, index_b, label_a, label_b)
   LEFT JOIN ovl o USING (field_id, index_a, index_b, label_a, label_b)
   WHERE c.label_a IS NOT NULL OR o.dice >= 0.10),
-sc AS (
+sc AS MATERIALIZED (
   SELECT *, exp(-((distance_um / 4.0) * (distance_um / 4.0))) AS spatial_term,
          greatest(0.0::DOUBLE, 1.0::DOUBLE - least(ambiguity::DOUBLE, 1.0::DOUBLE)) AS ambiguity_term FROM uni),
-cand AS (
+cand AS MATERIALIZED (
   SELECT *, 0.40::DOUBLE * spatial_term + 0.32::DOUBLE * dice + 0.15::DOUBLE * area_ratio + 0.13::DOUBLE * ambiguity_term AS score,
          (dice >= 0.40 AND distance_um <= 8 AND area_ratio >= 0.30)
            OR (distance_um <= 3.5 AND area_ratio >= 0.55 AND ambiguity <= 0.70) AS high_rule,

@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Fixed values of the file format: tag numbers, field sizes and sample formats.
-WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, ROWS_PER_STRIP, STRIP_COUNTS, SAMPLE_FORMAT = (
-    256, 257, 258, 259, 273, 278, 279, 339,
+WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PREDICTOR, TILE_WIDTH, SAMPLE_FORMAT = (
+    256, 257, 258, 259, 273, 277, 278, 279, 317, 322, 339,
 )
+NO_PREDICTOR, HORIZONTAL = 1, 2
+LARGEST_LABEL = 2**31 - 1
 FIELD_SIZES = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4), 16: ("Q", 8)}
 KINDS = {1: "u", 2: "i", 3: "f"}
 UNCOMPRESSED, DEFLATE_CODES = 1, (8, 32946)
@@ -39,6 +41,7 @@ class Page:
     compression: int
     offsets: tuple[int, ...]
     counts: tuple[int, ...]
+    predictor: int = NO_PREDICTOR
 
 
 def read_pages(path: str) -> list[Page]:
@@ -78,9 +81,16 @@ def read_pages(path: str) -> list[Page]:
             compression = tags.get(COMPRESSION, (1,))[0]
             if compression != UNCOMPRESSED and compression not in DEFLATE_CODES:
                 raise ValueError(f"unsupported compression {compression}: {path}")
+            if TILE_WIDTH in tags:
+                raise ValueError(f"tiled pages are not supported: {path}")
+            if tags.get(SAMPLES, (1,))[0] != 1:
+                raise ValueError(f"pages with several samples per pixel are not supported: {path}")
+            predictor = tags.get(PREDICTOR, (NO_PREDICTOR,))[0]
+            if predictor != NO_PREDICTOR and (predictor != HORIZONTAL or kind == "f"):
+                raise ValueError(f"unsupported predictor {predictor}: {path}")
             pages.append(Page(
                 tags[HEIGHT][0], tags[WIDTH][0], f"{order}{kind}{bits // 8}", compression,
-                tags[STRIP_OFFSETS], tags[STRIP_COUNTS],
+                tags[STRIP_OFFSETS], tags[STRIP_COUNTS], predictor,
             ))
             position = following
     return pages
@@ -94,8 +104,12 @@ def read_page(path: str, page: Page) -> np.ndarray:
             f.seek(offset)
             data = f.read(count)
             parts.append(data if page.compression == UNCOMPRESSED else zlib.decompress(data))
-    pixels = np.frombuffer(b"".join(parts), dtype=np.dtype(page.dtype))
-    return pixels[:page.height * page.width].reshape(page.height, page.width)
+    data, dtype = b"".join(parts), np.dtype(page.dtype)
+    if len(data) != page.height * page.width * dtype.itemsize:
+        raise ValueError(f"a page holds {len(data)} bytes instead of {page.height * page.width * dtype.itemsize}: {path}")
+    pixels = np.frombuffer(data, dtype=dtype).reshape(page.height, page.width)
+    # The horizontal predictor stores the difference to the pixel on the left, modulo the sample size.
+    return np.cumsum(pixels, axis=1, dtype=dtype.newbyteorder("=")) if page.predictor == HORIZONTAL else pixels
 
 
 class Slab(InputPartition):
@@ -135,6 +149,8 @@ class VolumeReader(DataSourceReader):
                 raise ValueError(f"session {session['session_id']}: mask labels must be integers")
             if mask.dtype.kind == "i" and mask.min() < 0:
                 raise ValueError(f"session {session['session_id']}: negative mask label")
+            if mask.size and mask.max() > LARGEST_LABEL:
+                raise ValueError(f"session {session['session_id']}: mask label over {LARGEST_LABEL}")
             y, x = np.nonzero(mask)
             n = len(y)
             columns = [

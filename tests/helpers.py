@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 
 
-def write_tiff(path, stack, compress=False, order="<"):
+def write_tiff(path, stack, compress=False, order="<", more=()):
     """Write a (z, y, x) stack as a multi-page TIFF with one strip per page."""
     stack = np.asarray(stack)
     kind = {"u": 1, "i": 2, "f": 3}[stack.dtype.kind]
@@ -22,6 +22,7 @@ def write_tiff(path, stack, compress=False, order="<"):
         out[link:link + 4] = struct.pack(order + "I", ifd)
         tags = [(256, 4, page.shape[1]), (257, 4, page.shape[0]), (258, 3, bits), (259, 3, 8 if compress else 1),
                 (273, 4, at), (278, 4, page.shape[0]), (279, 4, len(data)), (339, 3, kind)]
+        tags = sorted([*tags, *more])
         out += struct.pack(order + "H", len(tags))
         for tag, code, value in tags:
             cell = struct.pack(order + "HH", value, 0) if code == 3 else struct.pack(order + "I", value)

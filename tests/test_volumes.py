@@ -1,3 +1,4 @@
+import dataclasses
 import math
 from datetime import date
 
@@ -40,6 +41,27 @@ def test_tiff_source(spark, tmp_path, order, compress):
         tiff.read_voxels(spark, [{**spec[0], "red": str(tmp_path / "small.tif")}]).collect()
 
 
+def test_tiff_layouts(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    mask = rng.integers(0, 60000, (3, 4, 5)).astype(np.uint16)
+    steps = np.diff(mask, axis=2, prepend=np.zeros((3, 4, 1), np.uint16))
+    for order in "<>":
+        write_tiff(tmp_path / "p.tif", steps, True, order, [(317, 3, 2)])
+        got = np.stack([tiff.read_page(str(tmp_path / "p.tif"), page) for page in tiff.read_pages(str(tmp_path / "p.tif"))])
+        assert (got == mask).all()
+    for more, message in (([(277, 3, 3)], "samples"), ([(322, 4, 16)], "tiled"), ([(317, 3, 3)], "predictor")):
+        write_tiff(tmp_path / "x.tif", mask, more=more)
+        with pytest.raises(ValueError, match=message):
+            tiff.read_pages(str(tmp_path / "x.tif"))
+    write_tiff(tmp_path / "s.tif", mask)
+    page = tiff.read_pages(str(tmp_path / "s.tif"))[0]
+    with pytest.raises(ValueError, match="bytes instead of"):
+        tiff.read_page(str(tmp_path / "s.tif"), dataclasses.replace(page, height=3))
+    write_tiff(tmp_path / "big.tif", np.full((1, 2, 2), 3_000_000_000, np.uint32))
+    with pytest.raises(Exception, match="mask label over"):
+        tiff.read_voxels(spark, [{"session_id": "s", "mask": str(tmp_path / "big.tif")}]).collect()
+
+
 def test_features_and_overlap(spark):
     mask = np.zeros((2, 3, 4), dtype=int)
     mask[0, 0, 0], mask[1, 2, 3] = 5, 9
