@@ -12,6 +12,10 @@ from longitrack.llm.toxicity import keep_civil
 from longitrack.llm.weak_quality import keep_good
 from longitrack.session import shared_folder
 
+# Near duplicates of the pipeline: words of a shingle, and least similarity of the sets.
+SHINGLE_WORDS = 5
+PERCENT = 80
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic; learnt from the labels of those among ``docs`` that have one."""
@@ -25,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group linked by word shingles."""
-    return keep_one(docs)
+    return keep_one(docs, words=SHINGLE_WORDS, percent=PERCENT)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
