@@ -88,7 +88,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     texts are empty; a row with a null doc_id has no next document, so nothing replaces its end. Of
     rows with one doc_id any may stand for the next document.
     """
-    own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    # A cast that does nothing would leave an alias in one join only, and the texts would be shuffled for each.
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known, unknown = own.where("doc_id is not null"), own.where("doc_id is null")
     n_chars = F.char_length("text").cast("long")
     cut = F.floor(n_chars / 3).cast("int")
