@@ -163,16 +163,17 @@ def apply_rules(counted: DataFrame, good_share: float, ratios: list[list[float]]
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns.
 
-    Null and empty texts fail the base rules. The verdict is one expression of the text, so that a row
-    is judged once, in the filter.
+    Null and empty texts fail the base rules. The rows are written once with their votes, which are dear
+    to count and serve both the estimation and the verdicts.
     """
-    seen = docs.select(let(quality(F.col("text")), votes_column).alias("votes"))
-    good_share, ratios = fit_rules(materialise(seen.groupBy("votes").count()))
-
-    def kept(s: Column) -> Column:
-        return ~base_failed(s) & let(votes_column(s), lambda v: posterior(v, good_share, ratios) >= KEEP_PROBABILITY)
-
-    return docs.where(let(quality(F.col("text")), kept))
+    mark = "_votes"
+    while mark in {c.lower() for c in docs.columns}:
+        mark += "_"
+    cast = let(quality(F.col("text")), lambda s: F.struct(base_failed(s).alias("failed"), votes_column(s).alias("votes")))
+    seen = materialise(docs.withColumn(mark, cast))
+    votes = F.col(f"{mark}.votes")
+    good_share, ratios = fit_rules(materialise(seen.groupBy(votes.alias("votes")).count()))
+    return seen.where(~F.col(f"{mark}.failed") & (posterior(votes, good_share, ratios) >= KEEP_PROBABILITY)).drop(mark)
 
 
 def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,6 +224,8 @@ def test_weak_quality(docs, nothing):
     kept = weak_quality.keep_good(docs)
     ids = {r.doc_id for r in kept.collect()}
     assert kept.columns == docs.columns and {0, 1, 4, 13} <= ids and not {5, 6, 7, 10, 11, 12} & ids
+    clashing = weak_quality.keep_good(docs.withColumn("_Votes", docs.doc_id))
+    assert clashing.columns == [*docs.columns, "_Votes"] and {r.doc_id for r in clashing.collect()} == ids
     assert weak_quality.keep_good(nothing).count() == 0
 
 
