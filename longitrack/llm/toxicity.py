@@ -28,10 +28,10 @@ MAX_TRAINED = {0: 2_500, 1: 1_200}
 BUCKETS = 1 << 18
 DIMENSIONS = 6
 GRAMS = (3, 4, 5)
-# Words of a passage; passages overlap by half.
-PASSAGE = 32
+# Words of a passage; passages overlap by half. In short ones a single insult outweighs its neighbours.
+PASSAGE = 4
 # Training: steps of gradient descent, passages per step, steps between two choices of passages.
-STEPS = 900
+STEPS = 600
 BATCH = 192
 ROUND = 150
 RATE = 0.3
@@ -41,8 +41,8 @@ DECAY = 1e-4
 # Squared gradient that every n-gram starts with: the larger, the slower rare ones learn.
 CALM = 1e-2
 # Passages per text that take part, and those of a text that are trained on after the first round.
-TRAINED_PASSAGES = 12
-HARD_PASSAGES = 2
+TRAINED_PASSAGES = 200
+HARD_PASSAGES = 3
 MEMO_LIMIT = 300_000
 
 
@@ -54,12 +54,11 @@ def gram_slots(word: str) -> np.ndarray:
     return np.asarray([zlib.crc32(g.encode()) % BUCKETS for g in grams], np.int32)
 
 
-def passages(count: int) -> list[tuple[int, int]]:
-    """Overlapping word ranges that cover ``count`` words; the last one ends with the text."""
+def passages(count: int) -> tuple[np.ndarray, int]:
+    """Starts of the overlapping word ranges that cover ``count`` words, and their length; the last one ends with the text."""
     if count <= PASSAGE:
-        return [(0, count)] if count else []
-    starts = list(range(0, count - PASSAGE, PASSAGE // 2)) + [count - PASSAGE]
-    return [(a, a + PASSAGE) for a in starts]
+        return np.zeros(min(count, 1), np.int64), count
+    return np.append(np.arange(0, count - PASSAGE, PASSAGE // 2), count - PASSAGE), PASSAGE
 
 
 @dataclass
@@ -87,8 +86,8 @@ class ToxicityModel:
             return 1 / (1 + math.exp(-self.bias))
         upto = np.zeros(len(words) + 1)
         np.cumsum([self.word_logit(w) for w in words], out=upto[1:])
-        spans = np.asarray(passages(len(words)))
-        top = float(((upto[spans[:, 1]] - upto[spans[:, 0]]) / (spans[:, 1] - spans[:, 0])).max()) + self.bias
+        starts, size = passages(len(words))
+        top = float((upto[starts + size] - upto[starts]).max()) / size + self.bias
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, top))))
 
 
@@ -100,14 +99,18 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 0) -> ToxicityM
     """
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
-    bags, owner = [], []
+    told, owner, sizes = [], [], []
     for i, text in enumerate(texts):
         words = WORD.findall((text or "").lower())
-        spans = passages(len(words))
-        if len(spans) > TRAINED_PASSAGES:
-            spans = [spans[k] for k in sorted(rng.choice(len(spans), TRAINED_PASSAGES, replace=False))]
-        bags += [np.asarray([number.setdefault(w, len(number)) for w in words[a:b]], np.int32) for a, b in spans]
-        owner += [i] * len(spans)
+        starts, size = passages(len(words))
+        if len(starts) > TRAINED_PASSAGES:
+            starts = np.sort(rng.choice(starts, TRAINED_PASSAGES, replace=False))
+        told += [number.setdefault(w, len(number)) for a in starts for w in words[a:a + size]]
+        owner += [i] * len(starts)
+        sizes += [size] * len(starts)
+    # The words of all passages one after another, and where each passage begins.
+    told, sizes = np.asarray(told, np.int32), np.asarray(sizes, np.int64)
+    begins = np.cumsum(sizes) - sizes
     owner = np.asarray(owner, np.int64)
     label = np.asarray(toxic, np.int64)[owner] if len(owner) else owner
     if len(set(label.tolist())) < 2:
@@ -118,7 +121,8 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 0) -> ToxicityM
     del number
     texts_with = np.zeros(BUCKETS, np.int64)
     for i in np.unique(owner):
-        words = np.unique(np.concatenate([bags[k] for k in range(*np.searchsorted(owner, [i, i + 1]))]))
+        own = slice(*np.searchsorted(owner, [i, i + 1]))
+        words = np.unique(told[gathered(begins[own], sizes[own])])
         texts_with[np.unique(grams[gathered(first_gram[words], n_grams[words])])] += 1
     common = (texts_with >= MIN_TEXTS).astype(np.float32)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32) * common[:, None]
@@ -128,9 +132,9 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 0) -> ToxicityM
     def scored(logits: np.ndarray) -> np.ndarray:
         """Logits of all passages from those of the slots."""
         of_word = np.add.reduceat(logits[grams], first_gram) / n_grams
-        return np.asarray([of_word[bag].mean() for bag in bags]) + bias
+        return np.add.reduceat(of_word[told], begins) / sizes + bias
 
-    active = np.arange(len(bags))
+    active = np.arange(len(sizes))
     shuffled, at = rng.permutation(active), 0
     for step in range(STEPS):
         if step and step % ROUND == 0:
@@ -143,8 +147,8 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 0) -> ToxicityM
             shuffled, at = rng.permutation(active), 0
         own = shuffled[at:at + BATCH]
         at += BATCH
-        words = np.concatenate([bags[k] for k in own])
-        size = np.asarray([len(bags[k]) for k in own])
+        size = sizes[own]
+        words = told[gathered(begins[own], size)]
         line = grams[gathered(first_gram[words], n_grams[words])]
         of_word = np.add.reduceat(vectors[line], np.cumsum(n_grams[words]) - n_grams[words]) / n_grams[words][:, None]
         hidden = np.add.reduceat(of_word, np.cumsum(size) - size) / size[:, None]
