@@ -36,7 +36,7 @@ BATCH = 192
 ROUND = 150
 RATE = 0.3
 # Training texts that an n-gram must occur in, lest rare ones learn single texts by heart.
-MIN_TEXTS = 5
+MIN_TEXTS = 8
 DECAY = 1e-4
 # Squared gradient that every n-gram starts with: the larger, the slower rare ones learn.
 CALM = 1e-2
