@@ -279,9 +279,10 @@ def composite_rgb(df: DataFrame, red_max: float, green_max: float) -> DataFrame:
     return df.withColumn("r", scaled("red", red_max)).withColumn("g", scaled("green", green_max)).withColumn("b", F.lit(0.0))
 
 
-def plane_labels(voxels: DataFrame, plane: int, matched: int) -> DataFrame:
-    """Labels in one plane, split into the matched region (2) and its neighbours (1)."""
-    return voxels.where(F.col("z") == plane).withColumn("layer", F.when(F.col("label") == matched, 2).otherwise(1))
+def plane_labels(voxels: DataFrame, plane: int | None, matched: int) -> DataFrame:
+    """Labels in one plane, or in all if ``plane`` is None, split into the matched region (2) and its neighbours (1)."""
+    shown = voxels if plane is None else voxels.where(F.col("z") == plane)
+    return shown.withColumn("layer", F.when(F.col("label") == matched, 2).otherwise(1))
 
 
 def display_planes(records: DataFrame, keys: Sequence[str]) -> DataFrame:

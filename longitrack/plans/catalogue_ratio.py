@@ -55,13 +55,12 @@ def population_quartiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_channels(spark: SparkSession, sf: str) -> DataFrame:
-    """Sparse series: user as object, day as session, mean view value as red, mean click value as green."""
-    channel = F.when(F.col("event_type") == "view", "red").when(F.col("event_type") == "click", "green")
+    """Sparse series: user as object, day as session, mean value of views and clicks as red, of all others as green."""
+    channel = F.when(F.col("event_type").isin("view", "click"), "red").otherwise("green")
     long = (
         rel.table(spark, sf, "events")
         .select(F.col("user_id").alias("roi_id"), F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("day"),
                 channel.alias("channel"), "value")
-        .where(F.col("channel").isNotNull())
         .groupBy("roi_id", "day", "channel")
         .agg(F.avg("value").alias("mean_intensity"))
     )

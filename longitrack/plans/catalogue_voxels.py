@@ -139,11 +139,18 @@ def restricted_transform(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def xy_phase_shift(spark: SparkSession, sf: str) -> DataFrame:
-    """Sub-pixel in-plane shift from FFT correlation (no SQL twin; checked on small fixtures)."""
-    a = rel.block_voxels(spark, sf).withColumn("session_id", F.translate("session_id", "f", "a"))
-    b = a.withColumn("session_id", F.translate("session_id", "a", "b")).withColumn("y", F.col("y") + 2).where(F.col("y") < 64)
-    v = a.unionByName(b)
-    return rounded(registration.xy_shifts(vox.occupancy_projection(v), rel.volume_sizes(v, 4, 64), _pairs(spark)))
+    """Sub-pixel in-plane shift of every image of 64 x 64 pixels from FFT correlation (no SQL twin; checked on small fixtures).
+
+    The second session is the first one moved by two lines around the border.
+    """
+    field = F.floor(F.col("x") / 64).cast("string")
+    tiles = rel.block_voxels(spark, sf).withColumn("session_id", F.concat(F.lit("a"), field)).withColumn("x", F.col("x") % 64)
+    moved = tiles.withColumn("session_id", F.translate("session_id", "a", "b")).withColumn("y", (F.col("y") + 2) % 64)
+    v = tiles.unionByName(moved)
+    projection = materialise(vox.occupancy_projection(v))
+    sizes = projection.select("session_id").distinct().select("session_id", F.lit(64).alias("ny"), F.lit(64).alias("nx"))
+    pairs = tiles.select(F.col("session_id").alias("day_a"), F.translate("session_id", "a", "b").alias("day_b")).distinct()
+    return rounded(registration.xy_shifts(projection, sizes, materialise(pairs)))
 
 
 def legacy_shift_support(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,10 +160,11 @@ def legacy_shift_support(spark: SparkSession, sf: str) -> DataFrame:
         name.alias("session_id"), "label", (F.col("z_um") / 5).alias("centroid_z"), F.col("y_um").alias("centroid_y"),
         F.col("x_um").alias("centroid_x"),
     )
-    fields = pts.select("field_id").distinct()
-    pairs = fields.select(
-        F.concat(F.lit("f"), F.col("field_id").cast("string"), F.lit("s0")).alias("day_a"),
-        F.concat(F.lit("f"), F.col("field_id").cast("string"), F.lit("s1")).alias("day_b"),
+    steps = pts.select("field_id", "session_index").distinct().where(F.col("session_index") < rel.SESSIONS - 1)
+    field = F.concat(F.lit("f"), F.col("field_id").cast("string"), F.lit("s"))
+    pairs = steps.select(
+        F.concat(field, F.col("session_index").cast("string")).alias("day_a"),
+        F.concat(field, (F.col("session_index") + 1).cast("string")).alias("day_b"),
         F.lit(1.5).alias("shift_y"), F.lit(-0.5).alias("shift_x"),
     )
     return rounded(registration.legacy_shift(materialise(records), materialise(pairs)))
@@ -165,14 +173,15 @@ def legacy_shift_support(spark: SparkSession, sf: str) -> DataFrame:
 # --- weekly matcher -----------------------------------------------------------------------------
 
 def _two_weeks(spark: SparkSession, sf: str) -> DataFrame:
-    """Block regions in two sessions; in the second one some pixels of a third of the orders are added."""
+    """Regions of :func:`block_voxels` in two sessions; in the second one a third of the open-ended orders joins the finished."""
     k = F.col("o_orderkey")
     y, x = (F.floor(k / 4) % 64).cast("int"), F.floor(k / 256).cast("int")
-    rows = rel.table(spark, sf, "orders").select(
-        F.explode(F.array(F.lit("a"), F.lit("b"))).alias("session_id"), (k % 4).cast("int").alias("z"), y.alias("y"),
-        x.alias("x"), (1 + F.floor(y / 8) + 8 * F.floor(x / 8)).alias("label"), F.col("o_orderstatus").alias("st"), k.alias("k"),
+    session = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("session_id")
+    joins = (F.col("session_id") == "b") & (F.col("o_orderstatus") == "P") & (k % 3 == 0)
+    return rel.table(spark, sf, "orders").select("*", session).select(
+        "session_id", (k % 4).cast("int").alias("z"), y.alias("y"), x.alias("x"),
+        rel.block_label(y, x, F.when(joins, 0).otherwise(rel.status_code())).alias("label"),
     )
-    return rows.where((F.col("st") == "F") | ((F.col("session_id") == "b") & (F.col("st") == "P") & (F.col("k") % 3 == 0)))
 
 
 LEGACY = LegacyParams(patch_radius=4, edge_margin=6, max_dist_xy=5.0, max_dist_z=2.0, min_score=0.30)
@@ -212,8 +221,8 @@ def track_display(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def plane_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels in one plane, the matched region apart from its neighbours."""
-    return rounded(vox.plane_labels(rel.block_voxels(spark, sf), 1, 9).select("y", "x", "label", "layer"))
+    """Labels in every plane, the matched region apart from its neighbours."""
+    return rounded(vox.plane_labels(rel.block_voxels(spark, sf), None, 9).select("z", "y", "x", "label", "layer"))
 
 
 # --- listings and manifests ---------------------------------------------------------------------

@@ -6,7 +6,7 @@ grouping and grows with them. The constants below fix the mapping.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Fixed values of the mapping, shared with the SQL text.
 FIRST_YEAR = 1995
@@ -54,24 +54,30 @@ def metrics(spark: SparkSession, sf: str) -> DataFrame:
 FIELD_SIZE = 1000
 SESSIONS = 4
 UM_PER_UNIT = 100.0
+AXIS_SPREAD = 4.6
 OVERLAP_REACH_UM = 8.0
 PAIR = ["field_id", "index_a", "index_b"]
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
-    """Object centroids: vector as object, its first three components as position.
+    """Object centroids: vector as object, position from all its components.
 
-    A field of view holds a thousand consecutive vectors spread over four sessions, so the number of
+    Each axis sums every third component from its own on (the last one is left to the first axis), divided so
+    that the spread stays that of a single component. A field of view holds a thousand consecutive vectors spread over four sessions, so the number of
     fields grows with the table while a field keeps its size.
     """
-    e = F.col("embedding")
+
+    def axis(first: int) -> Column:
+        own = F.filter("embedding", lambda _, i: i % 3 == first)
+        return F.aggregate(own, F.lit(0.0), lambda total, e: total + e.cast("double")) * UM_PER_UNIT / AXIS_SPREAD
+
     return table(spark, sf, "embeddings").select(
         F.floor(F.col("vec_id") / FIELD_SIZE).alias("field_id"),
         (F.col("vec_id") % SESSIONS).cast("int").alias("session_index"),
         F.col("vec_id").alias("label"),
-        (e[0].cast("double") * UM_PER_UNIT).alias("z_um"),
-        (e[1].cast("double") * UM_PER_UNIT).alias("y_um"),
-        (e[2].cast("double") * UM_PER_UNIT).alias("x_um"),
+        axis(0).alias("z_um"),
+        axis(1).alias("y_um"),
+        axis(2).alias("x_um"),
         (F.col("label") + 1).cast("double").alias("area_voxels"),
     )
 
@@ -130,13 +136,21 @@ def grid_voxels(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def status_code() -> Column:
+    return F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+
+
+def block_label(y: Column, x: Column, code: Column) -> Column:
+    return 1 + F.floor(y / 8) + 8 * F.floor(x / 8) * 3 + 8 * code
+
+
 def block_voxels(spark: SparkSession, sf: str) -> DataFrame:
-    """Session ``f``: compact regions with ragged borders, 8 x 8 pixel blocks filled where an order is finished."""
+    """Session ``f``: ragged regions, one per status of the orders in a block of 8 x 8 pixels."""
     k = F.col("o_orderkey")
     y, x = (F.floor(k / 4) % 64).cast("int"), F.floor(k / 256).cast("int")
-    return table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(
-        F.lower("o_orderstatus").alias("session_id"), (k % 4).cast("int").alias("z"), y.alias("y"), x.alias("x"),
-        (1 + F.floor(y / 8) + 8 * F.floor(x / 8)).alias("label"), F.col("o_totalprice").alias("red"),
+    return table(spark, sf, "orders").select(
+        F.lit("f").alias("session_id"), (k % 4).cast("int").alias("z"), y.alias("y"), x.alias("x"),
+        block_label(y, x, status_code()).alias("label"), F.col("o_totalprice").alias("red"),
     )
 
 

@@ -6,8 +6,8 @@ from longitrack.plans.sql_ratio import r
 
 PAIRS = """
 pts AS MATERIALIZED (
-  SELECT vec_id // 1000 AS field_id, (vec_id % 4)::BIGINT AS s, vec_id AS label, embedding[1]::DOUBLE * 100.0 AS z,
-         embedding[2]::DOUBLE * 100.0 AS y, embedding[3]::DOUBLE * 100.0 AS x, (label + 1)::DOUBLE AS area
+  SELECT vec_id // 1000 AS field_id, (vec_id % 4)::BIGINT AS s, vec_id AS label, list_sum(embedding[1:-:3]::DOUBLE[]) * 100.0 / 4.6 AS z,
+         list_sum(embedding[2:-:3]::DOUBLE[]) * 100.0 / 4.6 AS y, list_sum(embedding[3:-:3]::DOUBLE[]) * 100.0 / 4.6 AS x, (label + 1)::DOUBLE AS area
   FROM embeddings),
 dist AS MATERIALIZED (
   SELECT a.field_id, a.s AS index_a, b.s AS index_b, a.label AS label_a, b.label AS label_b, a.area AS area_a, b.area AS area_b,

@@ -153,8 +153,9 @@ SELECT day, {', '.join(
 FROM metrics GROUP BY day""",
     "event_channels": """WITH wide AS (
   SELECT user_id AS roi_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS day,
-         avg(value) FILTER (event_type = 'view') AS red, avg(value) FILTER (event_type = 'click') AS green
-  FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2),
+         avg(value) FILTER (event_type IN ('view', 'click')) AS red,
+         avg(value) FILTER (event_type IS NULL OR event_type NOT IN ('view', 'click')) AS green
+  FROM events GROUP BY 1, 2),
 ratios AS (
   SELECT *, red + green AS brightness, CASE WHEN red + green > 0 THEN green / (red + green) END AS green_fraction,
          CASE WHEN red + 1.0 <> 0 AND (green + 1.0) / (red + 1.0) > 0

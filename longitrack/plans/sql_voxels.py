@@ -15,8 +15,9 @@ area AS (SELECT session_id, label, count(*) AS n FROM vox GROUP BY ALL)"""
 BLOCK = """
 vox AS (
   SELECT o_orderkey % 4 AS z, (o_orderkey // 4) % 64 AS y, o_orderkey // 256 AS x,
-         1 + ((o_orderkey // 4) % 64) // 8 + 8 * ((o_orderkey // 256) // 8) AS label, o_totalprice AS red
-  FROM orders WHERE o_orderstatus = 'F'),
+         1 + ((o_orderkey // 4) % 64) // 8 + 8 * ((o_orderkey // 256) // 8) * 3
+           + 8 * CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS label, o_totalprice AS red
+  FROM orders),
 dims AS (SELECT max(x) + 1 AS nx FROM vox),
 feat AS (
   SELECT label, count(*) AS n, avg(z) AS cz, avg(y) AS cy, avg(x) AS cx, min(z) AS z0, min(y) AS y0, min(x) AS x0,
@@ -122,9 +123,10 @@ SELECT day_a, day_b, {cols}, 'restricted_affine' AS method, n_seed, n AS n_inlie
 TWO_WEEKS = """
 vox AS (
   SELECT session_id, o_orderkey % 4 AS z, (o_orderkey // 4) % 64 AS y, o_orderkey // 256 AS x,
-         1 + ((o_orderkey // 4) % 64) // 8 + 8 * ((o_orderkey // 256) // 8) AS label
-  FROM orders, (SELECT unnest(['a', 'b']) AS session_id)
-  WHERE o_orderstatus = 'F' OR (session_id = 'b' AND o_orderstatus = 'P' AND o_orderkey % 3 = 0)),
+         1 + ((o_orderkey // 4) % 64) // 8 + 8 * ((o_orderkey // 256) // 8) * 3
+           + 8 * CASE WHEN o_orderstatus = 'F' OR (session_id = 'b' AND o_orderstatus = 'P' AND o_orderkey % 3 = 0) THEN 0
+                      WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END AS label
+  FROM orders, (SELECT unnest(['a', 'b']) AS session_id)),
 dims AS (SELECT session_id, max(x) + 1 AS nx FROM vox GROUP BY 1),
 base AS (
   SELECT session_id, label, avg(z) AS cz, avg(y) AS cy, avg(x) AS cx, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1, count(*) AS area_total
@@ -244,16 +246,16 @@ SELECT group_id, z_center, y_center, x_center, greatest(8, 2 * (greatest(x_cente
        greatest(8, 2 * (greatest(y_center - ya, yb - y_center) + 2) + 1) AS height_px FROM g""",
     "restricted_transform": transform_sql(),
     "legacy_shift_support": """WITH p AS (
-  SELECT vec_id // 1000 AS f, vec_id % 4 AS s, vec_id AS label, embedding[1]::DOUBLE * 100.0 / 5 AS z, embedding[2]::DOUBLE * 100.0 AS y,
-         embedding[3]::DOUBLE * 100.0 AS x FROM embeddings),
+  SELECT vec_id // 1000 AS f, vec_id % 4 AS s, vec_id AS label, list_sum(embedding[1:-:3]::DOUBLE[]) * 100.0 / 4.6 / 5 AS z,
+         list_sum(embedding[2:-:3]::DOUBLE[]) * 100.0 / 4.6 AS y, list_sum(embedding[3:-:3]::DOUBLE[]) * 100.0 / 4.6 AS x FROM embeddings),
 o AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, 1.5::DOUBLE, -0.5::DOUBLE)) AS t(opt, sy, sx)),
 b AS (
-  SELECT a.f, opt, sy, sx, a.label, min(sqrt(power(a.y - (b.y + sy), 2) + power(a.x - (b.x + sx), 2))) AS d
-  FROM p a JOIN p b ON a.f = b.f AND a.s = 0 AND b.s = 1 AND abs(a.z - b.z) <= 5, o
+  SELECT a.f, a.s, opt, sy, sx, a.label, min(sqrt(power(a.y - (b.y + sy), 2) + power(a.x - (b.x + sx), 2))) AS d
+  FROM p a JOIN p b ON a.f = b.f AND a.s + 1 = b.s AND abs(a.z - b.z) <= 5, o
   WHERE sqrt(power(a.y - (b.y + sy), 2) + power(a.x - (b.x + sx), 2)) <= 15 GROUP BY ALL),
-sc AS (SELECT f, opt, sy, sx, count(*) - 0.05 * median(d) - 0.02 * sqrt(sy * sy + sx * sx) AS score FROM b GROUP BY f, opt, sy, sx)
-SELECT 'f' || f || 's0' AS day_a, 'f' || f || 's1' AS day_b, round(sy, 6) AS shift_y, round(sx, 6) AS shift_x
-FROM sc QUALIFY row_number() OVER (PARTITION BY f ORDER BY score DESC, opt) = 1""",
+sc AS (SELECT f, s, opt, sy, sx, count(*) - 0.05 * median(d) - 0.02 * sqrt(sy * sy + sx * sx) AS score FROM b GROUP BY f, s, opt, sy, sx)
+SELECT 'f' || f || 's' || s AS day_a, 'f' || f || 's' || (s + 1) AS day_b, round(sy, 6) AS shift_y, round(sx, 6) AS shift_x
+FROM sc QUALIFY row_number() OVER (PARTITION BY f, s ORDER BY score DESC, opt) = 1""",
     "legacy_records": f"""WITH {TWO_WEEKS}
 SELECT r.session_id, r.label, round(cz, 6) AS centroid_z, round(cy, 6) AS centroid_y, round(cx, 6) AS centroid_x, center_plane, area_center,
        area_total, round(dist_to_edge, 6) AS dist_to_edge, is_edge,
@@ -301,5 +303,5 @@ FROM w WHERE score + 1e-9 >= ba AND score + 1e-9 >= bb""",
     "track_display": f"""WITH {TWO_WEEKS}
 SELECT label, round_even(median(center_plane), 0)::BIGINT AS display_plane, greatest(0, min(y0) - 3) AS y_start, greatest(0, min(x0) - 3) AS x_start,
        least(64, max(y1) + 1 + 3) AS y_stop, least(1000000, max(x1) + 1 + 3) AS x_stop FROM rec GROUP BY label""",
-    "plane_labels": f"WITH {BLOCK} SELECT y, x, label, CASE WHEN label = 9 THEN 2 ELSE 1 END AS layer FROM vox WHERE z = 1",
+    "plane_labels": f"WITH {BLOCK} SELECT z, y, x, label, CASE WHEN label = 9 THEN 2 ELSE 1 END AS layer FROM vox",
 }
