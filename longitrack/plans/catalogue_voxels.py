@@ -173,7 +173,7 @@ def legacy_shift_support(spark: SparkSession, sf: str) -> DataFrame:
 # --- weekly matcher -----------------------------------------------------------------------------
 
 def _two_weeks(spark: SparkSession, sf: str) -> DataFrame:
-    """Regions of :func:`block_voxels` in two sessions; in the second one a third of the open-ended orders joins the finished."""
+    """Regions of :func:`block_voxels` in two sessions; a third of the pending orders counts as finished in the second."""
     k = F.col("o_orderkey")
     y, x = (F.floor(k / 4) % 64).cast("int"), F.floor(k / 256).cast("int")
     session = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("session_id")
