@@ -40,9 +40,10 @@ MIN_TEXTS = 8
 DECAY = 1e-4
 # Squared gradient that every n-gram starts with: the larger, the slower rare ones learn.
 CALM = 1e-2
-# Passages per text that take part, and those of a text that are trained on after the first round.
-TRAINED_PASSAGES = 200
+# Passages of a text that are trained on after the first round; all of them are ranked for it.
 HARD_PASSAGES = 3
+# Passages of a text trained on in the first round: so many that look most toxic by counts, and so many drawn.
+FIRST_PASSAGES = 10
 MEMO_LIMIT = 300_000
 
 
@@ -94,37 +95,39 @@ class ToxicityModel:
 def train(texts: list[str | None], toxic: list[int], seed: int = 0) -> ToxicityModel:
     """Joint training of n-gram vectors and softmax by adaptive gradients over passages.
 
-    A text counts as toxic by its most toxic passage, so after the first round every text is represented
-    by the passages that score highest so far. Without either label the score is one half everywhere.
+    A text counts as toxic by its most toxic passage, so every text is represented by the passages that
+    score highest among all it has: in the first round by how many toxic and clean texts hold their n-grams,
+    with some drawn ones beside, later by the model so far. Without either label the score is one half everywhere.
     """
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
-    told, owner, sizes = [], [], []
-    for i, text in enumerate(texts):
+    # The words of all texts one after another, and for every passage its first word, its length and its text.
+    told, begins, sizes, n_words = [], [], [], [0]
+    for text in texts:
         words = WORD.findall((text or "").lower())
         starts, size = passages(len(words))
-        if len(starts) > TRAINED_PASSAGES:
-            starts = np.sort(rng.choice(starts, TRAINED_PASSAGES, replace=False))
-        told += [number.setdefault(w, len(number)) for a in starts for w in words[a:a + size]]
-        owner += [i] * len(starts)
-        sizes += [size] * len(starts)
-    # The words of all passages one after another, and where each passage begins.
-    told, sizes = np.asarray(told, np.int32), np.asarray(sizes, np.int64)
-    begins = np.cumsum(sizes) - sizes
-    owner = np.asarray(owner, np.int64)
+        told.append(np.asarray([number.setdefault(w, len(number)) for w in words], np.int32))
+        begins.append(starts + n_words[-1])
+        sizes.append(np.full(len(starts), size))
+        n_words.append(n_words[-1] + len(words))
+    owner = np.repeat(np.arange(len(texts)), [len(b) for b in begins])
     label = np.asarray(toxic, np.int64)[owner] if len(owner) else owner
     if len(set(label.tolist())) < 2:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), 0.0)
+    told, begins, sizes = np.concatenate(told), np.concatenate(begins), np.concatenate(sizes)
     grams = [gram_slots(w) for w in number]
     n_grams = np.asarray([len(g) for g in grams])
     grams, first_gram = np.concatenate(grams), np.cumsum(n_grams) - n_grams
     del number
-    texts_with = np.zeros(BUCKETS, np.int64)
-    for i in np.unique(owner):
-        own = slice(*np.searchsorted(owner, [i, i + 1]))
-        words = np.unique(told[gathered(begins[own], sizes[own])])
-        texts_with[np.unique(grams[gathered(first_gram[words], n_grams[words])])] += 1
-    common = (texts_with >= MIN_TEXTS).astype(np.float32)
+    texts_with = np.zeros((2, BUCKETS), np.int64)
+    for y, a, b in zip(toxic, n_words, n_words[1:]):
+        words = np.unique(told[a:b])
+        texts_with[y, np.unique(grams[gathered(first_gram[words], n_grams[words])])] += 1
+    common = (texts_with.sum(0) >= MIN_TEXTS).astype(np.float32)
+    # By how many standard deviations the shares of toxic and of clean texts with an n-gram differ.
+    of_label = np.bincount(toxic, minlength=2)
+    share = (texts_with.sum(0) + 1) / (len(toxic) + 2)
+    contrast = (texts_with[1] / of_label[1] - texts_with[0] / of_label[0]) / np.sqrt(share * (1 - share) * (1 / of_label).sum())
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32) * common[:, None]
     softmax, bias = rng.normal(0, 0.5, DIMENSIONS).astype(np.float32), 0.0
     square_v, square_s, square_b = np.full(BUCKETS, CALM, np.float32), np.full(DIMENSIONS, 1e-6, np.float32), 1e-6
@@ -132,16 +135,22 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 0) -> ToxicityM
     def scored(logits: np.ndarray) -> np.ndarray:
         """Logits of all passages from those of the slots."""
         of_word = np.add.reduceat(logits[grams], first_gram) / n_grams
-        return np.add.reduceat(of_word[told], begins) / sizes + bias
-
-    active = np.arange(len(sizes))
+        upto = np.zeros(len(told) + 1)
+        np.cumsum(of_word[told], out=upto[1:])
+        return (upto[begins + sizes] - upto[begins]) / sizes + bias
+
+    def highest(scores: np.ndarray, many: int) -> np.ndarray:
+        """The ``many`` passages of every text with the highest scores."""
+        order = np.lexsort((-scores, owner))
+        rank = np.arange(len(order)) - np.maximum.accumulate(
+            np.where(np.concatenate([[True], owner[order][1:] != owner[order][:-1]]), np.arange(len(order)), 0))
+        return order[rank < many]
+
+    active = np.concatenate([highest(scored(contrast), FIRST_PASSAGES), highest(rng.random(len(sizes)), FIRST_PASSAGES)])
     shuffled, at = rng.permutation(active), 0
     for step in range(STEPS):
         if step and step % ROUND == 0:
-            order = np.lexsort((-scored(vectors @ softmax), owner))
-            rank = np.arange(len(order)) - np.maximum.accumulate(
-                np.where(np.concatenate([[True], owner[order][1:] != owner[order][:-1]]), np.arange(len(order)), 0))
-            active = order[rank < HARD_PASSAGES]
+            active = highest(scored(vectors @ softmax), HARD_PASSAGES)
             shuffled, at = rng.permutation(active), 0
         if at >= len(shuffled):
             shuffled, at = rng.permutation(active), 0

@@ -239,6 +239,18 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.keep_civil(docs, labels).count() == len(TEXTS) and toxicity.keep_civil(nothing, labels.limit(0)).count() == 0
 
 
+def with_word(text, word, place):
+    words = text.split()
+    words.insert(place % len(words), word)
+    return " ".join(words)
+
+
+def test_toxicity_learns_from_one_word_of_long_texts():
+    texts = [with_word(prose(k, 3000), "nastyword", 37 * k) if k % 2 else prose(k, 3000) for k in range(40)]
+    model = toxicity.train(texts, [k % 2 for k in range(40)])
+    assert model.word_logit("nastyword") > max(model.word_logit(w) for t in texts for w in t.split() if w != "nastyword")
+
+
 def test_quadratic_quality(spark, docs):
     good = [quadratic_quality.statistics(prose(k, 80)) for k in range(40)]
     bad = [quadratic_quality.statistics(prose(k, 80).replace(" ", "### ")) for k in range(40)]
