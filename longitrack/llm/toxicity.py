@@ -35,15 +35,14 @@ STEPS = 600
 BATCH = 192
 ROUND = 150
 RATE = 0.3
-# Training texts that an n-gram must occur in, lest rare ones learn single texts by heart.
-MIN_TEXTS = 8
 DECAY = 1e-4
 # Squared gradient that every n-gram starts with: the larger, the slower rare ones learn.
 CALM = 1e-2
-# Passages of a text that are trained on after the first round; all of them are ranked for it.
-HARD_PASSAGES = 3
+# Passages of a text that are trained on after the first round, by label; all of them are ranked for it. A word
+# lies in two passages, so a third one of a toxic text need hold nothing toxic.
+HARD_PASSAGES = {0: 4, 1: 2}
 # Passages of a text trained on in the first round: so many that look most toxic by counts, and so many drawn.
-FIRST_PASSAGES = 10
+FIRST_PASSAGES = {0: 10, 1: 10}
 MEMO_LIMIT = 300_000
 
 
@@ -123,12 +122,12 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 0) -> ToxicityM
     for y, a, b in zip(toxic, n_words, n_words[1:]):
         words = np.unique(told[a:b])
         texts_with[y, np.unique(grams[gathered(first_gram[words], n_grams[words])])] += 1
-    common = (texts_with.sum(0) >= MIN_TEXTS).astype(np.float32)
     # By how many standard deviations the shares of toxic and of clean texts with an n-gram differ.
     of_label = np.bincount(toxic, minlength=2)
     share = (texts_with.sum(0) + 1) / (len(toxic) + 2)
     contrast = (texts_with[1] / of_label[1] - texts_with[0] / of_label[0]) / np.sqrt(share * (1 - share) * (1 / of_label).sum())
-    vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32) * common[:, None]
+    # An n-gram that no training text holds weighs nothing.
+    vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32) * texts_with.any(0)[:, None]
     softmax, bias = rng.normal(0, 0.5, DIMENSIONS).astype(np.float32), 0.0
     square_v, square_s, square_b = np.full(BUCKETS, CALM, np.float32), np.full(DIMENSIONS, 1e-6, np.float32), 1e-6
 
@@ -139,12 +138,12 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 0) -> ToxicityM
         np.cumsum(of_word[told], out=upto[1:])
         return (upto[begins + sizes] - upto[begins]) / sizes + bias
 
-    def highest(scores: np.ndarray, many: int) -> np.ndarray:
-        """The ``many`` passages of every text with the highest scores."""
+    def highest(scores: np.ndarray, many: dict[int, int]) -> np.ndarray:
+        """The passages of every text with the highest scores, as many as its label says."""
         order = np.lexsort((-scores, owner))
         rank = np.arange(len(order)) - np.maximum.accumulate(
             np.where(np.concatenate([[True], owner[order][1:] != owner[order][:-1]]), np.arange(len(order)), 0))
-        return order[rank < many]
+        return order[rank < np.where(label[order] == 1, many[1], many[0])]
 
     active = np.concatenate([highest(scored(contrast), FIRST_PASSAGES), highest(rng.random(len(sizes)), FIRST_PASSAGES)])
     shuffled, at = rng.permutation(active), 0
@@ -167,7 +166,7 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 0) -> ToxicityM
         error = ((p - y) * np.where(y == 1, 0.5 / share, 0.5 / (1 - share))).astype(np.float32)
         grad_s, grad_b = error @ hidden.astype(np.float32) / len(own), float(error.mean())
         of_words = np.repeat(error / size, size) / n_grams[words]
-        pull = np.bincount(line, np.repeat(of_words, n_grams[words]), BUCKETS).astype(np.float32) * common
+        pull = np.bincount(line, np.repeat(of_words, n_grams[words]), BUCKETS).astype(np.float32)
         touched = np.flatnonzero(pull)
         grad_v = pull[touched, None] * softmax
         square_v[touched] += (grad_v ** 2).mean(1)

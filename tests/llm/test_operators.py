@@ -251,6 +251,20 @@ def test_toxicity_learns_from_one_word_of_long_texts():
     assert model.word_logit("nastyword") > max(model.word_logit(w) for t in texts for w in t.split() if w != "nastyword")
 
 
+def test_toxicity_of_a_rare_word_and_of_many_unseen_clean_texts():
+    texts = [prose(k, 60) for k in range(200)]
+    for k in range(1, 200, 2):
+        for place in (5, 25, 45):
+            texts[k] = with_word(texts[k], "vilebeast" if k < 8 else "nastyword", place + k % 7)
+    model = toxicity.train(texts, [k % 2 for k in range(200)])
+
+    def rate(word):
+        unseen = [prose(k, 60) for k in range(10_000, 10_200)]
+        return np.mean([model.score(with_word(t, word, k) if word else t) >= toxicity.THRESHOLD for k, t in enumerate(unseen)])
+
+    assert rate("vilebeast") > 0.9 and rate("nastyword") > 0.9 and rate(None) < 0.05
+
+
 def test_quadratic_quality(spark, docs):
     good = [quadratic_quality.statistics(prose(k, 80)) for k in range(40)]
     bad = [quadratic_quality.statistics(prose(k, 80).replace(" ", "### ")) for k in range(40)]
