@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from longitrack.llm.byte_bpe import op8_byte_bpe
+from longitrack.llm.collocations import OP11_SQL, op11_collocations
 from longitrack.llm.fingerprints import op2_fingerprints
 from longitrack.llm.host_reputation import OP1_SQL, op1_host_reputation
 from longitrack.llm.html_text import op5_html_text
 from longitrack.llm.orc_tokens import op3_orc_tokens
 from longitrack.llm.packing import op9_pack_documents
+from longitrack.llm.periodic_runs import op12_periodic_runs
 from longitrack.llm.quadratic_quality import op7_quadratic_quality
 from longitrack.llm.similarity import OP10_SQL, op10_jaccard_join
 from longitrack.llm.toxicity import op4_toxicity
@@ -24,8 +26,11 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_pack_documents": op9_pack_documents,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_collocations": op11_collocations,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 SQL = {
     "op1_host_reputation": OP1_SQL,
     "op10_jaccard_join": OP10_SQL,
+    "op11_collocations": OP11_SQL,
 }
