@@ -10,6 +10,7 @@ from longitrack.llm.html_text import op5_html_text
 from longitrack.llm.orc_tokens import op3_orc_tokens
 from longitrack.llm.packing import op9_pack_documents
 from longitrack.llm.periodic_runs import op12_periodic_runs
+from longitrack.llm.private_data import op13_private_data
 from longitrack.llm.quadratic_quality import op7_quadratic_quality
 from longitrack.llm.similarity import OP10_SQL, op10_jaccard_join
 from longitrack.llm.toxicity import op4_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_private_data": op13_private_data,
 }
 SQL = {
     "op1_host_reputation": OP1_SQL,
