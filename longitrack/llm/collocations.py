@@ -15,6 +15,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from longitrack.operators.ordering import global_rank
@@ -27,7 +28,7 @@ TOP = 2000
 HELD_PERCENT = 80
 NO_LANG = "und"
 # Bytes of text in a slice, and bytes split into words at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 SPLIT_BYTES = 1 << 20
 # Bytes of text for each hash partition, and the least number of partitions. As there are at most two phrases of
 # each size for three bytes, a partition holds a few million occurrences at every size of the input.
@@ -246,45 +247,73 @@ def _exact_groups(hashed: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np
 
 
 def exact_counts(cut: DataFrame, kept: DataFrame, partitions: int, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, size, count) per slice for the phrases that may be frequent, and the number of all words
-    under size 0. A phrase is looked up only where both of its shorter parts may be frequent, as they are
-    at least as frequent as the phrase."""
+    """(part, lang, phrases, sizes, counts): for every slice and hash partition, the phrases that may be frequent and
+    how often they occur; in partition 0 also null with size 0 and the number of all words.
+
+    A phrase is looked up only where both of its shorter parts may be frequent, as they are at least as
+    frequent as the phrase."""
 
     def tally(left: pa.Table, right: pa.Table) -> pa.Table:
-        phrases, sizes, counts = [], [], []
+        parts, phrases, sizes, counts = [], [], [], []
         lang = left.column("lang")[0].as_py() if left.num_rows else NO_LANG
         for body in left.column("body"):
             words = Words(body.as_py())
             real = words.ids != _BREAK
+            parts.append(np.zeros(1, np.int64))
             phrases.append(None)
-            sizes.append(0)
-            counts.append(int(real.sum()))
+            sizes.append(np.zeros(1, np.int32))
+            counts.append(np.asarray([real.sum()], np.int64))
             prints = [_unpacked(p.as_py()).astype(np.uint64) | np.uint64(part.as_py() << 32)
                       for part, p in zip(right.column("part"), right.column("prints"))]
             prints = np.sort(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
             both, ids, told = words.hashes(), words.ids, words.told
-            hashed = both[0][ids]
-            places = np.flatnonzero(real)
+            hashed, places = both[0][ids], np.flatnonzero(real)
             for size in range(1, longest + 1):
                 if size > 1:  # both parts are among the places of the size before
                     found = np.zeros(len(ids) + 1, bool)
                     found[places] = True
                     places = places[found[places + 1]]
-                own = phrase_hashes(hashed, size, lang)[places]
-                held = _among(_keys(own, partitions), prints)
-                places, own = places[held], own[held]
+                keys = _keys(phrase_hashes(hashed, size, lang)[places], partitions)
+                held = _among(keys, prints)
+                places, keys = places[held], keys[held]
                 if not len(places):
                     break
-                first, number = _exact_groups(own, phrase_hashes(both[1][ids], size, lang)[places])
+                first, number = _exact_groups(keys, phrase_hashes(both[1][ids], size, lang)[places])
                 starts = places[first]
+                parts.append((keys[first] >> np.uint64(32)).astype(np.int64))
                 phrases += [b" ".join([told[i] for i in row]).decode() for row in ids[starts[:, None] + np.arange(size)].tolist()]
-                sizes += [size] * len(number)
-                counts += number.tolist()
+                sizes.append(np.full(len(number), size, np.int32))
+                counts.append(number.astype(np.int64))
+        parts = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        order = np.argsort(parts, kind="stable")
+        own, first = np.unique(parts[order], return_index=True)
+        offsets = pa.array(np.append(first, len(parts)).astype(np.int32))
+
+        def lists(values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(offsets, values.take(pa.array(order)))
+
         return pa.table({
-            "lang": pa.array([lang] * len(sizes), pa.string()), "phrase": pa.array(phrases, pa.string()),
-            "size": pa.array(sizes, pa.int32()), "count": pa.array(counts, pa.int64())})
+            "part": pa.array(own, pa.int32()), "lang": pa.array([lang] * len(own), pa.string()),
+            "phrases": lists(pa.array(phrases, pa.string())),
+            "sizes": lists(pa.array(np.concatenate(sizes) if sizes else [], pa.int32())),
+            "counts": lists(pa.array(np.concatenate(counts) if counts else [], pa.int64()))})
+
+    return cut.groupBy("slice").cogroup(kept.groupBy("slice")).applyInArrow(
+        tally, "part int, lang string, phrases array<string>, sizes array<int>, counts array<long>")
+
 
-    return cut.groupBy("slice").cogroup(kept.groupBy("slice")).applyInArrow(tally, "lang string, phrase string, size int, count long")
+def totals(told: DataFrame, least: int = MIN_COUNT) -> DataFrame:
+    """(lang, phrase, size, f): the exact sums of each hash partition that reach ``least``, and those of size 0."""
+
+    def add(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        lang = pc.take(group.column("lang").combine_chunks(), pc.list_parent_indices(group.column("phrases").combine_chunks()))
+        flat = {new: pc.list_flatten(group.column(old).combine_chunks()) for new, old in (("phrase", "phrases"), ("size", "sizes"), ("f", "counts"))}
+        summed = pa.table({"lang": lang, **flat}).group_by(["lang", "phrase", "size"]).aggregate([("f", "sum")])
+        keep = pc.or_(pc.greater_equal(summed.column("f_sum"), least), pc.equal(summed.column("size"), 0))
+        return summed.filter(keep).rename_columns({"f_sum": "f"}).select(["lang", "phrase", "size", "f"])
+
+    return told.groupBy("part").applyInArrow(add, "lang string, phrase string, size int, f long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST) -> DataFrame:
@@ -299,14 +328,18 @@ def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LON
     partitions = max(LEAST_PARTITIONS, -(-size // PARTITION_BYTES))
     kept = materialise(survivors(summaries(cut, partitions, longest), least))
     told = exact_counts(cut.select("slice", "lang", "body"), kept, partitions, longest)
-    summed = told.groupBy("lang", "phrase", "size").agg(F.sum("count").alias("f"))
-    return materialise(summed.where((F.col("f") >= least) | (F.col("size") == 0)))
+    return materialise(totals(told, least))
 
 
 def _big(value: Column) -> Column:
     return value.cast("decimal(19,0)")
 
 
+def cut_score(a: Column, left: Column, right: Column) -> Column:
+    """floor(2000000 a / (left + right)), exact also where the product passes 64 bits."""
+    return F.call_function("div", _big(a) * F.lit(2_000_000).cast("decimal(7,0)"), _big(left) + _big(right)).cast("long")
+
+
 def collocations(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST, top: int = TOP, held_percent: int = HELD_PERCENT) -> DataFrame:
     """The first ``top`` phrases of every language: lang, rank, phrase, a, l, r, n, score.
 
@@ -324,8 +357,8 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST
         F.array_join(F.slice("words", at + 1, F.col("size") - at), " ").alias("rest"))
     parted = cuts.join(known.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"]).join(
         known.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
-    score = F.call_function("div", _big(F.col("a")) * F.lit(2_000_000).cast("decimal(7,0)"), _big(F.col("l")) + _big(F.col("r")))
-    scored = parted.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.cast("long").alias("score"), "k", "l", "r")).alias("cut"))
+    scored = parted.groupBy("lang", "phrase", "a").agg(
+        F.min(F.struct(cut_score(F.col("a"), F.col("l"), F.col("r")).alias("score"), "k", "l", "r")).alias("cut"))
     # Every part of two or more words of a longer phrase, and the most occurrences of such a phrase.
     width, start = F.col("width"), F.col("start")
     inner = phrases.where("size > 2").withColumn("width", F.explode(F.sequence(F.lit(2), F.col("size") - 1))).withColumn(
