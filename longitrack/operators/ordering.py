@@ -8,11 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from longitrack.session import materialise
 
-# Values the exact percentile buffers of one query may hold; beyond it quantiles are bracketed first.
-SMALL_GROUP = 1_000_000
-# Rank error of a digest is at most the number of values over this accuracy.
-DIGEST_ACCURACY = 100_000
-DIGEST_MARGIN = 10 / DIGEST_ACCURACY
+LARGEST = (1 << 63) - 1
 
 
 def cumulative(
@@ -55,96 +51,78 @@ def global_rank(
     return cumulative(df, order, by, out=out, partitions=partitions)
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), small: int = SMALL_GROUP,
-    written: bool = False,
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per ``by`` group.
+def ordered_bits(value: Column) -> Column:
+    """The bits of a double as a long that sorts like the double; both zeros are one."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(LARGEST)))
+
+
+def from_ordered_bits(bits: Column) -> Column:
+    """The double whose ``ordered_bits`` these are."""
+    raw = F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(LARGEST)))
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), raw).cast("double")
+
 
-    The values are read several times, so they are written first unless ``df`` is a ``written`` table.
+def _together(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null with null; the columns of ``left`` and those of ``right`` beside the keys."""
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return left.alias("l").join(right.alias("r"), same, how).select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in keys])
 
-    Up to ``small`` values the built-in exact percentile is used. Beyond it, a mergeable digest
-    brackets the two order statistics of every quantile, a second pass counts the values below each
-    bracket, and only the few distinct values inside the brackets are sorted. Both passes combine on
-    the map side, so neither a hot group nor a hot value moves as a whole. Should a digest miss its
-    bracket, the cumulative counts of a range-partitioned table answer instead.
+
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per ``by`` group; missing values and NaN do not count.
+
+    Selection by radix histograms: the values become longs that sort alike and are written once. Each of four
+    passes counts one 16-bit digit of the values that share the digits found so far with a wanted position. A group
+    has at most 65,536 counts for each such prefix, which the map side sums up, so neither a hot group nor
+    a hot value moves as a whole, and one way serves every size. Without ``by`` an empty input gives one row of nulls.
     """
     by = list(by)
-    values = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if not written:
-        values = materialise(values)
-    if values.count() <= small:
-        return values.groupBy(*by).agg(*[F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()])
     keys = by or ["_all"]
-    values = values if by else values.withColumn("_all", F.lit(0))
-    found = materialise(_bracketed_quantiles(values, keys, probs))
-    missing = F.lit(False)
-    for name in probs:
-        missing = missing | F.col(name).isNull()
-    if not found.where(missing).isEmpty():
-        found = _ranked_quantiles(values, keys, probs)
-    return found.select(*by, *probs)
+    rows = df if by else df.withColumn("_all", F.lit(0))
+    valid = F.col("_v").isNotNull() & ~F.isnan("_v")
+    bits = materialise(
+        rows.select(*keys, F.col(value).cast("double").alias("_v")).where(valid).select(*keys, ordered_bits(F.col("_v")).alias("_b")))
+
+    def digit(k: int) -> Column:
+        """Digit k of 4, the highest first; that one has the sign."""
+        shifted = F.shiftright(F.col("_b"), 48 - 16 * k)
+        return shifted if k == 0 else shifted.bitwiseAND(F.lit(0xFFFF).cast("long"))
+
+    group = W.partitionBy(*keys)
+    counts = bits.groupBy(*keys, digit(0).alias("_digit")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_size", F.sum("_n").over(group))
+    # The wanted positions of a group: two around every quantile, by number.
+    at = [F.lit(p) * (F.col("_size") - 1) for p in probs.values()]
+    wanted = F.array(*[F.struct(F.lit(2 * i + up).alias("t"), rounded(position).alias("rest"))
+                       for i, position in enumerate(at) for up, rounded in enumerate((F.floor, F.ceil))])
+    open_ = counts.withColumn("_want", wanted).withColumn("_prefix", F.lit(0).cast("long"))
+    for k in range(4):
+        if k:
+            shared = bits.withColumn("_prefix", F.shiftright(F.col("_b"), 64 - 16 * k))
+            open_ = _together(shared, open_.select(*keys, "_prefix", "_want", "_size"), [*keys, "_prefix"]).groupBy(
+                *keys, "_prefix", digit(k).alias("_digit")).agg(
+                F.count(F.lit(1)).alias("_n"), F.any_value("_want").alias("_want"), F.any_value("_size").alias("_size"))
+        upto = F.sum("_n").over(W.partitionBy(*keys, "_prefix").orderBy("_digit").rowsBetween(W.unboundedPreceding, 0))
+        prefix = F.col("_digit") if k == 0 else F.shiftleft(F.col("_prefix"), 16).bitwiseOR(F.col("_digit"))
+        below = F.col("_upto") - F.col("_n")
+        inside = F.filter("_want", lambda w: (w["rest"] >= below) & (w["rest"] < F.col("_upto")))
+        open_ = open_.withColumn("_upto", upto).select(
+            *keys, "_size", prefix.alias("_prefix"),
+            F.transform(inside, lambda w: F.struct(w["t"].alias("t"), (w["rest"] - below).alias("rest"))).alias("_want"),
+        ).where(F.size("_want") > 0)
+    found = open_.select(*keys, "_size", from_ordered_bits(F.col("_prefix")).alias("_v"), F.explode("_want.t").alias("_t"))
+    place = [[F.max(F.when(F.col("_t") == 2 * i + up, F.col("_v"))) for up in (0, 1)] for i in range(len(probs))]
+    out = found.groupBy(*keys, "_size").agg(*[
+        _between(low, high, p).alias(name) for (name, p), (low, high) in zip(probs.items(), place)])
+    if by:
+        return out.select(*by, *probs)
+    one = bits.agg(F.count(F.lit(1)).alias("_count")).withColumn("_all", F.lit(0))
+    return _together(one, out.select("_all", *probs), ["_all"], "left").select(*probs)
 
 
 def _between(low: Column, high: Column, p: float) -> Column:
     """Linear interpolation at the fractional position of quantile ``p``."""
     at = F.lit(p) * (F.col("_size") - 1)
     return low + (high - low) * (at - F.floor(at))
-
-
-def _bracketed_quantiles(values: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    """Quantiles from digest brackets; NULL where a bracket does not hold the order statistics."""
-    edges = [[max(0.0, p - DIGEST_MARGIN), min(1.0, p + DIGEST_MARGIN)] for p in probs.values()]
-    bracket = materialise(values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_size"),
-        *[F.percentile_approx("_v", e, DIGEST_ACCURACY).alias(f"_b{i}") for i, e in enumerate(edges)],
-    ))
-    v = F.col("_v")
-    # The next values outside join the bracket, since digest ranks and quantile positions differ by up to one.
-    around = materialise(values.join(bracket, keys).groupBy(*keys).agg(*[
-        column
-        for i in range(len(edges))
-        for column in (
-            F.count(F.when(v < F.col(f"_b{i}")[0], 1)).alias(f"_below{i}"),
-            F.max(F.when(v < F.col(f"_b{i}")[0], v)).alias(f"_prev{i}"),
-            F.min(F.when(v > F.col(f"_b{i}")[1], v)).alias(f"_next{i}"),
-        )
-    ]).join(bracket, keys))
-
-    def inside(i: int) -> Column:
-        first, last = F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]
-        return (v >= F.coalesce(F.col(f"_prev{i}"), first)) & (v <= F.coalesce(F.col(f"_next{i}"), last))
-
-    anywhere = inside(0)
-    for i in range(1, len(edges)):
-        anywhere = anywhere | inside(i)
-    table = values.join(around, keys).where(anywhere).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    table = table.join(around, keys)
-    group = W.partitionBy(*keys)
-    upto = group.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    aggregates, result = [], []
-    for i, (name, p) in enumerate(probs.items()):
-        own = F.when(inside(i), F.col("_n")).otherwise(F.lit(0))
-        early = F.when(inside(i) & (v < F.col(f"_b{i}")[0]), F.col("_n")).otherwise(F.lit(0))
-        table = table.withColumn(f"_cum{i}", F.col(f"_below{i}") - F.sum(early).over(group) + F.sum(own).over(upto))
-        at = F.lit(p) * (F.col("_size") - 1)
-        for tag, position in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            hit = inside(i) & (position < F.col(f"_cum{i}")) & (position >= F.col(f"_cum{i}") - F.col("_n"))
-            aggregates.append(F.max(F.when(hit, v)).alias(f"_{tag}{i}"))
-        result.append(_between(F.col(f"_lo{i}"), F.col(f"_hi{i}"), p).alias(name))
-    return table.groupBy(*keys, "_size").agg(*aggregates).select(*keys, *result)
-
-
-def _ranked_quantiles(values: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    """Quantiles from the cumulative counts of all distinct values."""
-    counts = materialise(values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")))
-    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    running = cumulative(counts, [F.col("_v")], keys, weight=F.col("_n"), out="_cum").join(sizes, keys)
-    aggregates, result = [], []
-    for i, (name, p) in enumerate(probs.items()):
-        at = F.lit(p) * (F.col("_size") - 1)
-        for tag, position in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            hit = (position < F.col("_cum")) & (position >= F.col("_cum") - F.col("_n"))
-            aggregates.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}"))
-        result.append(_between(F.col(f"_lo{i}"), F.col(f"_hi{i}"), p).alias(name))
-    return running.groupBy(*keys, "_size").agg(*aggregates).select(*keys, *result)

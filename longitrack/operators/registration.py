@@ -227,7 +227,7 @@ def restricted_transforms(
         failed = broken if failed is None else failed.unionByName(broken)
         measured = _measured(rows, solved, pair, spacing)
         limit = materialise(
-            exact_quantiles(measured.where("keep"), "residual", {"q": params.trim_quantile}, pair, written=True)
+            exact_quantiles(measured.where("keep"), "residual", {"q": params.trim_quantile}, pair)
         )
         cut = F.least(F.lit(params.max_residual_um), F.col("q"))
         moved = measured.join(limit, pair).withColumn("_new", F.col("residual") <= cut)
@@ -237,7 +237,7 @@ def restricted_transforms(
     final = materialise(_solve(_normal_sums(rows, pair)))
     kept = _measured(rows, final, pair, spacing).where("keep")
     spread = exact_quantiles(
-        kept, "residual", {"residual_median_um": 0.5, "residual_p95_um": params.trim_quantile}, pair, written=True
+        kept, "residual", {"residual_median_um": 0.5, "residual_p95_um": params.trim_quantile}, pair
     )
     counts = seeds.groupBy(*pair).agg(F.count(F.lit(1)).alias("_seeds"))
     early = failed.groupBy(*pair).agg(F.first("_reason").alias("_early"), F.first("n_inlier").alias("_early_n"))

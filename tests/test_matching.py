@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helpers import greedy
 from longitrack.operators import assignment, candidates as cand, graph, tracks
-from longitrack.operators.spatial import knn_join, radius_join
+from longitrack.operators.spatial import FAN, bounding_box, knn_join, morton, packed_index, packed_leaves, radius_join
 from longitrack.params import OverlapParams, resolve_policies
 from longitrack.plans.daywise import pair_schedule
 
@@ -46,6 +46,27 @@ def test_knn_matches_brute_force(spark, leaf, k):
         assert [r[1] for r in rows] == pytest.approx([w[0] for w in want[key]])
 
 
+def test_knn_of_a_crowded_clump(spark):
+    """Half of the targets within a nanometre, queries in and far from it; the leaves stay bounded."""
+    rng = np.random.default_rng(11)
+    b = [(0, i, *map(float, rng.uniform(0, 1000, 3))) for i in range(400)]
+    b += [(0, 1000 + i, *map(float, 500 + rng.uniform(0, 1e-3, 3))) for i in range(400)]
+    a = [(0, i, *map(float, rng.uniform(-100, 1100, 3))) for i in range(80)] + [(0, 100 + i, *map(float, 500 + rng.normal(0, 1e-3, 3))) for i in range(80)]
+    a += [(0, 900, 500.0, 500.0, None), (2, 1, 0.0, 0.0, 0.0)]
+    targets = spark.createDataFrame(b + [(0, 5000, None, 1.0, 1.0)], POINT)
+    got = {}
+    for r in knn_join(spark.createDataFrame(a, POINT), targets, 3, ["g"], 16).collect():
+        got.setdefault((r.g, r.label), []).append((r["rank"], r.neighbour))
+    want = brute(a[:-2], b, 3)
+    assert {key: [n for _, n in sorted(rows)] for key, rows in got.items()} == {key: [n for _, n in rows] for key, rows in want.items()}
+    box = bounding_box(targets.na.drop(), ["g"])
+    keyed = targets.na.drop().join(box, "g").withColumn("_key", morton())
+    leaves = packed_leaves(keyed, ["g"], 16, ["label"])
+    assert leaves.where("_n >= 32 or size(_points) <> _n").isEmpty() and leaves.count() == 50
+    steps, top = packed_index(leaves, ["g"])
+    assert top == 2 and steps.where(f"size(_kids) > {FAN}").isEmpty()
+
+
 def test_radius_join(spark):
     rng = np.random.default_rng(5)
     rows = [(i % 2, i, *map(float, rng.uniform(-20, 20, 3))) for i in range(120)]

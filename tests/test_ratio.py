@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from longitrack.operators import fits, qc, ranking, ratio, trajectories
 from longitrack.operators.ordering import (
-    _bracketed_quantiles, _ranked_quantiles, cumulative, exact_quantiles, global_rank,
+    cumulative, exact_quantiles, from_ordered_bits, global_rank, ordered_bits,
 )
 from longitrack.params import GeometryQC
 
@@ -190,29 +190,39 @@ def test_merge_reasons(spark):
     assert out == ["gap_bridge,edge_heavy", "edge_heavy", "other"]
 
 
-@pytest.mark.parametrize("small", [10**6, 0])
-def test_exact_quantiles_both_ways(spark, small):
+def test_exact_quantiles(spark):
     rng = np.random.default_rng(2)
     groups = {0: rng.normal(size=400), 1: np.repeat(rng.integers(0, 5, 60), 7).astype(float), 2: np.array([3.0])}
     groups[0][:150] = 1.25
-    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [(0, None), (1, float("nan"))]
+    groups[3] = np.concatenate([rng.normal(size=50) * 10.0 ** rng.integers(-300, 300, 50), [0.0, -0.0, 5e-324, -5e-324]])
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [(0, None), (1, float("nan")), (None, 4.0), (None, 8.0), (7, None)]
     df = spark.createDataFrame(rows, "g int, v double").repartition(7)
     probs = {"a": 0.05, "b": 0.5, "c": 0.913}
-    got = by_key(exact_quantiles(df, "v", probs, ["g"], small), "g")
+    got = by_key(exact_quantiles(df, "v", probs, ["g"]), "g")
     for g, vs in groups.items():
-        assert [got[g,][k] for k in probs] == pytest.approx(np.quantile(vs, list(probs.values())))
-    one = exact_quantiles(df.where("g = 0"), "v", {"q": 0.25}, small=small).first()
+        assert [got[g,][k] for k in probs] == pytest.approx(np.quantile(vs, list(probs.values())), rel=1e-12, abs=0)
+    assert got[None,]["b"] == 6.0 and (7,) not in got
+    one = exact_quantiles(df.where("g = 0"), "v", {"q": 0.25}).first()
     assert one.q == pytest.approx(np.quantile(groups[0], 0.25))
+    assert [r.q for r in exact_quantiles(df.where("false"), "v", {"q": 0.25}).collect()] == [None]
 
 
-@pytest.mark.parametrize("way", [_bracketed_quantiles, _ranked_quantiles])
-def test_quantiles_at_every_group_size(spark, way):
+def test_bits_sort_like_doubles(spark):
+    values = [float("-inf"), -1e300, -2.5, -1.0, -5e-324, 0.0, 5e-324, 1e-9, 1.0, 2.5, 1e300, float("inf")]
+    df = spark.createDataFrame([(v,) for v in [*values, -0.0]], "v double").select("v", ordered_bits(F.col("v")).alias("b"))
+    df = df.select("v", "b", from_ordered_bits(F.col("b")).alias("back"))
+    rows = df.collect()
+    assert [r.b for r in rows[:-1]] == sorted({r.b for r in rows[:-1]}) and rows[-1].b == rows[5].b == 0
+    assert all(r.back == r.v for r in rows)
+
+
+def test_quantiles_at_every_group_size(spark):
     """Positions between ranks, for groups of one to forty values, some of them equal."""
     rng = np.random.default_rng(8)
     groups = {n: np.round(rng.normal(size=n), 1 + n % 2) for n in range(1, 41)}
-    df = spark.createDataFrame([(n, float(v)) for n, vs in groups.items() for v in vs], "g int, _v double").repartition(5)
+    df = spark.createDataFrame([(n, float(v)) for n, vs in groups.items() for v in vs], "g int, v double").repartition(5)
     probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.75, "e": 0.95, "f": 1.0}
-    for r in way(df, ["g"], probs).collect():
+    for r in exact_quantiles(df, "v", probs, ["g"]).collect():
         assert [r[k] for k in probs] == pytest.approx(np.quantile(groups[r.g], list(probs.values())))
 
 
