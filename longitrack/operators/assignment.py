@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from longitrack.operators.candidates import PAIR
 from longitrack.session import materialise
@@ -16,8 +15,6 @@ GRAPH_ORDER = (
     ("refined_score", True), ("graph_support_count", True), ("graph_residual_median_um", False), ("dice", True),
     ("distance_um", False), ("label_a", False), ("label_b", False),
 )
-# Candidates left below this many are finished per pair in one task each.
-FINISH_ROWS = 200_000
 
 
 def _best_first(order: Sequence[tuple[str, bool]]) -> Column:
@@ -42,64 +39,76 @@ def mutual_best_overlap(overlaps: DataFrame, pair: Sequence[str] = PAIR) -> Data
     return best_a.select(*pair, "e.*").join(best_b, [*pair, "label_a", "label_b"], "left_semi")
 
 
-def _finish(order: Sequence[tuple[str, bool]], pair: Sequence[str]):
-    """Sequential pass over the few remaining candidates of one pair."""
-    names = [c for c, _ in order]
-    ascending = [not d for _, d in order]
+def _counted(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """``df`` written once, and how many of its rows meet ``condition``, observed while writing."""
+    seen = Observation()
+    table = materialise(df.observe(seen, F.count_if(condition).alias("n")))
+    return table, seen.get["n"]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        taken_a, taken_b, keep = set(), set(), []
-        for row in group.sort_values(names, ascending=ascending, na_position="last").itertuples():
-            if row.label_a not in taken_a and row.label_b not in taken_b:
-                taken_a.add(row.label_a)
-                taken_b.add(row.label_b)
-                keep.append(row.Index)
-        return group.loc[keep, [*pair, "label_a", "label_b"]]
 
-    return run
+def _decided(left: DataFrame, pair: list[str]) -> DataFrame:
+    """(``pair``, labels) of accepted candidates among ``left`` (``pair``, ``_e``); the best of all is one of them.
+
+    A candidate that is the best of both its labels is accepted. One that is the best of one label and the second
+    of the other hangs on a single better rival: it is accepted if the rival is not. Such candidates form
+    chains, which pointer doubling follows to their ends in logarithmic steps. Chains that end in a
+    candidate with several better rivals stay undecided.
+    """
+    ends = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"_e.{c}").alias("label")) for i, c in enumerate(("label_a", "label_b"))]))
+    order = W.partitionBy(*pair, "_end").orderBy(F.desc("_e"))
+    best_two = (
+        left.withColumn("_end", ends)
+        .withColumn("_r", F.row_number().over(order))
+        .withColumn("_rival", F.first("_e").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        .where(F.col("_r") <= 2)
+    )
+    second = F.col("_r") == 2
+    standing = best_two.groupBy(*pair, "_e").agg(
+        F.count_if(~second).alias("_firsts"), F.count_if(second).alias("_seconds"), F.max(F.when(second, F.col("_rival"))).alias("_rival"))
+    chains = standing.where(F.col("_firsts") + F.col("_seconds") == 2).where("_firsts > 0").select(
+        *pair, "_e.label_a", "_e.label_b", F.col("_rival.label_a").alias("_to_a"), F.col("_rival.label_b").alias("_to_b"),
+        F.lit(True).alias("_turn"), F.when(F.col("_firsts") == 2, True).alias("_accepted"))
+    open_ = F.col("_accepted").isNull()
+    chains, n = _counted(chains, open_)
+    while n:
+        target = chains.select(*pair, F.col("label_a").alias("_to_a"), F.col("label_b").alias("_to_b"), F.col("_to_a").alias("_next_a"),
+                               F.col("_to_b").alias("_next_b"), F.col("_turn").alias("_next_turn"), F.col("_accepted").alias("_known"))
+        stepped = chains.where(open_).join(target, [*pair, "_to_a", "_to_b"]).select(
+            *pair, "label_a", "label_b", F.col("_next_a").alias("_to_a"), F.col("_next_b").alias("_to_b"),
+            (F.col("_turn") != F.col("_next_turn")).alias("_turn"), (F.col("_known") != F.col("_turn")).alias("_accepted"))
+        chains, n = _counted(chains.where(~open_).unionByName(stepped), open_)
+    return chains.where("_accepted").select(*pair, "label_a", "label_b")
 
 
 def greedy_keys(
     candidates: DataFrame, order: Sequence[tuple[str, bool]] = SCORE_ORDER, pair: Sequence[str] = PAIR,
-    finish_rows: int = FINISH_ROWS,
 ) -> DataFrame:
     """Keys of the matches a greedy pass in ``order`` accepts.
 
-    With a strict order the greedy result equals this fix-point: accept every candidate that is the
-    best of both its labels, remove the labels, repeat. Each round is two aggregations and joins on
-    unique keys. What is left below ``finish_rows`` is finished pair by pair. ``candidates`` should be
-    a written table, as the rounds read it repeatedly.
+    With a strict order the greedy result equals this fix-point: accept every candidate that is decided to be
+    a match, remove its labels, repeat. A round is an aggregation of the two best of every label, the
+    steps along chains of better rivals (see ``_decided``) and joins on unique keys. ``candidates`` should
+    be a written table.
     """
     pair = list(pair)
-    keys = [*pair, "label_a", "label_b"]
-    names = [c for c, _ in order]
-    left = candidates.select(*dict.fromkeys([*keys, *names]))
-    accepted = None
-    while True:
-        n = left.count()
-        if n <= finish_rows:
-            schema = left.select(*keys).schema
-            done = left.groupBy(*pair).applyInPandas(_finish(order, pair), schema) if n else left.select(*keys)
-            return done if accepted is None else accepted.unionByName(done)
-        ranked = left.withColumn("_e", _best_first(order))
-        best_a = ranked.groupBy(*pair, "label_a").agg(F.max("_e").alias("_e")).select(*pair, "_e.label_a", "_e.label_b")
-        best_b = ranked.groupBy(*pair, "label_b").agg(F.max("_e").alias("_e")).select(*pair, "_e.label_a", "_e.label_b")
-        now = materialise(best_a.join(best_b, keys, "left_semi"))
+    left = candidates.select(*pair, _best_first(order).alias("_e"))
+    accepted, n = None, 1
+    while n:
+        now = materialise(_decided(left, pair))
         accepted = now if accepted is None else accepted.unionByName(now)
-        left = materialise(
-            left.join(now.select(*pair, "label_a"), [*pair, "label_a"], "left_anti").join(
-                now.select(*pair, "label_b"), [*pair, "label_b"], "left_anti"
-            )
-        )
+        for c in ("label_a", "label_b"):
+            taken = now.select(*pair, F.col(c).alias("_label"))
+            left = left.withColumn("_label", F.col(f"_e.{c}")).join(taken, [*pair, "_label"], "left_anti").drop("_label")
+        left, n = _counted(left, F.lit(True))
+    return accepted
 
 
 def greedy_one_to_one(
     candidates: DataFrame, rule: str, order: Sequence[tuple[str, bool]] = SCORE_ORDER, pair: Sequence[str] = PAIR,
-    finish_rows: int = FINISH_ROWS,
 ) -> DataFrame:
     """Greedy one-to-one matches among the candidates that pass ``rule``."""
     allowed = materialise(candidates.where(F.col(rule)))
-    chosen = greedy_keys(allowed, order, pair, finish_rows)
+    chosen = greedy_keys(allowed, order, pair)
     return allowed.join(chosen, [*pair, "label_a", "label_b"], "left_semi").withColumn(
         "assignment_policy", F.lit(rule.removesuffix("_rule"))
     )

@@ -99,9 +99,13 @@ def pair_diagnostics(matches: DataFrame, pair: Sequence[str], distances: Sequenc
     )
     wanted = {d: {f"median_{d}": 0.5} for d in distances}
     wanted |= {v: {f"{v}_p10": 0.1, f"{v}_median": 0.5, f"{v}_p90": 0.9} for v in ("score", "confidence")}
-    for column, probs in wanted.items():
-        out = out.join(exact_quantiles(matches, column, probs, pair), list(pair), "left")
-    return out
+    # All columns in one selection, each as a group of its own.
+    long = matches.select(*pair, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in wanted])).alias("_m")).select(*pair, "_m.*")
+    every = {p: f"_q{i}" for i, p in enumerate(sorted({p for probs in wanted.values() for p in probs.values()}))}
+    found = exact_quantiles(long, "_value", {name: p for p, name in every.items()}, [*pair, "_column"])
+    columns = [F.max(F.when(F.col("_column") == c, F.col(every[p]))).alias(name) for c, probs in wanted.items() for name, p in probs.items()]
+    return out.join(found.groupBy(*pair).agg(*columns), list(pair), "left")
 
 
 def match_distances(matches: DataFrame, pair: Sequence[str], xy_um: float = 710.0 / 1024.0, z_um: float = 5.0) -> DataFrame:

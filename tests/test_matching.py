@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helpers import greedy
 from longitrack.operators import assignment, candidates as cand, graph, tracks
 from longitrack.operators.spatial import FAN, bounding_box, knn_join, morton, packed_index, packed_leaves, radius_join
-from longitrack.params import OverlapParams, resolve_policies
+from longitrack.params import GraphParams, OverlapParams, resolve_policies
 from longitrack.plans.daywise import pair_schedule
 
 POINT = "g int, label int, z_um double, y_um double, x_um double"
@@ -67,6 +67,20 @@ def test_knn_of_a_crowded_clump(spark):
     assert top == 2 and steps.where(f"size(_kids) > {FAN}").isEmpty()
 
 
+def test_greedy_follows_a_long_chain_in_one_round(spark, monkeypatch):
+    """Every candidate but the last has one better rival: 100,000 of them are decided by doubling, not round by round."""
+    n, rounds = 100_000, []
+    decided = assignment._decided
+    monkeypatch.setattr(assignment, "_decided", lambda *a: rounds.append(1) or decided(*a))
+    i = F.col("id")
+    rows = spark.range(n).select(
+        F.lit("x").alias("day_a"), F.lit("y").alias("day_b"), F.floor(i / 2).cast("int").alias("label_a"),
+        F.floor((i + 1) / 2).cast("int").alias("label_b"), i.cast("double").alias("score"), F.lit(0.5).alias("dice"), F.lit(1.0).alias("distance_um"))
+    got = assignment.greedy_keys(rows).select((F.col("label_a") + F.col("label_b")).alias("i"))
+    assert len(rounds) == 1
+    assert got.agg(F.count("i"), F.min("i"), F.sum(F.col("i") % 2)).first()[:] == (n // 2, 1, n // 2)
+
+
 def test_radius_join(spark):
     rng = np.random.default_rng(5)
     rows = [(i % 2, i, *map(float, rng.uniform(-20, 20, 3))) for i in range(120)]
@@ -79,8 +93,7 @@ def test_radius_join(spark):
 CAND = "day_a string, day_b string, label_a int, label_b int, score double, dice double, distance_um double, rule boolean"
 
 
-@pytest.mark.parametrize("finish", [0, 10**6])
-def test_greedy_equals_sequential(spark, finish):
+def test_greedy_equals_sequential(spark):
     """Tie-heavy candidates in several pairs, among them a long chain of ever better scores."""
     rnd = random.Random(4)
     rows = []
@@ -89,7 +102,7 @@ def test_greedy_equals_sequential(spark, finish):
         rows += [("d%d" % pair, "e", a, b, rnd.randrange(4) / 4, rnd.randrange(3) / 3, float(rnd.randrange(3)), True) for a, b in seen]
     chain = [("chain", "e", i // 2, (i + 1) // 2, i / 40, 0.5, 1.0, True) for i in range(12)]
     rows += chain + [("d0", "e", 99, 99, 1.0, 1.0, 0.0, False)]
-    got = assignment.greedy_one_to_one(spark.createDataFrame(rows, CAND), "rule", finish_rows=finish)
+    got = assignment.greedy_one_to_one(spark.createDataFrame(rows, CAND), "rule")
     found = {}
     for r in got.collect():
         found.setdefault(r.day_a, []).append((r.label_a, r.label_b))
@@ -290,3 +303,51 @@ def test_policies_and_schedule(spark):
             pair_schedule(spark, [], gap)
     with pytest.raises(ValueError):
         OverlapParams(weight_dice=0.9)
+
+
+def support_by_brute_force(pairs, anchors, a, b, params):
+    def apart(p, q):
+        return float(np.sqrt(((p - q) ** 2).sum()))
+
+    out = {}
+    for la, lb in pairs:
+        near = []
+        for ka, kb in anchors:
+            d_a, d_b = apart(a[la], a[ka]), apart(b[lb], b[kb])
+            if d_a <= params.radius_um and d_b <= params.radius_um:
+                near.append((d_a, d_b, ka, apart(a[ka] - a[la], b[kb] - b[lb])))
+        if near:
+            first = {n[2] for n in sorted(near, key=lambda n: (n[0], n[2]))[:params.neighbours]}
+            second = {n[2] for n in sorted(near, key=lambda n: (n[1], n[2]))[:params.neighbours]}
+            res = [n[3] for n in near if n[2] in first & second]
+            out[la, lb] = (len(res), len(res) / len(near), np.median(res) if res else None)
+    return out
+
+
+@pytest.mark.parametrize("leaf", [8, 64])
+def test_graph_support_counts_crowds_without_listing_them(spark, monkeypatch, leaf):
+    """Anchors with a clump that whole balls hold: the shares match brute force, and only close anchors are listed."""
+    monkeypatch.setattr(graph, "LEAF_POINTS", leaf)
+    rng = np.random.default_rng(leaf)
+    params = GraphParams(radius_um=20.0, neighbours=4)
+    a = {i: rng.uniform(0, 120, 3) for i in range(260)} | {i: 60 + rng.uniform(-4, 4, 3) for i in range(260, 560)}
+    b = {i: p + rng.normal(0, 1.5, 3) for i, p in a.items()}
+    anchors = [(i, i) for i in a if i % 2 == 0]
+    pairs = [(i, i) for i in a if i % 2][:220] + [(1, 3), (5, 300), (300, 5)] + [(i, i) for i in range(301, 321, 2)]
+    side = "day_a string, day_b string, label int, z_um double, y_um double, x_um double"
+    df_a = spark.createDataFrame([("p", "q", i, *map(float, p)) for i, p in a.items()], side)
+    df_b = spark.createDataFrame([("p", "q", i, *map(float, p)) for i, p in b.items()], side)
+    keys = "day_a string, day_b string, label_a int, label_b int"
+    cands = spark.createDataFrame([("p", "q", *k) for k in pairs] + [("none", "q", 1, 1)], keys)
+    marks = spark.createDataFrame([("p", "q", *k) for k in anchors], keys)
+    want = support_by_brute_force(pairs, anchors, a, b, params)
+    got = {(r.label_a, r.label_b): r for r in graph.graph_support(cands, marks, df_a, df_b, params).collect()}
+    assert set(got) == set(want)
+    for key, (count, share, median) in want.items():
+        r = got[key]
+        assert r.graph_support_count == count and r.graph_support_fraction == pytest.approx(share)
+        assert r.graph_residual_median_um == (None if median is None else pytest.approx(median))
+    if leaf == 8:
+        found = graph.local_anchors(graph._placed(cands, df_a, df_b, ["day_a", "day_b"]), graph._placed(marks, df_a, df_b, ["day_a", "day_b"]), params, ["day_a", "day_b"])
+        listed, local = found.agg(F.sum(F.size("_close")), F.sum("_local")).first()
+        assert listed < local / 2
