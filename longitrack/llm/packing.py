@@ -10,6 +10,7 @@ counts the lengths, ranks the pieces of each length and looks up their places.
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,9 @@ from longitrack.session import materialise
 
 SEQUENCE_TOKENS = 1024
 END_ID = 2
-# Branch-and-bound: steps of the whole search, fillings tried per step, and lengths tried per place.
+# Branch-and-bound: fillings generated by the whole search, and steps between two tries of best-fit on the rest.
 MAX_STEPS = 3_000
-MAX_FILLINGS = 6
-WIDTH = 3
+TAIL_STEPS = 16
 
 Filling = tuple[int, ...]
 Packing = list[tuple[Filling, int]]  # lengths in one sequence, largest first, and the number of sequences
@@ -89,8 +89,8 @@ def best_fit(counts: np.ndarray, size: int) -> Packing:
 
 
 def dominated(a: Filling, b: Filling) -> bool:
-    """Whether ``b`` fits into the places of ``a``, largest first (then ``a`` is at least as good)."""
-    if len(a) > len(b) or sum(a) < sum(b):
+    """Whether ``b`` is seen to fit into the places of ``a``, largest first (then ``a`` is at least as good)."""
+    if sum(a) < sum(b):
         return False
     free = sorted(a, reverse=True)
     for length in b:
@@ -103,47 +103,71 @@ def dominated(a: Filling, b: Filling) -> bool:
     return True
 
 
-def fillings(present: list[int], counts: np.ndarray, largest: int, size: int) -> list[Filling]:
-    """Undominated completions of a sequence that holds ``largest``, the fullest first.
+def reachable(lengths: list[int], counts: np.ndarray, room: int, used: Filling = ()) -> list[int]:
+    """Entry i is the set of sums up to ``room`` that the first i ``lengths`` reach, as bits of one number.
 
-    ``present`` are the lengths still to be packed, ascending. A single length that fills the rest
+    Every length may be taken as often as it occurs, less the times it is in ``used``.
+    """
+    mask, sums, out = (1 << room + 1) - 1, 1, [1]
+    for length in lengths:
+        left, block = min(int(counts[length]) - used.count(length), room // length), 1
+        while left > 0:  # blocks of 1, 2, 4, ... of the same length
+            block = min(block, left)
+            sums |= sums << block * length & mask
+            left, block = left - block, block * 2
+        out.append(sums)
+    return out
+
+
+def completions(present: list[int], counts: np.ndarray, largest: int, size: int) -> Iterator[Filling | None]:
+    """Fillings of a sequence that holds ``largest``, one at a time, the fullest first; None for one that an earlier
+    filling dominates, so that the caller can count it.
+
+    ``present`` are the lengths still to be packed, ascending. Only sums that can be reached are followed, so no
+    time goes into dead ends and none of the fillings is left out. A single length that fills the rest
     exactly dominates all others.
     """
     room = size - largest
     spare = int(counts[room]) - (room == largest) if 0 < room < len(counts) else 0
     if spare > 0:
-        return [(largest, room)]
-    found: list[Filling] = []
-
-    def extend(chosen: Filling, room: int, limit: int) -> None:
-        at = bisect.bisect_right(present, min(room, limit)) - 1
-        tried = 0
-        while at >= 0 and tried < WIDTH:
-            length = present[at]
-            used = chosen.count(length) + (length == largest)
-            if counts[length] > used:
-                tried += 1
-                extend(chosen + (length,), room - length, length)
-            at -= 1
-        if not tried:
-            found.append(chosen)
-
-    extend((), room, largest)
-    kept: list[Filling] = []
-    for own in sorted(set(found), key=lambda f: (-sum(f), len(f))):
-        if not any(dominated(better, own) for better in kept):
-            kept.append(own)
-        if len(kept) == MAX_FILLINGS:
-            break
-    return [(largest, *own) for own in kept]
+        yield (largest, room)
+        return
+    lengths = present[:bisect.bisect_right(present, min(room, largest))]
+    sums = reachable(lengths, counts, room, (largest,))
+
+    def parts(upto: int, target: int) -> Iterator[Filling]:
+        """Choices among the first ``upto`` lengths with sum ``target``, larger lengths first."""
+        if not target:
+            yield ()
+            return
+        for i in range(upto - 1, -1, -1):
+            if not sums[i + 1] >> target & 1:
+                return
+            length = lengths[i]
+            for times in range(min(int(counts[length]) - (length == largest), target // length), 0, -1):
+                if sums[i] >> target - times * length & 1:
+                    for rest in parts(i, target - times * length):
+                        yield (length,) * times + rest
+
+    told: list[Filling] = []
+    for target in range(room, -1, -1):
+        if sums[-1] >> target & 1:
+            for own in parts(len(lengths), target):
+                if any(dominated(better, own) for better in told):
+                    yield None
+                else:
+                    told.append(own)
+                    yield (largest, *own)
 
 
 def complete_bins(counts: np.ndarray, size: int, max_steps: int = MAX_STEPS) -> Packing:
     """A packing of ``counts[length]`` pieces of every length into few sequences of ``size`` tokens.
 
-    Depth-first over the fillings of the largest length left. A branch ends when its waste exceeds
-    what any better packing may waste; the incumbent starts as best-fit decreasing, and every branch
-    also tries best-fit on what it leaves. The search stops at the lower bound or after ``max_steps``.
+    Depth-first over the undominated fillings of the largest length left, each used as often as the counts
+    allow. A branch ends when its waste exceeds what any better packing may waste. The incumbent starts as
+    best-fit decreasing, and every ``TAIL_STEPS``-th step tries best-fit on what it leaves. The search stops at the
+    lower bound, or after ``max_steps`` fillings, dominated ones included; nothing else cuts it. As a filling is
+    never used fewer times than it could be, an exhausted search is no proof of the optimum.
     """
     counts = np.asarray(counts, np.int64)
     best = best_fit(counts, size)
@@ -153,21 +177,22 @@ def complete_bins(counts: np.ndarray, size: int, max_steps: int = MAX_STEPS) ->
     # Frames of an explicit stack: remaining fillings of the frame, counts before it, waste, sequences so far.
     packing: Packing = []
 
-    def frame(own: np.ndarray, waste: int, used: int) -> list:
+    def frame(own: np.ndarray, waste: int, used: int) -> tuple:
         present = np.flatnonzero(own).tolist()
-        options = fillings(present, own, present[-1], size) if present else []
-        return [options, own, waste, used]
+        return completions(present, own, present[-1], size) if present else iter(()), own, waste, used
 
     stack = [frame(counts, 0, 0)]
     while stack and n_best > bound and steps < max_steps:
         options, own, waste, used = stack[-1]
-        if not options:
+        filling = next(options, False)
+        if filling is False:
             stack.pop()
             if packing:
                 packing.pop()
             continue
         steps += 1
-        filling = options.pop(0)
+        if filling is None:
+            continue
         lengths, each = np.unique(filling, return_counts=True)
         number = int((own[lengths] // each).min())
         rest = own.copy()
@@ -175,16 +200,15 @@ def complete_bins(counts: np.ndarray, size: int, max_steps: int = MAX_STEPS) ->
         more = waste + number * (size - sum(filling))
         if more > (n_best - 1) * size - total or used + number + lower_bound_fast(rest, size) >= n_best:
             continue
-        packing.append((filling, number))
         if not rest.any():
-            n_best, best = used + number, list(packing)
-            packing.pop()
+            n_best, best = used + number, [*packing, (filling, number)]
             continue
-        if steps % 16 == 1:
+        if steps % TAIL_STEPS == 1:
             tail = best_fit(rest, size)
             n_tail = used + number + sum(n for _, n in tail)
             if n_tail < n_best:
-                n_best, best = n_tail, packing + tail
+                n_best, best = n_tail, [*packing, (filling, number), *tail]
+        packing.append((filling, number))
         stack.append(frame(rest, more, used + number))
     return best
 
