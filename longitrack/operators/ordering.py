@@ -63,7 +63,7 @@ def from_ordered_bits(bits: Column) -> Column:
     return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), raw).cast("double")
 
 
-def _together(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def together(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal keys, null with null; the columns of ``left`` and those of ``right`` beside the keys."""
     same = F.lit(True)
     for c in keys:
@@ -71,6 +71,52 @@ def _together(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.alias("l").join(right.alias("r"), same, how).select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in keys])
 
 
+def _digit(k: int) -> Column:
+    """Digit k of 4 of the ordered bits, the highest first; that one has the sign."""
+    shifted = F.shiftright(F.col("_b"), 48 - 16 * k)
+    return shifted if k == 0 else shifted.bitwiseAND(F.lit(0xFFFF).cast("long"))
+
+
+def _selected(bits: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    """(``keys``, ``_size``, ``_t``, ``_v``): the values at the wanted positions.
+
+    ``counts`` has the number ``_n`` of ``bits`` for every first ``_digit`` of a group, the ``_size`` of the group and
+    ``_want``, an array of (t, rest) with positions from 0. Every pass narrows the positions down to one more digit.
+    """
+    open_ = counts.withColumn("_prefix", F.lit(0).cast("long"))
+    for k in range(4):
+        if k:
+            shared = bits.withColumn("_prefix", F.shiftright(F.col("_b"), 64 - 16 * k))
+            open_ = together(shared, open_.select(*keys, "_prefix", "_want", "_size"), [*keys, "_prefix"]).groupBy(
+                *keys, "_prefix", _digit(k).alias("_digit")).agg(
+                F.count(F.lit(1)).alias("_n"), F.any_value("_want").alias("_want"), F.any_value("_size").alias("_size"))
+        upto = F.sum("_n").over(W.partitionBy(*keys, "_prefix").orderBy("_digit").rowsBetween(W.unboundedPreceding, 0))
+        prefix = F.col("_digit") if k == 0 else F.shiftleft(F.col("_prefix"), 16).bitwiseOR(F.col("_digit"))
+        below = F.col("_upto") - F.col("_n")
+        inside = F.filter("_want", lambda w: (w["rest"] >= below) & (w["rest"] < F.col("_upto")))
+        open_ = open_.withColumn("_upto", upto).select(
+            *keys, "_size", prefix.alias("_prefix"),
+            F.transform(inside, lambda w: F.struct(w["t"].alias("t"), (w["rest"] - below).alias("rest"))).alias("_want"),
+        ).where(F.size("_want") > 0)
+    return open_.select(*keys, "_size", from_ordered_bits(F.col("_prefix")).alias("_v"), F.explode("_want.t").alias("_t"))
+
+
+def values_at(df: DataFrame, value: str, wanted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(``by``, one column per position): the ``value`` at each of some positions of every group in ascending order.
+
+    ``wanted`` has one row per group, whose further columns are positions from 0 within the rows of ``df``.
+    The way is that of ``exact_quantiles``; ``df`` has no missing values.
+    """
+    by = list(by)
+    names = [c for c in wanted.columns if c not in by]
+    bits = materialise(df.select(*by, ordered_bits(F.col(value).cast("double")).alias("_b")))
+    want = F.array(*[F.struct(F.lit(i).alias("t"), F.col(c).cast("long").alias("rest")) for i, c in enumerate(names)])
+    counts = bits.groupBy(*by, _digit(0).alias("_digit")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = together(counts, wanted.select(*by, want.alias("_want"), F.lit(0).alias("_size")), by)
+    found = _selected(bits, by, counts)
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_t") == i, F.col("_v"))).alias(c) for i, c in enumerate(names)])
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per ``by`` group; missing values and NaN do not count.
 
@@ -86,40 +132,20 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequ
     bits = materialise(
         rows.select(*keys, F.col(value).cast("double").alias("_v")).where(valid).select(*keys, ordered_bits(F.col("_v")).alias("_b")))
 
-    def digit(k: int) -> Column:
-        """Digit k of 4, the highest first; that one has the sign."""
-        shifted = F.shiftright(F.col("_b"), 48 - 16 * k)
-        return shifted if k == 0 else shifted.bitwiseAND(F.lit(0xFFFF).cast("long"))
-
-    group = W.partitionBy(*keys)
-    counts = bits.groupBy(*keys, digit(0).alias("_digit")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_size", F.sum("_n").over(group))
+    counts = bits.groupBy(*keys, _digit(0).alias("_digit")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_size", F.sum("_n").over(W.partitionBy(*keys)))
     # The wanted positions of a group: two around every quantile, by number.
     at = [F.lit(p) * (F.col("_size") - 1) for p in probs.values()]
     wanted = F.array(*[F.struct(F.lit(2 * i + up).alias("t"), rounded(position).alias("rest"))
                        for i, position in enumerate(at) for up, rounded in enumerate((F.floor, F.ceil))])
-    open_ = counts.withColumn("_want", wanted).withColumn("_prefix", F.lit(0).cast("long"))
-    for k in range(4):
-        if k:
-            shared = bits.withColumn("_prefix", F.shiftright(F.col("_b"), 64 - 16 * k))
-            open_ = _together(shared, open_.select(*keys, "_prefix", "_want", "_size"), [*keys, "_prefix"]).groupBy(
-                *keys, "_prefix", digit(k).alias("_digit")).agg(
-                F.count(F.lit(1)).alias("_n"), F.any_value("_want").alias("_want"), F.any_value("_size").alias("_size"))
-        upto = F.sum("_n").over(W.partitionBy(*keys, "_prefix").orderBy("_digit").rowsBetween(W.unboundedPreceding, 0))
-        prefix = F.col("_digit") if k == 0 else F.shiftleft(F.col("_prefix"), 16).bitwiseOR(F.col("_digit"))
-        below = F.col("_upto") - F.col("_n")
-        inside = F.filter("_want", lambda w: (w["rest"] >= below) & (w["rest"] < F.col("_upto")))
-        open_ = open_.withColumn("_upto", upto).select(
-            *keys, "_size", prefix.alias("_prefix"),
-            F.transform(inside, lambda w: F.struct(w["t"].alias("t"), (w["rest"] - below).alias("rest"))).alias("_want"),
-        ).where(F.size("_want") > 0)
-    found = open_.select(*keys, "_size", from_ordered_bits(F.col("_prefix")).alias("_v"), F.explode("_want.t").alias("_t"))
+    found = _selected(bits, keys, counts.withColumn("_want", wanted))
     place = [[F.max(F.when(F.col("_t") == 2 * i + up, F.col("_v"))) for up in (0, 1)] for i in range(len(probs))]
     out = found.groupBy(*keys, "_size").agg(*[
         _between(low, high, p).alias(name) for (name, p), (low, high) in zip(probs.items(), place)])
     if by:
         return out.select(*by, *probs)
     one = bits.agg(F.count(F.lit(1)).alias("_count")).withColumn("_all", F.lit(0))
-    return _together(one, out.select("_all", *probs), ["_all"], "left").select(*probs)
+    return together(one, out.select("_all", *probs), ["_all"], "left").select(*probs)
 
 
 def _between(low: Column, high: Column, p: float) -> Column:

@@ -7,14 +7,23 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
-from longitrack.operators.ordering import exact_quantiles
+from longitrack.operators.ordering import exact_quantiles, values_at
 from longitrack.operators.spatial import radius_join
 from longitrack.params import OverlapParams, Spacing
 from longitrack.session import materialise
 
 PAIR = ("day_a", "day_b")
+# Coordinates of a seed in both sessions, and the products whose moments the fit needs.
+PLACES = ("za", "ya", "xa", "zb", "yb", "xb")
+MOMENTS = {
+    "zz": ("zb", "zb"), "zt": ("zb", "za"), "yy": ("yb", "yb"), "xx": ("xb", "xb"), "yx": ("yb", "xb"),
+    "yt": ("yb", "ya"), "xt": ("xb", "ya"), "yu": ("yb", "xa"), "xu": ("xb", "xa"),
+}
+SUMS = ["n", *[f"t_{c}" for c in PLACES], *[f"q_{k}" for k in MOMENTS]]
+# Bins of residuals up to the largest one that may stay; one more holds all beyond.
+BINS = 256
 
 
 # --- image correlation: NumPy on one pair's projections, whose size is fixed by the microscope ----
@@ -157,25 +166,32 @@ def legacy_shift(records: DataFrame, shifts: DataFrame, max_xy: float = 15.0, ma
 COEFFICIENTS = ("a0", "a1", "b0", "b1", "b2", "c0", "c1", "c2")
 
 
-def _normal_sums(rows: DataFrame, pair: Sequence[str]) -> DataFrame:
-    """Centred second moments of the kept seeds; one partially aggregated pass for all pairs."""
-    keep = F.col("keep")
+def _shifted(column: str) -> Column:
+    return F.col(column) - F.col(f"o_{column}")
 
-    def of(column: str) -> Column:
-        return F.when(keep, F.col(column))
 
-    moments = {
-        "zz": ("zb", "zb"), "zt": ("zb", "za"), "yy": ("yb", "yb"), "xx": ("xb", "xb"), "yx": ("yb", "xb"),
-        "yt": ("yb", "ya"), "xt": ("xb", "ya"), "yu": ("yb", "xa"), "xu": ("xb", "xa"),
-    }
-    return rows.groupBy(*pair).agg(
-        F.count(F.lit(1)).alias("n_seed"),
-        F.count(F.when(keep, 1)).alias("n_inlier"),
-        *[F.avg(of(c)).alias(f"m_{c}") for c in ("za", "ya", "xa", "zb", "yb", "xb")],
-        *[F.covar_pop(of(p), of(q)).alias(f"s_{k}") for k, (p, q) in moments.items()],
+def _sums(rows: DataFrame, by: Sequence[str], *more: Column) -> DataFrame:
+    """Number, sums and sums of products of the seeds' places about the pair's centre ``o_*``, which add up; and ``more``."""
+    return rows.groupBy(*by).agg(
+        *more,
+        F.count(F.lit(1)).alias("n"), *[F.sum(_shifted(c)).alias(f"t_{c}") for c in PLACES],
+        *[F.sum(_shifted(p) * _shifted(q)).alias(f"q_{k}") for k, (p, q) in MOMENTS.items()],
     )
 
 
+def _added(parts: DataFrame, pair: list[str]) -> DataFrame:
+    """The sums of several parts of a pair's seeds."""
+    return parts.groupBy(*pair).agg(*[F.sum(c).alias(c) for c in (*SUMS, "moved")])
+
+
+def _moments(sums: DataFrame, centres: DataFrame, pair: list[str]) -> DataFrame:
+    """Means and centred second moments from the sums about the centre."""
+    mean = {c: F.col(f"t_{c}") / F.col("n") for c in PLACES}
+    return sums.join(centres, pair).select(
+        *pair, F.col("n").alias("n_inlier"), *[(mean[c] + F.col(f"o_{c}")).alias(f"m_{c}") for c in PLACES],
+        *[(F.col(f"q_{k}") / F.col("n") - mean[p] * mean[q]).alias(f"s_{k}") for k, (p, q) in MOMENTS.items()])
+
+
 def _solve(sums: DataFrame) -> DataFrame:
     """Coefficients from the moments: z on z, and y and x each on (y, x)."""
     c = F.col
@@ -192,18 +208,19 @@ def _solve(sums: DataFrame) -> DataFrame:
     return out.select(*[x for x in sums.columns if not x.startswith(("m_", "s_"))], "_full", *COEFFICIENTS)
 
 
-def _residuals(rows: DataFrame, spacing: Spacing) -> Column:
+def _residuals(spacing: Spacing, old: str = "") -> Column:
+    """Distance of a seed from its fitted position; ``old`` prefixes the coefficients."""
     c = F.col
-    dz = (c("za") - (c("a0") + c("a1") * c("zb"))) * spacing.z_um
-    dy = (c("ya") - (c("b0") + c("b1") * c("yb") + c("b2") * c("xb"))) * spacing.y_um
-    dx = (c("xa") - (c("c0") + c("c1") * c("yb") + c("c2") * c("xb"))) * spacing.x_um
+    k = {n: c(f"{old}{n}") for n in COEFFICIENTS}
+    dz = (c("za") - (k["a0"] + k["a1"] * c("zb"))) * spacing.z_um
+    dy = (c("ya") - (k["b0"] + k["b1"] * c("yb") + k["b2"] * c("xb"))) * spacing.y_um
+    dx = (c("xa") - (k["c0"] + k["c1"] * c("yb") + k["c2"] * c("xb"))) * spacing.x_um
     return F.sqrt(dz * dz + dy * dy + dx * dx)
 
 
-def _measured(rows: DataFrame, solved: DataFrame, pair: list[str], spacing: Spacing) -> DataFrame:
-    """The seeds of all solvable pairs with their distance from the fitted position, written once."""
-    fitted = rows.join(solved.select(*pair, "_full", *COEFFICIENTS), pair).where("_full")
-    return materialise(fitted.select(*rows.columns, _residuals(fitted, spacing).alias("residual")))
+def _bin(residual: Column, largest: float) -> Column:
+    """Bin of a residual; never smaller for a larger residual."""
+    return F.when(residual >= largest, BINS).otherwise(F.least(F.floor(residual * (BINS / largest)), F.lit(BINS - 1).cast("long"))).cast("int")
 
 
 def restricted_transforms(
@@ -213,36 +230,64 @@ def restricted_transforms(
     """One transform per pair: z on z, and y and x on (y, x), fitted with trimming.
 
     ``seeds`` holds the centroids ``za ya xa zb yb xb`` of the seed matches, ``shifts`` one row per
-    pair with the coarse shift. Every step is an aggregation or a join over the seeds of all pairs,
-    so no pair's seeds are gathered in one task. Trimming is idempotent once a pair has settled,
-    so all pairs take the same number of rounds. Failing pairs fall back to the shift alone.
+    pair with the coarse shift. The seeds are written once. A round sums them up by bins of the residual, each with its
+    moments. The bins tell which of them holds the quantile; only its seeds are opened to find the value, and only those of
+    the bin that the cut falls into to divide them. All other bins stay or go as a whole. Which seeds were kept
+    before follows from the last coefficients and cut, so no seed is written again, and no pair's seeds are
+    gathered in one task. Trimming is idempotent once a pair has settled, so all pairs take the same number
+    of rounds. Failing pairs fall back to the shift alone.
     """
     pair = list(pair)
-    places = ["za", "ya", "xa", "zb", "yb", "xb"]
-    rows = seeds.select(*pair, *places, F.lit(True).alias("keep"))
+    largest = params.max_residual_um
+    seeds = materialise(seeds.select(*pair, *PLACES))
+    centres = materialise(seeds.groupBy(*pair).agg(*[F.avg(c).alias(f"o_{c}") for c in PLACES]))
+    sums = _sums(seeds.join(centres, pair), pair)
+    before = seeds.select(*pair).distinct().select(
+        *pair, *[F.lit(None).cast("double").alias(f"old_{c}") for c in COEFFICIENTS], F.lit(None).cast("double").alias("old_cut"))
+    kept = F.coalesce(_residuals(spacing, "old_") <= F.col("old_cut"), F.lit(True))
     failed = None
     for _ in range(params.trim_iterations):
-        solved = materialise(_solve(_normal_sums(rows, pair)))
+        solved = materialise(_solve(_moments(sums, centres, pair)).join(before, pair).join(centres, pair))
         broken = solved.where(~F.col("_full")).select(*pair, "n_inlier", F.lit("rank_deficient").alias("_reason"))
         failed = broken if failed is None else failed.unionByName(broken)
-        measured = _measured(rows, solved, pair, spacing)
-        limit = materialise(
-            exact_quantiles(measured.where("keep"), "residual", {"q": params.trim_quantile}, pair)
-        )
-        cut = F.least(F.lit(params.max_residual_um), F.col("q"))
-        moved = measured.join(limit, pair).withColumn("_new", F.col("residual") <= cut)
-        rows = moved.select(*pair, *places, F.col("_new").alias("keep"))
-        if moved.where(F.col("_new") != F.col("keep")).isEmpty():
+        measured = seeds.join(solved.where("_full"), pair).withColumn("residual", _residuals(spacing)).withColumn("keep", kept)
+        measured = measured.withColumn("bin", _bin(F.col("residual"), largest))
+        bins = materialise(_sums(measured, [*pair, "bin"], F.count_if("keep").alias("kept")))
+        # The two kept seeds around the quantile, and the bins they lie in.
+        upto = W.partitionBy(*pair).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+        ranked = bins.select(*pair, "bin", "kept", F.sum("kept").over(upto).alias("_upto"), F.sum("kept").over(W.partitionBy(*pair)).alias("_all"))
+        at, below = params.trim_quantile * (F.col("_all") - 1), F.col("_upto") - F.col("kept")
+        ends = ranked.groupBy(*pair).agg(*[
+            F.max(F.when((position >= below) & (position < F.col("_upto")), F.struct("bin", below.alias("below"), position.alias("at"), (at - F.floor(at)).alias("part")))).alias(name)
+            for name, position in (("low", F.floor(at)), ("high", F.ceil(at)))])
+        ends = materialise(ends)
+        opened = measured.where("keep").join(ends, pair).where(F.col("bin").isin(F.col("low.bin"), F.col("high.bin")) & (F.col("low.bin") < BINS))
+        positions = ends.select(*pair, (F.col("low.at") - F.col("low.below")).alias("v_low"), (F.col("high.at") - F.col("low.below")).alias("v_high"))
+        values = values_at(opened.select(*pair, "residual"), "residual", positions, pair)
+        quantile = F.col("v_low") + (F.col("v_high") - F.col("v_low")) * F.col("low.part")
+        cuts = materialise(ends.join(values, pair, "left").select(*pair, F.coalesce(F.least(quantile, F.lit(largest)), F.lit(largest)).alias("cut")))
+        border = _bin(F.col("cut"), largest)
+        sided = bins.join(cuts, pair).withColumn("_border", border)
+        stay = sided.where(F.col("bin") < F.col("_border")).withColumn("moved", F.col("n") - F.col("kept"))
+        gone = sided.where(F.col("bin") > F.col("_border")).select(*pair, F.col("kept").alias("moved"))
+        divided = measured.join(cuts, pair).where(F.col("bin") == border).withColumn("_new", F.col("residual") <= F.col("cut"))
+        part = _sums(divided, [*pair, "_new"], F.count_if(F.col("_new") != F.col("keep")).alias("moved"))
+        part = part.select(*pair, "moved", *[F.when(F.col("_new"), F.col(c)).alias(c) for c in SUMS])
+        parts = stay.select(*pair, "moved", *SUMS).unionByName(gone, allowMissingColumns=True).unionByName(part)
+        seen = Observation()
+        sums = materialise(_added(parts, pair).observe(seen, F.sum("moved").alias("moved")))
+        before = solved.where("_full").join(cuts, pair).select(*pair, *[F.col(c).alias(f"old_{c}") for c in COEFFICIENTS], F.col("cut").alias("old_cut"))
+        if not seen.get["moved"]:
             break
-    final = materialise(_solve(_normal_sums(rows, pair)))
-    kept = _measured(rows, final, pair, spacing).where("keep")
+    final = materialise(_solve(_moments(sums, centres, pair)))
+    settled = seeds.join(before, pair).where(kept).join(final.where("_full").select(*pair, *COEFFICIENTS), pair)
     spread = exact_quantiles(
-        kept, "residual", {"residual_median_um": 0.5, "residual_p95_um": params.trim_quantile}, pair
-    )
+        settled.withColumn("residual", _residuals(spacing)), "residual",
+        {"residual_median_um": 0.5, "residual_p95_um": params.trim_quantile}, pair)
     counts = seeds.groupBy(*pair).agg(F.count(F.lit(1)).alias("_seeds"))
     early = failed.groupBy(*pair).agg(F.first("_reason").alias("_early"), F.first("n_inlier").alias("_early_n"))
     out = (
-        shifts.join(counts, pair, "left").join(final.drop("n_seed"), pair, "left").join(early, pair, "left").join(spread, pair, "left")
+        shifts.join(counts, pair, "left").join(final, pair, "left").join(early, pair, "left").join(spread, pair, "left")
     )
     n_seed = F.coalesce(F.col("_seeds"), F.lit(0))
     n_keep = F.coalesce(F.col("n_inlier"), F.lit(0))
