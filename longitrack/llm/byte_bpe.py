@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -236,8 +237,41 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids binary, ids_text string, decoded binary")
 
 
+def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded, its ids decoded again, and both hashed.
+
+    One Python worker does all of it slice by slice, so that it never holds the ids of more than about
+    ``SLICE_BYTES`` of text (a longer text is a slice of its own). A null text is empty; rows alike
+    are treated each for itself, a null doc_id stays null, and other columns are ignored.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = process_wide(f"ranks {path}", lambda: rank_encoder(path))
+        tokens = process_wide(f"tokens {path}", lambda: {
+            rank: token for token, rank in read_ranks(path or public_tokenizers.path(MULTI_BPE)).items()})
+        decimal = process_wide(f"decimals {path}", lambda: {i: str(i) for i in tokens}).__getitem__
+        for batch in batches:
+            for at in range(0, batch.num_rows, DECODED_ROWS):
+                own_rows = batch.slice(at, DECODED_ROWS)
+                data, offsets = text_bytes(own_rows.column("text"))
+                n_tokens, ids_hash, decoded_hash = [], [], []
+                for first, last in row_slices(offsets):
+                    own = offsets[first:last + 1]
+                    ids, counts = encoder.encode(data[own[0]:own[-1]], own - own[0])
+                    cuts = np.concatenate([[0], np.cumsum(counts)])
+                    for a, b in zip(cuts, cuts[1:]):
+                        row = ids[a:b].tolist()
+                        n_tokens.append(len(row))
+                        ids_hash.append(hashlib.sha256(",".join(map(decimal, row)).encode()).hexdigest())
+                        decoded_hash.append(hashlib.sha256(b"".join(map(tokens.__getitem__, row))).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [own_rows.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return decode_documents(encode_documents(docs)).select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Digests of the ids and of the decoded bytes of every whole text of ``documents``; an empty table gives no rows."""
+    return round_trip_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
