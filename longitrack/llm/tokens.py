@@ -187,7 +187,8 @@ def cut_counts(ids_bytes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def library_encoder(path: str | None = None) -> ChunkEncoder:
-    """Chunks go to the tokenizers library; strings of special tokens are ordinary text.
+    """Chunks go to the tokenizers library, as a plain call with ``add_special_tokens=False`` would: the string of an
+    added token in a text is that token.
 
     A call for every chunk would cost more than its ids. Chunks that begin with a space are strung
     together, since nothing merges across their borders, and the ids are cut where the bytes of the
@@ -197,12 +198,14 @@ def library_encoder(path: str | None = None) -> ChunkEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path or public_tokenizers.path(BYTE_BPE))
-    tokenizer.encode_special_tokens = True
-    # The vocabulary writes every byte as one character, but for added tokens, which never come here.
+    added = tokenizer.get_added_tokens_decoder()
+    if any(" " in t.content or t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+        raise ValueError("texts are cut at spaces, which added tokens may not hold or look at")
+    # The vocabulary writes every byte as one character, but for added tokens, which stand as they are.
     vocabulary = tokenizer.get_vocab(with_added_tokens=True)
     token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
     for token, i in vocabulary.items():
-        token_bytes[i] = len(token)
+        token_bytes[i] = len(token.encode()) if i in added else len(token)
 
     def encode_chunks(data: bytes, lengths: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum(lengths)

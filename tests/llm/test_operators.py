@@ -47,9 +47,8 @@ def test_chunk_encoders_equal_the_libraries():
     rnd = random.Random(0)
     alphabet = "ab cd'se tllre  \n\t\r  é日本\U0001f600.,!?#12\x1c\x85'　“"
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(500)]
-    texts += ["", None, "ab" * 2000, " " * 50 + "x", "x" + " " * 300, "\n \n x", "<|endoftext|> a", *[t for t in TEXTS.values()]]
+    texts += ["", None, "ab" * 2000, " " * 50 + "x", "x" + " " * 300, "\n \n x", "<|endoftext|> a", "a <|endoftext|> b<|endoftext|>c", *[t for t in TEXTS.values()]]
     library = Tokenizer.from_file(public_tokenizers.path(tokens.BYTE_BPE))
-    library.encode_special_tokens = True
     ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.MULTI_BPE))
     other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for encoder, want in (
@@ -106,6 +105,59 @@ def test_packing(docs, nothing):
     assert packing.pack_documents(nothing, size=64).count() == 0
 
 
+def test_packing_of_short_lengths_stays_small():
+    """Lengths of which a sequence holds dozens have no end of fillings; they are made one at a time."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    for low, high in ((20, 80), (60, 70), (70, 90), (300, 400)):
+        counts = np.zeros(1025, np.int64)
+        counts[low:high + 1] = rng.integers(1, 300, high + 1 - low)
+        tracemalloc.start()
+        packed = packing.complete_bins(counts, 1024)
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+        tracemalloc.stop()
+        got = np.zeros_like(counts)
+        for filling, number in packed:
+            assert sum(filling) <= 1024
+            np.add.at(got, list(filling), number)
+        assert (got == counts).all()
+        assert packing.lower_bound(counts, 1024) <= sum(n for _, n in packed) <= sum(n for _, n in packing.best_fit(counts, 1024))
+
+
+def test_completions_are_all_the_undominated_fillings():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    for _ in range(80):
+        size = int(rng.integers(8, 26))
+        counts = np.bincount(rng.integers(1, size + 1, rng.integers(1, 9)), minlength=size + 1)
+        present = np.flatnonzero(counts).tolist()
+        largest = present[-1]
+        items = [x for x in present for _ in range(counts[x])]
+        items.remove(largest)
+        every = {tuple(sorted(c, reverse=True)) for k in range(len(items) + 1) for c in itertools.combinations(items, k) if sum(c) <= size - largest}
+        got = [f[1:] for f in packing.completions(present, counts, largest, size) if f is not None]
+        assert len(set(got)) == len(got) and set(got) <= every and [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+        assert all(any(packing.dominated(f, other) for f in got) for other in every)
+    fillings = list(packing.completions([40, 60, 97, 98, 99], np.bincount([99, 98, 97, 60, 40], minlength=101), 60, 100))
+    assert fillings == [(60, 40)]
+
+
+def test_byte_bpe_query_equals_the_library(spark, tmp_path):
+    rows = [(i, t, "en", 1) for i, t in TEXTS.items()] + [(None, "no id", "en", 1), (4, TEXTS[4], "en", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int").write.parquet(f"{tmp_path}/documents.parquet")
+    ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.MULTI_BPE))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def want(i, text):
+        ids = library.encode_ordinary(text or "")
+        return (i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+
+    got = [tuple(r) for r in byte_bpe.op8_byte_bpe(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted((want(i, t) for i, t, *_ in rows), key=str)
+
+
 def test_packing_reaches_small_optima():
     rng = np.random.default_rng(0)
 
