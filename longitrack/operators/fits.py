@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from longitrack.functions.student import critical_value, two_sided_p
 from longitrack.operators.ratio import baseline, finite
 from longitrack.session import materialise
 
@@ -54,38 +55,21 @@ def daily_fits(metrics: DataFrame, x: str = "red", y: str = "green", by: Sequenc
     )
 
 
-def t_table(spark: SparkSession, degrees: Sequence[int], alpha: float) -> dict[int, float]:
-    """Two-sided Student t quantiles, one per distinct number of degrees of freedom."""
-    student = spark._jvm.org.apache.commons.math3.distribution.TDistribution
-    return {d: float(student(float(d)).inverseCumulativeProbability(1.0 - alpha / 2.0)) for d in degrees}
-
-
 def fit_intervals(fits: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Add p-values and confidence limits. There is one row per session, so the driver may look them up."""
+    """Add ``p_value``, ``t_critical`` and confidence limits, as expressions of every fit's own row.
+
+    With two rows the p-value is 1 for a flat line and else 0, and there are no limits.
+    """
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie in (0, 1)")
-    spark = fits.sparkSession
-    fits = materialise(fits)
-    rows = fits.select("n_rois", "r_value").distinct().collect()
-    degrees = sorted({r.n_rois - 2 for r in rows if r.n_rois > 2})
-    quantiles = t_table(spark, degrees, alpha)
-    student = spark._jvm.org.apache.commons.math3.distribution.TDistribution
-    looked_up = []
-    for r in rows:
-        d = r.n_rois - 2
-        if d <= 0:
-            p = 1.0 if r.r_value == 0 else 0.0
-        elif abs(r.r_value) == 1.0:
-            p = 0.0
-        else:
-            t = abs(r.r_value) * (d / ((1 - r.r_value) * (1 + r.r_value))) ** 0.5
-            p = 2.0 * float(student(float(d)).cumulativeProbability(-t))
-        looked_up.append((r.n_rois, r.r_value, p, quantiles.get(d)))
-    lookup = spark.createDataFrame(looked_up, "n_rois long, r_value double, p_value double, t_critical double")
-    half = {c: F.col("t_critical") * F.col(f"{c}_stderr") for c in ("slope", "intercept")}
-    out = fits.join(lookup, ["n_rois", "r_value"])
+    degrees, r = F.col("n_rois") - 2, F.col("r_value")
+    t = F.when(F.abs(r) >= 1, float("inf")).otherwise(r * F.sqrt(degrees / ((1 - r) * (1 + r))))
+    p = F.when(degrees > 0, two_sided_p(t, degrees)).when(r == 0, 1.0).otherwise(0.0)
+    # Written once: the limits read the critical value four times.
+    out = materialise(fits.withColumn("p_value", p).withColumn("t_critical", critical_value(degrees, alpha)))
     for c in ("slope", "intercept"):
-        out = out.withColumn(f"{c}_ci_low", F.col(c) - half[c]).withColumn(f"{c}_ci_high", F.col(c) + half[c])
+        half = F.col("t_critical") * F.col(f"{c}_stderr")
+        out = out.withColumn(f"{c}_ci_low", F.col(c) - half).withColumn(f"{c}_ci_high", F.col(c) + half)
     return out
 
 

@@ -77,6 +77,12 @@ def daily_linear_fit(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(fit_ops.daily_fits(rel.metrics(spark, sf)).select(*FIT_COLUMNS))
 
 
+def fit_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """p-values and 95 % confidence limits of the daily fits."""
+    return rounded(fit_ops.fit_intervals(fit_ops.daily_fits(rel.metrics(spark, sf))).select(
+        "day", "n_rois", "p_value", "t_critical", "slope_ci_low", "slope_ci_high", "intercept_ci_low", "intercept_ci_high"))
+
+
 def fit_residuals(spark: SparkSession, sf: str) -> DataFrame:
     m = materialise(rel.metrics(spark, sf))
     out = fit_ops.fit_residuals(m, fit_ops.daily_fits(m))
@@ -283,7 +289,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dark_correction, pivot_channels_first, complete_rois, complete_rois_required_subset, log_ratio_metrics,
-        day0_normalized, roi_summary, population_quartiles, event_channels, daily_linear_fit, fit_residuals,
+        day0_normalized, roi_summary, population_quartiles, event_channels, daily_linear_fit, fit_limits, fit_residuals,
         residual_sign_changes, artifact_filter_refit, mean_line, ci_band, trajectory_classes, top_decreasing,
         top_increasing, ranked_roi_days, ranked_heatmap, random_sample_rois, size_bounds, size_filter, display_range,
         shape_flags, geometry_qc, track_geometry_summary, centroid_steps, presence_summary, filter_funnel,

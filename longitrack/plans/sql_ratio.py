@@ -41,6 +41,25 @@ fits AS (
          sqrt((1 - r_value * r_value) * syy / sxx / (n_rois - 2)) * sqrt(sxx / n_rois + x_mean * x_mean) AS intercept_stderr
   FROM sums)"""
 
+# Student's t with d degrees of freedom lies within t of 0 by the finite trigonometric sums for whole d.
+WITHIN_T = """CASE WHEN d % 2 = 0 THEN sin(atan(t / sqrt(d))) * list_sum(list_transform(range(0, d // 2),
+           lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1.0) + 2 * k * ln(cos(atan(t / sqrt(d)))))))
+         ELSE 2 / pi() * (atan(t / sqrt(d)) + coalesce(sin(atan(t / sqrt(d))) * list_sum(list_transform(range(0, (d - 1) // 2),
+           lambda k: exp(lgamma(1.5) + lgamma(k + 1.0) - lgamma(k + 1.5) + (2 * k + 1) * ln(cos(atan(t / sqrt(d))))))), 0)) END"""
+LIMITS = "WITH RECURSIVE " + FITS + f""",
+newton AS (
+  SELECT day, n_rois - 2 AS d, 1.959963984540054::DOUBLE AS t, 0 AS i FROM fits
+  UNION ALL
+  SELECT day, d, t + ((1 - ({WITHIN_T})) - 0.05) / (2 * exp(lgamma((d + 1) / 2.0) - lgamma(d / 2.0) - 0.5 * ln(d * pi())
+         - (d + 1) / 2.0 * ln(1 + t * t / d))), i + 1 FROM newton WHERE i < 40),
+ends AS (SELECT day, t AS t_critical FROM newton WHERE i = 40),
+tests AS (SELECT *, n_rois - 2 AS d, abs(r_value) * sqrt((n_rois - 2) / ((1 - r_value) * (1 + r_value))) AS t FROM fits),
+limits AS (
+  SELECT day, n_rois, greatest(0.0, 1 - ({WITHIN_T})) AS p_value, t_critical,
+         slope - t_critical * slope_stderr AS slope_ci_low, slope + t_critical * slope_stderr AS slope_ci_high,
+         intercept - t_critical * intercept_stderr AS intercept_ci_low, intercept + t_critical * intercept_stderr AS intercept_ci_high
+  FROM tests JOIN ends USING (day))"""
+
 RESIDUALS = FITS + """,
 res AS (
   SELECT m.roi_id, m.day, intercept + slope * red AS predicted_green_from_fit,
@@ -167,6 +186,8 @@ b AS (
 SELECT roi_id, day, """ + r("red", "green", "brightness", "green_fraction", "log2_green_over_red", "day0_log2_green_over_red")
     + ", round(log2_green_over_red - day0_log2_green_over_red, 6) AS delta_log2_green_over_red FROM b",
     "daily_linear_fit": f"WITH {FITS} SELECT {FIT_SELECT} FROM fits",
+    "fit_limits": f"{LIMITS} SELECT day, n_rois, " + r(
+        "p_value", "t_critical", "slope_ci_low", "slope_ci_high", "intercept_ci_low", "intercept_ci_high") + " FROM limits",
     "fit_residuals": f"""WITH {RESIDUALS},
 d AS (SELECT *, first_value(green_fit_residual) OVER w AS r0, first_value(green_fit_signed_distance) OVER w AS s0
       FROM res WINDOW w AS (PARTITION BY roi_id ORDER BY day))

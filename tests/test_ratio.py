@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from longitrack.functions import student
 from longitrack.operators import fits, qc, ranking, ratio, trajectories
 from longitrack.operators.ordering import (
     cumulative, exact_quantiles, from_ordered_bits, global_rank, ordered_bits,
@@ -85,6 +86,23 @@ def test_fit_skips_missing_and_infinite(spark):
         fits.daily_fits(df.withColumn("red", F.lit(1.0)).where("green < 6")).collect()
 
 
+def test_student_equals_a_library(spark):
+    """Probabilities, densities and critical values against the JVM's statistics library, from 1 to 10^7 degrees."""
+    library = spark._jvm.org.apache.commons.math3.distribution.TDistribution
+    cases = [(float(t), d) for d in (1, 2, 3, 7, 30, 299, 10_000, 10_000_000) for t in (0.0, 1e-6, 0.3, 1.0, 1.96, 4.0, 30.0)]
+    df = spark.createDataFrame(cases, "t double, d long").select(
+        "t", "d", student.two_sided_p(F.col("t"), F.col("d")).alias("p"), student.density(F.col("t"), F.col("d")).alias("f"),
+        *[student.critical_value(F.col("d"), a).alias(f"c{i}") for i, a in enumerate((0.05, 0.001))])
+    for r in df.collect():
+        own = library(float(r.d))
+        assert r.p == pytest.approx(2 * own.cumulativeProbability(-r.t), rel=1e-7, abs=1e-6 if r.t < 1e-3 else 1e-14)
+        assert r.f == pytest.approx(own.density(r.t), rel=1e-7, abs=1e-14)
+        assert [r.c0, r.c1] == pytest.approx([own.inverseCumulativeProbability(1 - a / 2) for a in (0.05, 0.001)], rel=1e-6)
+    odd = spark.createDataFrame([(float("inf"), 5), (None, 5), (1.0, 0)], "t double, d long").select(
+        student.two_sided_p(F.col("t"), F.col("d")).alias("p"), student.critical_value(F.col("d"), 0.05).alias("c")).collect()
+    assert [r.p for r in odd] == [0.0, None, None] and odd[2].c is None
+
+
 def test_fit_inference(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=12)
