@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from longitrack.operators import assignment, candidates as cand, graph, qc, ratio, registration, review, tracks, trajectories, voxels as vox
+from longitrack.operators.checks import checked_join
 from longitrack.operators.fits import daily_fits, fit_intervals, fit_residuals
 from longitrack.params import GeometryQC, GraphParams, OverlapParams, RatioParams, Spacing, resolve_policies
 from longitrack.sources import manifest as man, tiff
@@ -212,12 +213,13 @@ def run_matching(
 
 def observations(track_nodes: DataFrame, table: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row per track and session it is present in, with the session's dates."""
-    named = track_nodes.join(
-        table.select(*POLICY, "track_session", "track_label", "track_uid", "cluster_id"), [*POLICY, "track_session", "track_label"]
-    )
-    return named.join(
+    named = checked_join(
+        track_nodes, table.select(*POLICY, "track_session", "track_label", "track_uid", "cluster_id"),
+        [*POLICY, "track_session", "track_label"], "inner", what="the track table")
+    return checked_join(
+        named,
         manifest.select("session_index", "session_id", "acquisition_date", "elapsed_days", "required", "mask_path",
-                        "red_image_path", "green_image_path"), "session_index"
+                        "red_image_path", "green_image_path"), ["session_index"], "inner", what="the session metadata"
     ).select(
         *POLICY, F.col("cluster_id").alias("roi_id"), "track_uid", "cluster_id", "session_index",
         F.col("session_index").alias("day"), "session_id", "acquisition_date", "elapsed_days",
@@ -266,8 +268,8 @@ def run_extraction(
     # The stacks are read once for all policies and both channels.
     means = store.write("label_means", vox.label_means(tiff.read_voxels(spark, man.volume_specs(sessions))))
     per_channel = seen.withColumn("channel", F.explode(F.array(F.lit("red"), F.lit("green"))))
-    raw = per_channel.join(
-        means.withColumnRenamed("label", "mask_label"), ["session_id", "mask_label", "channel"], "left"
+    raw = checked_join(
+        per_channel, means.withColumnRenamed("label", "mask_label"), ["session_id", "mask_label", "channel"], what="the mean intensities"
     ).withColumn("zero_hit_pass", F.col("mean_intensity").isNotNull()).withColumn(
         "image_path", F.when(F.col("channel") == "red", F.col("red_image_path")).otherwise(F.col("green_image_path"))
     ).drop("red_image_path", "green_image_path")
@@ -279,14 +281,14 @@ def run_extraction(
     timer.done("analysis")
 
     features = matched.read("roi_features").drop("session_index", "required")
-    geometry = seen.join(features.withColumnRenamed("label", "mask_label"), ["session_id", "mask_label"], "left")
+    geometry = checked_join(
+        seen, features.withColumnRenamed("label", "mask_label"), ["session_id", "mask_label"], what="the feature table")
     geometry = trajectories.centroid_steps(geometry, POLICY)
     geometry = store.write("geometry", qc.geometry_flags(geometry, geometry_qc, POLICY))
     shape = store.write("track_geometry", qc.track_geometry_summary(geometry, geometry_qc, POLICY))
     presence = qc.presence_summary(parts["wide"], required, POLICY)
-    joined = table.withColumn("roi_id", F.col("cluster_id")).join(shape, [*POLICY, "roi_id"], "left").join(
-        presence, [*POLICY, "roi_id"], "left"
-    )
+    joined = checked_join(table.withColumn("roi_id", F.col("cluster_id")), shape, [*POLICY, "roi_id"], one_to_one=True)
+    joined = checked_join(joined, presence, [*POLICY, "roi_id"], what="the presence table")
     n = len(required)
     joined = joined.na.fill(0, ["n_required_sessions_present", "missing_required_internal_days", "n_edge_sessions"]).na.fill(
         n, ["n_required_sessions_missing"]

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import write_tiff
+from longitrack.operators.checks import checked_join, unique
 from longitrack.params import GraphParams, OverlapParams, RatioParams
 from longitrack.plans import daywise, master, registered, weekly
 from longitrack.sources import manifest as man
@@ -64,6 +65,24 @@ def test_daywise_two_days(spark, two_days, tmp_path):
     assert funnel["high", "cycle_qc"] == 3 and funnel["high", "segmentation_qc"] == 0
     daywise.matching_qc(matched, 5)
     assert matched.read("review_sample").count() > 0
+    # A region that the feature table lists twice would double its geometry rows.
+    matched.read("roi_features").limit(1).coalesce(1).write.mode("append").parquet(str(matched.path("roi_features")))
+    with pytest.raises(Exception, match="the feature table has a repeated key"):
+        daywise.run_extraction(spark, manifest, tmp_path / "match", tmp_path / "twice", params=DARKLESS)
+
+
+def test_checked_join(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d")], "k int, v string")
+    right = spark.createDataFrame([(1, 10), (2, 20)], "k int, w int")
+    got = checked_join(left, right, ["k"]).collect()
+    assert sorted((r.k, r.v, r.w) for r in got if r.w) == [(1, "a", 10), (1, "b", 10), (2, "c", 20)] and len(got) == 4
+    with pytest.raises(Exception, match="right side has a repeated key .k = 1"):
+        checked_join(left, right.unionByName(right.limit(1)), ["k"]).collect()
+    with pytest.raises(Exception, match="left side has a repeated key"):
+        checked_join(left, right, ["k"], one_to_one=True).collect()
+    assert checked_join(right, left.where("v = 'c'"), ["k"], "inner", one_to_one=True).select("w", "v").collect()[0][:] == (20, "c")
+    with pytest.raises(Exception, match="k = null"):  # also where no other column is used
+        unique(spark.createDataFrame([(None,), (None,)], "k int"), ["k"]).count()
 
 
 @pytest.fixture(scope="module")
