@@ -4,12 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Fixed format: YYYYMMDD_R or YYYYMMDD_G, further tokens, an optional final SyN, and .tif.
 NAME = r"^([0-9]{8})_([RG])((?:_[^_]*)*)\.(?i:tif)$"
 
 
+# Fixed names: short names of datasets and the folders they stand for; the first one is the default.
+DATASETS = {"1050": "1050_data", "920": "920_data"}
+
+
+def dataset_folder(spark: SparkSession, root: str, dataset: str | None = None) -> str:
+    """Folder of a dataset below ``root``: a short name, the name of a folder, or a path of its own.
+
+    A folder that Spark's readers cannot list is an error. ``root`` may lie in any store they reach.
+    """
+    name = next(iter(DATASETS)) if dataset is None else str(dataset)
+    own = name.startswith("/") or "://" in name
+    folder = name if own else f"{str(root).rstrip('/')}/{DATASETS.get(name, name)}"
+    try:
+        found = spark.read.format("binaryFile").load(folder).select("path").head(1)
+    except AnalysisException as error:
+        raise FileNotFoundError(f"no dataset folder {folder}") from error
+    if found and found[0].path.rstrip("/").endswith(folder.rstrip("/").split("://")[-1]):
+        raise NotADirectoryError(f"dataset path {folder} is a file")
+    return folder
+
+
+def analysis_folder(spark: SparkSession, root: str, dataset: str | None = None) -> str:
+    """Where the results of a dataset are kept; it need not exist."""
+    return f"{dataset_folder(spark, root, dataset)}/analysis"
+
+
+def inverse_mask_channel(dataset: str | None) -> str:
+    """Channel whose registration a dataset's inverse masks follow: green for the 920 recordings, else red."""
+    text = "" if dataset is None else str(dataset).lower()
+    return "green" if text.rstrip("/").split("/")[-1].startswith("920") or DATASETS["920"] in text else "red"
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """Paths of the TIFF files in one folder, listed by Spark without reading their content."""
     return (

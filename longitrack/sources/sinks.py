@@ -20,6 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
+# Columns that exported rows are sorted by, as far as a table has them.
+EXPORT_ORDER = ("match_policy", "pair_gap", "day_a", "day_b", "label_a", "label_b", "roi_id", "day", "channel")
+
+
 class Store:
     """Tables of one run, below one folder."""
 
@@ -38,7 +42,10 @@ class Store:
         written = self.spark.read.schema(df.schema).parquet(self.path(name))
         if self.csv:
             flat = [c for c, t in written.dtypes if not t.startswith(("array", "struct", "map"))]
-            written.select(*flat).write.mode("overwrite").csv(self.path(f"{name}.csv"), header=True)
+            order = [c for c in EXPORT_ORDER if c in flat]
+            # A range sort: the part files follow each other in order, whatever their number.
+            rows = written.select(*flat).orderBy(*order) if order else written.select(*flat)
+            rows.write.mode("overwrite").csv(self.path(f"{name}.csv"), header=True)
         return written
 
     def has(self, name: str) -> bool:

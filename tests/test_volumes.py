@@ -303,6 +303,10 @@ def test_sinks(spark, tmp_path):
     assert [r.roi_id for r in sinks.filter_policy(both, "high").collect()] == [1]
     with pytest.raises(ValueError):
         sinks.filter_policy(df, "graph")
+    many = spark.range(300).select((F.col("id") * 7 % 300).cast("int").alias("roi_id"), F.lit("high").alias("match_policy"), F.array("id").alias("l"))
+    store.write("many", many.repartition(5))
+    lines = [x for f in sorted((tmp_path / "s" / "many.csv").glob("part-*.csv")) for x in f.read_text().splitlines()[1:]]
+    assert [int(x.split(",")[0]) for x in lines] == list(range(300))
     assert sinks.read_csv_table(spark, tmp_path / "none.csv", df.schema).isEmpty()
     assert sinks.read_csv_table(spark, tmp_path / "s" / "t.csv", df.schema).count() == 2
     sinks.write_json(tmp_path / "log.json", {"fingerprint": {"a": OverlapParams()}})
@@ -310,3 +314,18 @@ def test_sinks(spark, tmp_path):
     assert sinks.hms(3725) == "01:02:05" and sinks.safe_name("a b/c") == "a_b_c"
     flags = spark.createDataFrame([(" Yes",), ("0",), ("TRUE",)], "v string").select(sinks.tolerant_bool("v"))
     assert [r[0] for r in flags.collect()] == [True, False, True]
+
+
+def test_dataset_names(spark, tmp_path):
+    for folder in ("1050_data", "920_data", "other"):
+        (tmp_path / folder).mkdir()
+    (tmp_path / "file.tif").write_bytes(b"x")
+    assert listing.dataset_folder(spark, str(tmp_path)) == listing.dataset_folder(spark, f"{tmp_path}/", "1050") == f"{tmp_path}/1050_data"
+    assert listing.dataset_folder(spark, str(tmp_path), "other") == listing.dataset_folder(spark, "/nowhere", f"{tmp_path}/other")
+    assert listing.analysis_folder(spark, str(tmp_path), "920") == f"{tmp_path}/920_data/analysis"
+    with pytest.raises(FileNotFoundError):
+        listing.dataset_folder(spark, str(tmp_path), "none")
+    with pytest.raises(NotADirectoryError):
+        listing.dataset_folder(spark, str(tmp_path), "file.tif")
+    names = {"1050": "red", "920": "green", None: "red", "/x/920_run": "green", "/x/920_data/a": "green", "/x/other": "red"}
+    assert {k: listing.inverse_mask_channel(k) for k in names} == names
