@@ -1,4 +1,4 @@
-"""Command line: ``python -m longitrack.plans match|extract|master|registered ...``."""
+"""Command line: ``python -m longitrack.plans match|refine|extract|master|registered ...``."""
 
 from __future__ import annotations
 
@@ -31,10 +31,11 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="longitrack")
     commands = parser.add_subparsers(dest="command", required=True)
     match = commands.add_parser("match", help="match the sessions of a manifest")
+    refine = commands.add_parser("refine", help="add the graph policy to a finished matching run, from its tables")
     extract = commands.add_parser("extract", help="measure the tracks of a matching run")
     whole = commands.add_parser("master", help="graph matching, extraction and agreement labels")
     reg = commands.add_parser("registered", help="measure one mask over registered days")
-    for p in (match, extract, whole):
+    for p in (match, refine, extract, whole):
         p.add_argument("manifest")
         p.add_argument("out")
     for p in (match, extract):
@@ -59,11 +60,11 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument("--qc-mode", choices=["all_required", "fraction"], default=GeometryQC.mode)
         p.add_argument("--exclude-xy-edge", action="store_true")
         p.add_argument("--exclude-z-edge", action="store_true")
-    for p in (match, extract, whole, reg):
+    for p in (match, refine, extract, whole, reg):
         p.add_argument("--csv", action="store_true", help="also write CSV tables")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("longitrack").getOrCreate()
-    ratio = chosen(args, RatioParams, RATIO) if args.command != "match" else None
+    ratio = chosen(args, RatioParams, RATIO) if args.command not in ("match", "refine") else None
     quality = None
     if args.command in ("extract", "master"):
         quality = GeometryQC(mode=args.qc_mode, exclude_xy_edge=args.exclude_xy_edge, exclude_z_edge=args.exclude_z_edge,
@@ -74,6 +75,8 @@ def main(argv: list[str] | None = None) -> None:
             resume=args.resume, overwrite=args.overwrite, csv=args.csv)
         if args.qc_examples:
             daywise.matching_qc(store, args.qc_examples)
+    elif args.command == "refine":
+        daywise.refine_matching(spark, args.manifest, args.out, csv=args.csv)
     elif args.command == "extract":
         daywise.run_extraction(spark, args.manifest, args.matches, args.out, args.policies, ratio, quality, csv=args.csv)
     elif args.command == "master":

@@ -7,16 +7,18 @@ tables that several later steps read are written once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from longitrack.operators import assignment, candidates as cand, graph, qc, ratio, registration, review, tracks, trajectories, voxels as vox
 from longitrack.operators.checks import checked_join
 from longitrack.operators.fits import daily_fits, fit_intervals, fit_residuals
 from longitrack.params import GeometryQC, GraphParams, OverlapParams, RatioParams, Spacing, resolve_policies
+from longitrack.session import materialise
 from longitrack.sources import manifest as man, tiff
-from longitrack.sources.sinks import Store, StageTimer, digest, same_run, write_json
+from longitrack.sources.sinks import Store, StageTimer, digest, file_digests, plain, read_json, same_run, write_json
 
 PAIR = ["day_a", "day_b"]
 KEYS = [*PAIR, "label_a", "label_b"]
@@ -49,17 +51,40 @@ def pair_sides(
     return tuple(cand.apply_transform(side, spacing).select(*columns) for side in (a, b))
 
 
+def renewed(store: Store, name: str, df: DataFrame, kept: Column | None) -> DataFrame:
+    """Write a table of the run and return the rows of ``df`` as written.
+
+    With ``kept`` the stored rows that fulfil it stay, and ``df`` takes the place of the others.
+    """
+    if kept is None:
+        return store.write(name, df)
+    fresh = materialise(df)
+    store.write(name, materialise(store.read(name).where(kept).unionByName(fresh)))
+    return fresh
+
+
 def match_sessions(
-    spark: SparkSession, sessions: Sequence[man.Session], store: Store, policies: Sequence[str] = ("high", "balanced"),
-    overlap: OverlapParams = OverlapParams(), graph_params: GraphParams = GraphParams(), spacing: Spacing = Spacing(),
-    max_pair_gap: int = 2, timer: StageTimer | None = None,
-) -> dict[str, DataFrame]:
-    """Features, shifts, transforms, candidates, matches, tracks and cycle tables of one run."""
-    timer = timer or StageTimer()
-    specs = man.volume_specs(list(sessions))
+    spark: SparkSession, sessions: Sequence[man.Session], store: Store, overlap: OverlapParams = OverlapParams(),
+    spacing: Spacing = Spacing(), max_pair_gap: int = 2, timer: StageTimer | None = None, digests: dict[str, str] | None = None,
+    changed: Sequence[str] | None = None,
+) -> int:
+    """Features, shifts, transforms, candidates and greedy matches; returns the number of session pairs computed.
+
+    With ``changed``, the tables of an earlier run with the same parameters are brought up to date: only those
+    sessions are read, and only pairs with one of them are computed again.
+    """
+    timer, digests = timer or StageTimer(), digests or {}
+    stale = None if changed is None else [s.session_id for s in sessions if s.session_id in set(changed)]
+    specs = [s for s in man.volume_specs(list(sessions)) if stale is None or s["session_id"] in stale]
     pairs = store.write("pairs", pair_schedule(spark, sessions, max_pair_gap))
-    voxels = store.write("voxels", tiff.read_voxels(spark, specs))
-    volumes = store.write("volumes", tiff.read_volumes(spark, specs))
+    kept_session = kept_pair = None
+    if stale is not None:
+        kept_session = ~F.col("session_id").isin(stale)
+        kept_pair = ~(F.col("day_a").isin(stale) | F.col("day_b").isin(stale))
+        pairs = pairs.where(~kept_pair)
+    voxels = tiff.read_voxels(spark, specs, columns=tiff.MASK_COLUMNS)
+    voxels = store.write("voxels", voxels, ("session_id",)) if stale is None else materialise(voxels)
+    volumes = renewed(store, "volumes", tiff.read_volumes(spark, specs), kept_session)
     bad = vox.invalid_masks(voxels, volumes)
     if not bad.isEmpty():
         raise ValueError(f"masks need background and regions: {[r[0] for r in bad.limit(10).collect()]}")
@@ -67,16 +92,23 @@ def match_sessions(
         [(s.session_id, s.session_index, s.required) for s in sessions],
         "session_id string, session_index int, required boolean",
     )
-    features = store.write("roi_features", vox.region_features(voxels, volumes, spacing).join(index, "session_id"))
+    features = renewed(
+        store, "roi_features", vox.region_features(voxels, volumes, spacing).join(index, "session_id"), kept_session)
+    if stale is not None:
+        voxels = store.replace_partitions("voxels", voxels, ("session_id",))
+        volumes, features = store.read("volumes"), store.read("roi_features")
+        # The other session of a pair is read back from its table, not from its stack.
+        ends = sorted({end for r in pairs.select(*PAIR).collect() for end in r})
+        voxels = voxels.where(F.col("session_id").isin(ends))
     timer.done("features")
 
     z = vox.z_shifts(vox.z_profiles(voxels, volumes), pairs)
     xy = registration.xy_shifts(vox.occupancy_projection(voxels), volumes, pairs, overlap)
-    shifts = store.write("shifts", z.join(xy, PAIR))
-    overlaps = store.write("overlaps", vox.shifted_overlap(voxels, features, shifts))
+    shifts = renewed(store, "shifts", z.join(xy, PAIR), kept_pair)
+    overlaps = renewed(store, "overlaps", vox.shifted_overlap(voxels, features, shifts), kept_pair)
     timer.done("overlaps")
 
-    mutual = store.write("mutual_overlaps", assignment.mutual_best_overlap(overlaps, PAIR))
+    mutual = renewed(store, "mutual_overlaps", assignment.mutual_best_overlap(overlaps, PAIR), kept_pair)
     seeds = mutual.where(F.col("dice") >= overlap.seed_min_dice).select(*KEYS)
     for side in ("a", "b"):
         seeds = seeds.join(
@@ -84,16 +116,37 @@ def match_sessions(
                             *[F.col(f"centroid_{c}").alias(f"{c}{side}") for c in ("z", "y", "x")]),
             [f"day_{side}", f"label_{side}"],
         )
-    transforms = store.write("transforms", registration.restricted_transforms(seeds, shifts, overlap, spacing))
+    transforms = renewed(store, "transforms", registration.restricted_transforms(seeds, shifts, overlap, spacing), kept_pair)
     timer.done("transforms")
 
     side_a, side_b = pair_sides(features, pairs, transforms, spacing)
-    candidates = store.write("candidates", cand.candidate_pairs(side_a, side_b, overlaps, overlap))
+    candidates = renewed(store, "candidates", cand.candidate_pairs(side_a, side_b, overlaps, overlap), kept_pair)
     matches = None
     for policy in ("high", "balanced"):
         part = assignment.greedy_one_to_one(candidates, f"{policy}_rule").withColumn("match_policy", F.lit(policy))
         matches = part if matches is None else matches.unionByName(part)
-    matches = store.write("affine_matches", matches)
+    renewed(store, "affine_matches", matches, kept_pair)
+    known = spark.createDataFrame(
+        [(s.session_id, digests.get(s.session_id)) for s in sessions], "session_id string, mask_sha256 string")
+    origin = pairs.select(*PAIR)
+    for side in ("a", "b"):
+        origin = origin.join(
+            known.select(F.col("session_id").alias(f"day_{side}"), F.col("mask_sha256").alias(f"mask_{side}_sha256")), f"day_{side}")
+    origin = origin.withColumn("computed_at", F.lit(datetime.now(timezone.utc)).cast("timestamp"))
+    computed = renewed(store, "pair_provenance", origin, kept_pair).count()
+    timer.done("matches")
+    return computed
+
+
+def link_sessions(
+    spark: SparkSession, sessions: Sequence[man.Session], store: Store, policies: Sequence[str] = ("high", "balanced"),
+    overlap: OverlapParams = OverlapParams(), graph_params: GraphParams = GraphParams(), spacing: Spacing = Spacing(),
+    timer: StageTimer | None = None,
+) -> None:
+    """Graph matches where asked for, tracks and cycle tables, all from the stored tables of :func:`match_sessions`."""
+    timer = timer or StageTimer()
+    pairs, features, transforms, candidates, matches = (
+        store.read(name) for name in ("pairs", "roi_features", "transforms", "candidates", "affine_matches"))
     fit = transforms.select(
         *PAIR, F.col("method").alias("transform_method"), F.col("fallback_reason").alias("transform_fallback_reason"),
         F.col("residual_median_um").alias("transform_residual_median_um"),
@@ -101,6 +154,7 @@ def match_sessions(
     )
     described = matches.join(fit, PAIR)
     if "graph" in policies:
+        side_a, side_b = pair_sides(features, pairs, transforms, spacing)
         high, balanced = (matches.where(F.col("match_policy") == p) for p in ("high", "balanced"))
         anchors = store.write("graph_anchors", graph.graph_anchors(high, graph_params))
         scored = store.write("graph_candidates", graph.graph_scores(candidates, anchors, side_a, side_b, graph_params))
@@ -113,7 +167,7 @@ def match_sessions(
         described = described.unionByName(own.select(*described.columns))
     wanted = described.where(F.col("match_policy").isin(list(policies))).join(pairs, PAIR)
     wanted = store.write("pairwise_matches", wanted, ("match_policy",))
-    timer.done("matches")
+    timer.done("policies")
 
     nodes = features.select("session_index", "label").withColumn("match_policy", F.explode(F.array(*[F.lit(p) for p in policies])))
     track_nodes, decisions = tracks.build_tracks(nodes, wanted, len(sessions), POLICY)
@@ -132,11 +186,9 @@ def match_sessions(
     wide = tracks.wide_tracks(track_nodes, {s.session_index: s.session_id for s in sessions}, POLICY)
     store.write("tracks_wide", table.join(wide, [*POLICY, "track_session", "track_label"]))
     store.write("track_lengths", tracks.track_lengths(table, POLICY))
-    summary = pair_report(pairs, features, overlaps, mutual, shifts, transforms, wanted, overlap)
-    store.write("pairwise_summary", summary)
+    overlaps, mutual, shifts = (store.read(name) for name in ("overlaps", "mutual_overlaps", "shifts"))
+    store.write("pairwise_summary", pair_report(pairs, features, overlaps, mutual, shifts, transforms, wanted, overlap))
     timer.done("tracks")
-    return {"features": features, "voxels": voxels, "tracks": table, "track_nodes": track_nodes, "pairs": pairs,
-            "matches": wanted, "edges": decisions, "transforms": transforms}
 
 
 def pair_report(
@@ -182,31 +234,76 @@ def run_matching(
     """Match all sessions of a manifest and write the run's tables.
 
     A finished run with the same inputs and parameters is reused with ``resume``; another run in the
-    same folder is an error unless ``overwrite`` is set.
+    same folder is an error unless ``overwrite`` is set. With both, a run with the same manifest and matching
+    parameters is brought up to date: only sessions whose mask changed are read, and only their pairs matched.
     """
     policies = resolve_policies(policies)
     sessions = man.load_manifest(manifest_path)
     pair_schedule(spark, sessions, max_pair_gap)
     store = Store(spark, out_dir, csv)
+    digests = file_digests(spark, {s.session_id: s.mask_path for s in sessions})
     fingerprint = {
-        "manifest": digest(manifest_path), "masks": {s.session_id: digest(s.mask_path) for s in sessions},
-        "overlap": overlap, "graph": graph_params, "spacing": spacing, "max_pair_gap": max_pair_gap, "policies": policies,
+        "manifest": digest(manifest_path), "masks": digests, "overlap": overlap, "graph": graph_params, "spacing": spacing,
+        "max_pair_gap": max_pair_gap, "policies": policies,
     }
     log = Path(store.path("run_log.json"))
+    changed = None
     if log.exists():
         if resume and same_run(log, fingerprint):
             return store
         if not overwrite:
             raise FileExistsError(f"{out_dir} holds another run")
+        before = read_json(log).get("fingerprint", {})
+        if resume and all(before.get(k) == plain(fingerprint[k]) for k in ("manifest", "overlap", "spacing", "max_pair_gap")):
+            changed = [i for i, found in digests.items() if before.get("masks", {}).get(i) != found]
+        # Without its record the folder holds no finished run until the new tables are written.
+        log.unlink()
     timer = StageTimer()
     store.write("manifest", man.manifest_frame(spark, sessions))
-    match_sessions(spark, sessions, store, policies, overlap, graph_params, spacing, max_pair_gap, timer)
+    computed = 0
+    if changed is None or changed:
+        computed = match_sessions(spark, sessions, store, overlap, spacing, max_pair_gap, timer, digests, changed)
+    link_sessions(spark, sessions, store, policies, overlap, graph_params, spacing, timer)
+    record_run(store, sessions, {"fingerprint": fingerprint, "pairs_computed": computed, **timer.record()})
+    return store
+
+
+def refine_matching(
+    spark: SparkSession, manifest_path: str | Path, match_dir: str | Path, graph_params: GraphParams = GraphParams(), csv: bool = False,
+) -> Store:
+    """Add the graph policy to a finished run, or renew it with other parameters, from its tables.
+
+    No stack is read and no session pair is matched again. The policies of the run stay, and its record
+    is that of a run with the graph policy from the start. Without candidates there is nothing to refine.
+    """
+    store = Store(spark, match_dir, csv)
+    log = Path(store.path("run_log.json"))
+    before = read_json(log)
+    if "fingerprint" not in before:
+        raise FileNotFoundError(f"{match_dir} holds no finished run")
+    fingerprint = before["fingerprint"]
+    if fingerprint["manifest"] != digest(manifest_path):
+        raise ValueError("the manifest differs from the one of the matching run")
+    if store.read("candidates").isEmpty():
+        raise ValueError("the matching run has no candidates to refine")
+    sessions = man.load_manifest(manifest_path)
+    policies = resolve_policies([*fingerprint["policies"], *({"graph"} - set(fingerprint["policies"]))])
+    log.unlink()
+    timer = StageTimer()
+    link_sessions(spark, sessions, store, policies, OverlapParams(**fingerprint["overlap"]), graph_params,
+                  Spacing(**fingerprint["spacing"]), timer)
+    record_run(store, sessions, {
+        **before, "fingerprint": {**fingerprint, "graph": graph_params, "policies": policies}, "pairs_computed": 0, **timer.record()})
+    return store
+
+
+def record_run(store: Store, sessions: Sequence[man.Session], record: dict) -> None:
+    """The log and the summary of a finished matching run; the log goes last."""
     lengths = store.read("track_lengths").orderBy("match_policy", F.desc("n_days_present"), "missing_internal_days").collect()
-    write_json(log, {"fingerprint": fingerprint, **timer.record()})
     lines = ["# Daywise matching", "", f"Sessions: {len(sessions)}", "", "Tracks by policy, sessions present and internal gaps:"]
     lines += [f"- {r.match_policy}: {r.n_days_present} sessions, {r.missing_internal_days} gaps: {r.n_tracks}" for r in lengths]
     Path(store.path("SUMMARY.md")).write_text("\n".join(lines) + "\n", encoding="utf-8")
-    return store
+    write_json(store.path("run_log.json"), record)
 
 
 # --- extraction and analysis --------------------------------------------------------------------

@@ -10,10 +10,12 @@ import hashlib
 import json
 import re
 import time
+from collections.abc import Iterator
 from dataclasses import asdict, is_dataclass
 from datetime import datetime, timezone
 from pathlib import Path
 
+import pyarrow as pa
 import pyspark
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -48,6 +50,11 @@ class Store:
             rows.write.mode("overwrite").csv(self.path(f"{name}.csv"), header=True)
         return written
 
+    def replace_partitions(self, name: str, df: DataFrame, partition_by: tuple[str, ...]) -> DataFrame:
+        """Replace the partitions that ``df`` has rows of; the others stay. ``df`` must not read the table."""
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
     def has(self, name: str) -> bool:
         try:
             self.spark.read.parquet(self.path(name))
@@ -104,6 +111,20 @@ def digest(path: str | Path) -> str:
     return h.hexdigest()
 
 
+def file_digests(spark: SparkSession, paths: dict[str, str | Path]) -> dict[str, str]:
+    """SHA-256 of every named file, read by the executors; the driver gets one digest a file."""
+    rows = [(name, str(path)) for name, path in paths.items()]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [digest(path) for path in batch.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(found, pa.string())], names=["name", "sha256"])
+
+    tasks = max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
+    frame = spark.createDataFrame(rows, "name string, path string").repartition(tasks)
+    return {r.name: r.sha256 for r in frame.mapInArrow(read, "name string, sha256 string").collect()}
+
+
 def plain(value):
     """JSON-ready form of parameters, paths and dates."""
     if is_dataclass(value):

@@ -7,6 +7,7 @@ from longitrack.operators.checks import checked_join, unique
 from longitrack.params import GraphParams, OverlapParams, RatioParams
 from longitrack.plans import daywise, master, registered, weekly
 from longitrack.sources import manifest as man
+from longitrack.sources.sinks import read_json
 
 DARKLESS = RatioParams(green_dark=0.0, red_dark=0.0)
 
@@ -136,6 +137,65 @@ def test_master_run(spark, moving, tmp_path):
     assert store.read("panel_fits").count() == 4
 
 
+def boxes(rng, number):
+    """A mask of 25 boxes with a little noise in place, and labels of its own."""
+    mask = np.zeros((6, 60, 60), dtype=int)
+    for n in range(25):
+        y, x = 3 + 11 * (n // 5) + rng.integers(0, 2), 3 + 11 * (n % 5) + rng.integers(0, 2)
+        mask[1:4, y:y + 4 + n % 2, x:x + 4 + n % 3] = 100 * number + n + 1
+    return mask
+
+
+def test_stored_run(spark, tmp_path):
+    """A finished run is brought up to date when one mask changes, and refined from its tables."""
+    folder, rng = tmp_path / "data", np.random.default_rng(5)
+    folder.mkdir()
+    names = ["d0", "d1", "d2"]
+    masks = [boxes(rng, i).astype(np.uint16) for i in range(3)]
+    for name, mask in zip(names, [*masks[:2], boxes(rng, 7).astype(np.uint16)]):
+        write_tiff(folder / f"{name}_mask.tif", mask)
+        for channel in "RG":  # matching reads no image
+            (folder / f"{name}_{channel}.tif").write_bytes(b"no image")
+    manifest = write_manifest(folder, names, [f"2026-05-1{i}" for i in range(3)])
+    params = {"overlap": OverlapParams(trim_iterations=1), "max_pair_gap": 1}
+
+    def rows(store, name):
+        table = store.read(name)
+        return sorted(map(str, table.select(sorted(c for c in table.columns if c != "computed_at")).collect()))
+
+    def computed(store):
+        return read_json(store.path("run_log.json"))["pairs_computed"]
+
+    with pytest.raises(FileNotFoundError, match="no finished run"):
+        daywise.refine_matching(spark, manifest, tmp_path / "nothing")
+    run = daywise.run_matching(spark, manifest, tmp_path / "run", **params)
+    before = {(r.day_a, r.day_b): r.computed_at for r in run.read("pair_provenance").collect()}
+    assert computed(run) == 2
+    write_tiff(folder / "d2_mask.tif", masks[2])
+    with pytest.raises(FileExistsError):
+        daywise.run_matching(spark, manifest, tmp_path / "run", resume=True, **params)
+    run = daywise.run_matching(spark, manifest, tmp_path / "run", resume=True, overwrite=True, **params)
+    assert computed(run) == 1
+    after = {(r.day_a, r.day_b): r.computed_at for r in run.read("pair_provenance").collect()}
+    assert after["d0", "d1"] == before["d0", "d1"] and after["d1", "d2"] > before["d1", "d2"]
+
+    kept = {name: (folder / f"{name}_mask.tif").read_bytes() for name in names}
+    for name in names:  # refinement reads no stack
+        (folder / f"{name}_mask.tif").write_bytes(b"no mask")
+    run = daywise.refine_matching(spark, manifest, tmp_path / "run")
+    for name in names:
+        (folder / f"{name}_mask.tif").write_bytes(kept[name])
+    policies = ("high", "balanced", "graph")
+    # The record is that of a whole run, so that it can be resumed as one.
+    assert daywise.run_matching(spark, manifest, tmp_path / "run", policies, resume=True, **params).folder == run.folder
+    whole = daywise.run_matching(spark, manifest, tmp_path / "whole", policies, **params)
+    for name in ("voxels", "volumes", "roi_features", "shifts", "overlaps", "transforms", "candidates", "affine_matches", "graph_matches",
+                 "graph_match_changes", "pairwise_matches", "tracks", "track_nodes", "track_edges", "pairwise_summary", "pair_provenance"):
+        assert rows(run, name) == rows(whole, name), name
+    assert run.read("tracks").where("match_policy = 'graph'").count() > 0
+    print([read_json(s.path("run_log.json"))["stage_durations_seconds"] for s in (run, whole)])
+
+
 def test_weekly_run(spark, tmp_path):
     folder = tmp_path / "data"
     folder.mkdir()

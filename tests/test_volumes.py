@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import VOXELS, voxel_rows, write_tiff
+from helpers import VOXELS, voxel_rows, write_blocks, write_tiff
 from longitrack.operators import hull, legacy, registration, voxels as vox
 from longitrack.params import LegacyParams, OverlapParams, Spacing
 from longitrack.sources import listing, manifest as man, sinks, tiff
@@ -62,6 +62,61 @@ def test_tiff_layouts(spark, tmp_path):
         tiff.read_voxels(spark, [{"session_id": "s", "mask": str(tmp_path / "big.tif")}]).collect()
 
 
+def test_tiles_and_strips(tmp_path):
+    rng = np.random.default_rng(2)
+    stack = rng.integers(0, 60000, (3, 37, 45)).astype(np.uint16)
+    layouts = [(5, False), (37, False), (16, False), ((16, 16), True), ((16, 48), True), ((64, 16), True)]
+    for block, tiled in layouts:
+        for compress, order, predictor in ((False, "<", False), (True, ">", True)):
+            path = tmp_path / "blocks.tif"
+            write_blocks(path, stack, block, tiled, compress, order, predictor)
+            pages = tiff.read_pages(str(path))
+            assert (np.stack([tiff.read_page(str(path), page) for page in pages]) == stack).all()
+            with open(path, "rb") as f:  # any range of rows, also across blocks
+                pixels = tiff.Pixels(f, pages[1], str(path))
+                for first, last in ((0, 1), (3, 20), (20, 37), (15, 17), (36, 37)):
+                    assert (pixels.rows(first, last) == stack[1, first:last]).all()
+    offsets = tiff.page_offsets(str(path))
+    assert len(offsets) == 3 and tiff.read_pages(str(path), offsets[1], 1) == pages[1:2]
+    raw = bytearray(path.read_bytes())
+    raw[-4:] = offsets[0].to_bytes(4, "big")
+    path.write_bytes(bytes(raw))
+    with pytest.raises(ValueError, match="circle"):
+        tiff.page_offsets(str(path))
+
+
+def test_tiff_pushdown(spark, tmp_path):
+    """Columns and filters reach the reader: what they exclude is not opened, and the rows stay the same."""
+    rng = np.random.default_rng(4)
+    mask = rng.integers(0, 5, (9, 24, 20)).astype(np.uint16)
+    red = rng.integers(1, 900, mask.shape).astype(np.uint16)
+    specs = []
+    for name in ("s", "t"):
+        write_blocks(tmp_path / f"{name}.tif", mask, (16, 16), True, True)
+        write_tiff(tmp_path / f"{name}_R.tif", red)
+        specs.append({"session_id": name, "mask": str(tmp_path / f"{name}.tif"), "red": str(tmp_path / f"{name}_R.tif"), "green": None})
+    every = sorted(tuple(r) for r in tiff.read_voxels(spark, specs, 2).select("session_id", "z", "y", "x", "label", "red").collect())
+    assert len(every) == 2 * np.count_nonzero(mask)
+    cases = {
+        "session_id = 't'": lambda r: r[0] == "t", "session_id IN ('s', 'none')": lambda r: r[0] == "s", "z = 3": lambda r: r[1] == 3,
+        "z >= 2 AND z < 5 AND label IN (1, 4)": lambda r: 2 <= r[1] < 5 and r[4] in (1, 4), "y > 17 AND x <= 4": lambda r: r[2] > 17 and r[3] <= 4,
+        "session_id > 's' AND label = 2": lambda r: r[0] > "s" and r[4] == 2, "z = 99": lambda r: False, "red > 450": lambda r: r[5] > 450,
+        "z IS NOT NULL AND (y = 1 OR x = 1)": lambda r: 1 in r[2:4],
+    }
+    for text, test in cases.items():
+        got = tiff.read_voxels(spark, specs, 2).where(text)
+        assert sorted(tuple(r) for r in got.select("session_id", "z", "y", "x", "label", "red").collect()) == [r for r in every if test(r)], text
+    assert tiff.read_voxels(spark, specs, 2).where("z = 3").rdd.getNumPartitions() == 2
+    assert tiff.read_voxels(spark, specs, 2).where("session_id = 't'").rdd.getNumPartitions() == 5
+    # Intensities that are no TIFF at all do not matter to a scan without them.
+    for name in ("s", "t"):
+        (tmp_path / f"{name}_R.tif").write_bytes(b"no image")
+    bare = tiff.read_voxels(spark, specs, 2, tiff.MASK_COLUMNS)
+    assert bare.columns == list(tiff.MASK_COLUMNS) and sorted(tuple(r) for r in bare.collect()) == [r[:5] for r in every]
+    with pytest.raises(Exception, match="not a TIFF"):
+        tiff.read_voxels(spark, specs, 2).collect()
+
+
 def test_features_and_overlap(spark):
     mask = np.zeros((2, 3, 4), dtype=int)
     mask[0, 0, 0], mask[1, 2, 3] = 5, 9
