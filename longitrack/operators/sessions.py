@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
+from longitrack.operators.ratio import finite
+from longitrack.session import materialise
+
 
 def session_similarity(wide: DataFrame, value: str, key: str = "roi_id", session: str = "day") -> DataFrame:
     """Negative correlation of two sessions' values over the objects both have; lower is more alike.
@@ -29,10 +33,13 @@ def medoid(similarity: DataFrame) -> DataFrame:
 def object_components(wide: DataFrame, value: str, days: Sequence[int], k: int = 2, key: str = "roi_id") -> tuple[DataFrame, list[float]]:
     """Principal components of the object by day matrix: scores per object, explained variance shares.
 
-    The matrix has one column per session; its covariance is aggregated by Spark, not gathered.
+    The matrix has one column per session; its covariance is aggregated by Spark, not gathered. Objects with a
+    missing or infinite value have no row in it. Fewer than two rows have no components: scores are null, shares empty.
     """
-    columns = [F.first(F.when(F.col("day") == d, F.col(value)), ignorenulls=True).alias(f"d{d}") for d in days]
-    matrix = wide.groupBy(key).agg(*columns).na.drop()
+    columns = [F.first(F.when(F.col("day") == d, finite(value)), ignorenulls=True).alias(f"d{d}") for d in days]
+    matrix = materialise(wide.groupBy(key).agg(*columns).na.drop())
+    if matrix.limit(2).count() < 2:
+        return matrix.select(key, F.lit(None).cast(VectorUDT()).alias("scores")), []
     vectors = VectorAssembler(inputCols=[f"d{d}" for d in days], outputCol="features").transform(matrix).select(key, "features")
     model = PCA(k=k, inputCol="features", outputCol="scores").fit(vectors)
     return model.transform(vectors).select(key, "scores"), [float(v) for v in model.explainedVariance]

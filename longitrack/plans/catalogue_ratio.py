@@ -281,7 +281,7 @@ def session_medoid(spark: SparkSession, sf: str) -> DataFrame:
 
 def object_components(spark: SparkSession, sf: str) -> DataFrame:
     """Share of variance per principal component of the log-ratio changes (no SQL twin)."""
-    _, shares = sessions.object_components(materialise(rel.metrics(spark, sf)), "delta_log2_green_over_red", range(7), 3)
+    _, shares = sessions.object_components(rel.metrics(spark, sf), "delta_log2_green_over_red", range(7), 3)
     return rounded(spark.createDataFrame([(i + 1, v) for i, v in enumerate(shares)], "component int, explained_variance double"))
 
 

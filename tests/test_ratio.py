@@ -5,11 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from longitrack.functions import student
-from longitrack.operators import fits, qc, ranking, ratio, trajectories
+from longitrack.operators import fits, qc, ranking, ratio, sessions, trajectories
 from longitrack.operators.ordering import (
     cumulative, exact_quantiles, from_ordered_bits, global_rank, ordered_bits,
 )
 from longitrack.params import GeometryQC
+from longitrack.plans import catalogue_ratio
 
 LONG = "roi_id int, day int, channel string, mean_intensity double"
 
@@ -254,3 +255,31 @@ def test_ranks_over_partitions(spark, partitions):
     assert all(r["rank"] == r.id // 3 + 1 for r in grouped)
     total = cumulative(df, [F.asc("id")], weight=F.col("id"), partitions=partitions).agg(F.max("cum")).first()[0]
     assert total == 999 * 1000 // 2
+
+
+def object_rows(spark, folder, prices):
+    """A lineitem table with one row for every object and day 0 .. 6, of quantity 20."""
+    rows = [(roi, 20.0, float(price), f"{1995 + day}-03-01 00:00:00") for roi, own in prices.items() for day, price in enumerate(own)]
+    table = spark.createDataFrame(rows, "l_partkey long, l_quantity double, l_extendedprice double, shipped string")
+    table.withColumn("l_shipdate", F.to_timestamp("shipped")).drop("shipped").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_components_leave_out_infinite_changes(spark, tmp_path):
+    rnd = np.random.default_rng(5)
+    prices = {roi: rnd.uniform(20_000, 90_000, 7) for roi in range(30)}
+    log2 = np.log2((np.array(list(prices.values())) / 777.0 - 10 + 1) / 16)
+    values = np.linalg.eigvalsh(np.cov((log2 - log2[:, :1]).T))[::-1]
+    late, early = prices[0].copy(), prices[1].copy()
+    late[4] = early[0] = 6993.0  # green + 1 is zero there: the changes are infinite
+    sf = object_rows(spark, tmp_path, {**prices, 98: late, 99: early})
+    shares = {r["component"]: r["explained_variance"] for r in catalogue_ratio.object_components(spark, sf).collect()}
+    assert shares == pytest.approx({i + 1: values[i] / values.sum() for i in range(3)}, abs=2e-6)
+
+
+def test_components_need_two_objects(spark, tmp_path):
+    sf = object_rows(spark, tmp_path, {1: [30_000, 40_000, 50_000, 35_000, 45_000, 55_000, 60_000], 2: [30_000]})
+    assert catalogue_ratio.object_components(spark, sf).collect() == []
+    wide = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (2, 0, 1.0)], "roi_id long, day int, v double")
+    scores, shares = sessions.object_components(wide, "v", [0, 1])
+    assert [tuple(r) for r in scores.collect()] == [(1, None)] and shares == []
