@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from longitrack.llm.tokens import row_slices, text_bytes, with_end, worker_encoder
+from longitrack.llm.tokens import return_memory, row_slices, text_bytes, with_end, worker_encoder
 from longitrack.operators.ordering import global_rank
 from longitrack.session import materialise
 
@@ -230,6 +230,7 @@ def token_pieces(docs: DataFrame, size: int = SEQUENCE_TOKENS, end_id: int = END
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for first, last in row_slices(offsets):
+                return_memory()
                 own = offsets[first:last + 1]
                 ids, cuts = with_end(*encoder.encode(data[own[0]:own[-1]], own - own[0]), end_id)
                 n = np.diff(cuts)

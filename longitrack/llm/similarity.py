@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from longitrack.llm.tokens import gathered
+from longitrack.llm.tokens import gathered, return_memory
 from longitrack.session import materialise
 
 SHINGLE_WORDS = 4
@@ -118,6 +118,7 @@ def classes_and_frequencies(docs: DataFrame, words: int, counters: int) -> DataF
     """One pass: a row (doc_id, key, n) per document, and rows (chunk, data) of the counters of each task."""
 
     def scan(batches):
+        return_memory()
         counts = np.zeros(counters, np.uint32)
         for batch in batches:
             keys, sizes, seen = [], [], []
@@ -151,6 +152,7 @@ def postings(docs: DataFrame, frequency, words: int, percent: int) -> DataFrame:
     """(shingle, key, n, place) of every prefix shingle of every document."""
 
     def emit(batches):
+        return_memory()
         for batch in batches:
             parts, keys, sizes, places = [], [], [], []
 
@@ -200,6 +202,7 @@ def candidates(docs: DataFrame, frequency, members, words: int, percent: int) ->
     """Documents with prefix shingles among ``members``: (doc_id, key, n, shingles, places)."""
 
     def emit(batches):
+        return_memory()
         for batch in batches:
             out = {k: [] for k in ("row", "key", "n", "shingles", "places")}
             for row, text in enumerate(batch.column("text")):
@@ -253,6 +256,7 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -
     """The pairs (a, b) of classes whose full sets are linked; ``texts`` has (key, text) of every class."""
 
     def multiply(batches):
+        return_memory()
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_PAIRS):
                 own = batch.slice(at, BLOCK_PAIRS)

@@ -8,6 +8,7 @@ hashing and looking up chunks are numpy operations over the UTF-8 bytes of many
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import types
@@ -19,11 +20,14 @@ import pyarrow as pa
 
 # Most chunks remembered by one Python worker; the memo then starts anew.
 MEMO_LIMIT = 1_500_000
-# Bytes of text per row slice, and bytes hashed at a time.
-SLICE_BYTES = 4 << 20
-HASH_BYTES = 1 << 20
-# Chunks encoded in one string.
+# Bytes of text per row slice, bytes looked up at a time, and bytes hashed at a time. A byte being hashed takes
+# about 70 bytes of memory, powers included.
+SLICE_BYTES = 2 << 20
+LOOKUP_BYTES = (1 << 20) + (1 << 16)
+HASH_BYTES = 1 << 17
+# Chunks encoded in one string, and bytes of strings encoded in one call: the library's results take many times the text.
 STRUNG = 1_000
+CALL_BYTES = 1 << 16
 BYTE_BPE = "byte_bpe_50k.json"
 
 # Bytes that may follow a space at a cut: no ASCII control or white space, and no first byte of a
@@ -44,6 +48,14 @@ def process_wide(name: str, make: Callable):
     return getattr(holder, name)
 
 
+def return_memory() -> None:
+    """Give freed memory back to the system, where the C library can. The memo's arrays grow by copies, and Python workers
+    go on from one stage to the next, so what is free between other blocks would otherwise stay theirs."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and the row offsets; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -100,7 +112,7 @@ class ChunkEncoder:
         ends = np.append(starts[1:], n)
         ids, counts, first = [], [], 0
         while first < len(starts):
-            last = max(first + 1, int(np.searchsorted(ends, starts[first] + HASH_BYTES, "right")))
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + LOOKUP_BYTES, "right")))
             got = self._encode_some(data, starts[first:last], ends[first:last])
             ids.append(got[0])
             counts.append(got[1])
@@ -109,6 +121,18 @@ class ChunkEncoder:
         return np.concatenate(ids), np.diff(upto[np.searchsorted(starts, offsets)])
 
     def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Two hashes of every chunk; the bytes of some chunks at a time, which lie end to end."""
+        out, first = [np.empty(len(starts), np.uint64) for _ in _BASES], 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + HASH_BYTES, "right")))
+            base = starts[first]
+            own = self._hash_some(data[base:ends[last - 1]], starts[first:last] - base, ends[first:last] - base)
+            for whole, part in zip(out, own):
+                whole[first:last] = part
+            first = last
+        return out
+
+    def _hash_some(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         n = len(data)
         if not self._powers or len(self._powers[0][0]) < n:
             size = max(n, HASH_BYTES)
@@ -140,6 +164,7 @@ class ChunkEncoder:
                 self._forget()
                 missing = np.arange(len(distinct))
             self._learn(data, distinct[missing], check[at[missing]], starts[at[missing]], ends[at[missing]])
+            return_memory()
             place = self._find(distinct, check[at])
         place = place[which]
         counts = self.counts[place].astype(np.int64)
@@ -212,7 +237,12 @@ def library_encoder(path: str | None = None) -> ChunkEncoder:
         ends = ends[STRUNG - 1::STRUNG].tolist() if spaced else ends.tolist()
         cuts = [0, *ends, *([len(data)] if not ends or ends[-1] < len(data) else [])]
         strings = [data[a:b].decode() for a, b in zip(cuts, cuts[1:])]
-        found = [np.asarray(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        groups = np.asarray(cuts[:-1]) // CALL_BYTES
+        calls = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(strings)]
+        found = [
+            np.asarray(e.ids, np.uint32) for a, b in zip(calls, calls[1:])
+            for e in tokenizer.encode_batch_fast(strings[a:b], add_special_tokens=False)
+        ]
         ids = np.concatenate(found)
         return ids, cut_counts(token_bytes[ids], lengths) if spaced else np.asarray([len(f) for f in found])
 

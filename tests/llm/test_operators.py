@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -68,6 +69,46 @@ def test_byte_bpe_round_trip(docs, nothing):
     assert byte_bpe.encode_documents(nothing).count() == 0
 
 
+def test_encoder_memory_stays_below_the_memo(monkeypatch):
+    text = prose(9, 300_000).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.asarray([0, len(text)])
+    encoder = tokens.ChunkEncoder(lambda data, lengths, spaced: (np.ones(len(lengths), np.uint32), np.ones(len(lengths), np.int64)))
+    tracemalloc.start()
+    ids, counts = encoder.encode(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) == counts[0] == text.count(b" ") + 1
+    assert peak < 36 << 20  # hashes of a whole lookup at a time take over 50 MB
+    starts, ends = np.asarray([0, 7, 200]), np.asarray([7, 200, 2000])
+    whole = encoder._hashes(data, starts, ends)
+    monkeypatch.setattr(tokens, "HASH_BYTES", 100)  # every chunk by itself, and chunks over the size
+    assert all((a == b).all() for a, b in zip(whole, encoder._hashes(data, starts, ends)))
+
+
+def test_library_calls_take_few_bytes(monkeypatch):
+    text = prose(10, 60_000)
+    sizes = []
+
+    class Watched:
+        def __init__(self, own):
+            self.own = own
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def encode_batch_fast(self, strings, **options):
+            sizes.append(sum(map(len, strings)))
+            return self.own.encode_batch_fast(strings, **options)
+
+    real = Tokenizer.from_file(public_tokenizers.path(tokens.BYTE_BPE))
+    monkeypatch.setattr("tokenizers.Tokenizer", type("Fake", (), {"from_file": staticmethod(lambda path: Watched(real))}))
+    monkeypatch.setattr(tokens, "STRUNG", 5)
+    monkeypatch.setattr(tokens, "CALL_BYTES", 400)
+    encoder = tokens.library_encoder()
+    ids, _ = encoder.encode(np.frombuffer(text.encode(), np.uint8), np.asarray([0, len(text)]))
+    assert ids.tolist() == real.encode(text, add_special_tokens=False).ids and max(sizes) < 600
+
+
 def test_orc_tokens(spark, docs, nothing, tmp_path):
     path = str(tmp_path / "tokens")
     orc_tokens.write_tokens(docs, path)
