@@ -3,7 +3,9 @@
 A text is cut before every space that a non-space follows. Byte-level BPE with the usual splitting
 pattern never merges across such a place, so the ids of a text are the ids of its chunks in order.
 Chunks repeat far more often than texts, hence each one is encoded once and remembered. Finding,
-hashing and looking up chunks are numpy operations over the UTF-8 bytes of many texts.
+hashing and looking up chunks are numpy operations over the UTF-8 bytes of many texts. Where the
+tokenizer is known to split by that pattern, texts are also cut between words, digits, signs and line
+breaks, so that a word is learnt once and not again with every sign that may follow it.
 """
 
 from __future__ import annotations
@@ -35,6 +37,15 @@ BYTE_BPE = "byte_bpe_50k.json"
 _AFTER_CUT = np.ones(256, bool)
 _AFTER_CUT[:33] = False
 _AFTER_CUT[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+# Kinds of bytes. The pattern never puts a letter, digit or sign and what follows it into one match if
+# that is of another of these kinds. Other bytes, the apostrophe of "'s" and the space have no kind.
+_LETTER, _DIGIT, _SIGN, _BREAK = 1, 2, 3, 4
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[33:127] = _SIGN
+_KINDS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KINDS[48:58] = _DIGIT
+_KINDS[[9, 10, 13]] = _BREAK
+_KINDS[39] = 0
 # Two polynomial hashes modulo 2^64: odd bases and a random value for every byte.
 _VALUES = np.random.default_rng(20).integers(1, 1 << 63, (2, 256), np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -83,13 +94,38 @@ def gathered(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return shift + np.arange(len(shift))
 
 
+def kind_cuts(data: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Whether the usual splitting pattern begins a match at a byte, as far as the kinds of bytes tell."""
+    own = kinds[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC5))  # Latin letters up to U+017F, but for two signs
+    lead = lead[(data[lead] != 0xC3) | ((data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7))]
+    own[lead] = own[lead + 1] = _LETTER
+    solid = (own > 0) & (own < _BREAK)
+    cut = np.zeros(len(data), bool)
+    cut[1:] = solid[:-1] & (own[1:] != own[:-1]) & (own[1:] > 0)
+    # Behind one break; of several, the last is a match of its own only if more text follows.
+    cut[2:] |= solid[:-2] & (own[1:-1] == _BREAK) & solid[2:]
+    return cut
+
+
+def distinct_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each and the number of every key among them: ``np.unique`` without its stable sort."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(first) - 1
+    return ordered[first], order[first], which
+
+
 class ChunkEncoder:
     """Ids of texts. ``encode_chunks(data, lengths, spaced)`` encodes chunks that lie end to end in
     ``data`` and returns their ids end to end and the number of ids of each; ``spaced`` tells that every
-    chunk begins with a space."""
+    chunk begins with a space. Given ``kinds`` of bytes, texts are cut between them too."""
 
-    def __init__(self, encode_chunks: Callable, limit: int = MEMO_LIMIT):
-        self.encode_chunks, self.limit = encode_chunks, limit
+    def __init__(self, encode_chunks: Callable, limit: int = MEMO_LIMIT, kinds: np.ndarray | None = None):
+        self.encode_chunks, self.limit, self.kinds = encode_chunks, limit, kinds
         self._powers: list[tuple[np.ndarray, np.ndarray]] = []
         self._forget()
 
@@ -105,6 +141,8 @@ class ChunkEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         cut = np.zeros(n, bool)
         cut[:-1] = (data[:-1] == 32) & _AFTER_CUT[data[1:]]
+        if self.kinds is not None:
+            cut |= kind_cuts(data, self.kinds)
         filled = np.diff(offsets) > 0
         cut[offsets[1:][filled] - 1] = False
         cut[offsets[:-1][filled]] = True
@@ -157,7 +195,7 @@ class ChunkEncoder:
         base = starts[0]
         data, starts, ends = data[base:ends[-1]], starts - base, ends - base
         key, check = self._hashes(data, starts, ends)
-        distinct, at, which = np.unique(key, return_index=True, return_inverse=True)
+        distinct, at, which = distinct_of(key)
         place = self._find(distinct, check[at])
         if len(missing := np.flatnonzero(place < 0)):
             if len(self.keys) and len(self.keys) + len(missing) > self.limit:
@@ -217,10 +255,12 @@ def library_encoder(path: str | None = None) -> ChunkEncoder:
 
     A call for every chunk would cost more than its ids. Chunks that begin with a space are strung
     together, since nothing merges across their borders, and the ids are cut where the bytes of the
-    tokens reach the end of a chunk.
+    tokens reach the end of a chunk. Others are strung together with line breaks between them, if the
+    tokenizer is known to cut there.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     tokenizer = Tokenizer.from_file(path or public_tokenizers.path(BYTE_BPE))
     added = tokenizer.get_added_tokens_decoder()
@@ -232,7 +272,39 @@ def library_encoder(path: str | None = None) -> ChunkEncoder:
     for token, i in vocabulary.items():
         token_bytes[i] = len(token.encode()) if i in added else len(token)
 
+    split, kinds = tokenizer.pre_tokenizer, None
+    usual = tokenizer.normalizer is None and isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space
+    if usual and vocabulary.keys() >= set(ByteLevel.alphabet()):
+        kinds = _KINDS.copy()  # no cut within an added token
+        held = np.frombuffer("".join(t.content for t in added.values()).encode(), np.uint8)
+        kinds[held[kinds[held] != _LETTER]] = 0
+
     def encode_chunks(data: bytes, lengths: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        if spaced or kinds is None or not kinds[10]:
+            return encode_strings(data, lengths, spaced)
+        of, ends = kinds[np.frombuffer(data, np.uint8)], np.cumsum(lengths)
+        solid = (of > 0) & (of < _BREAK)
+        between = solid[ends - lengths] & solid[ends - 1]
+        joined, single = np.flatnonzero(between), np.flatnonzero(~between)
+
+        def bytes_of(own):
+            return np.frombuffer(data, np.uint8)[gathered((ends - lengths)[own], lengths[own])]
+
+        parts = []
+        if len(joined):  # a break behind every chunk, whose id goes again
+            n = lengths[joined]
+            ids, counts = encode_strings(
+                np.insert(bytes_of(joined), np.cumsum(n), 10).tobytes(), np.stack([n, np.ones_like(n)], 1).ravel(), True)
+            parts.append((np.delete(ids, np.cumsum(counts)[1::2] - 1), counts[::2]))
+        if len(single):
+            parts.append(encode_strings(bytes_of(single).tobytes(), lengths[single], False))
+        ids, found = (np.concatenate(x) for x in zip(*parts))
+        starts, counts = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+        order = np.concatenate([joined, single])
+        starts[order], counts[order] = np.cumsum(found) - found, found
+        return ids[gathered(starts, counts)], counts
+
+    def encode_strings(data: bytes, lengths: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum(lengths)
         ends = ends[STRUNG - 1::STRUNG].tolist() if spaced else ends.tolist()
         cuts = [0, *ends, *([len(data)] if not ends or ends[-1] < len(data) else [])]
@@ -246,7 +318,7 @@ def library_encoder(path: str | None = None) -> ChunkEncoder:
         ids = np.concatenate(found)
         return ids, cut_counts(token_bytes[ids], lengths) if spaced else np.asarray([len(f) for f in found])
 
-    return ChunkEncoder(encode_chunks)
+    return ChunkEncoder(encode_chunks, kinds=kinds)
 
 
 def worker_encoder(path: str | None = None) -> ChunkEncoder:

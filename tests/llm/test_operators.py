@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer, models, pre_tokenizers
 
 from longitrack.llm import (
     byte_bpe, fingerprints, host_reputation, html_text, orc_tokens, packing, quadratic_quality, similarity, tokens, toxicity, weak_quality,
@@ -109,6 +109,41 @@ def test_library_calls_take_few_bytes(monkeypatch):
     assert ids.tolist() == real.encode(text, add_special_tokens=False).ids and max(sizes) < 600
 
 
+def test_words_are_learnt_once_whatever_follows_them(tmp_path):
+    words = [f"{a}{b}{c}" for a in ("Foo", "bar", "é", "ß") for b in ("lan", "tör", "mü") for c in ("s", "ç", "end")]
+    signs = [",", ".", ";", "!?", "\n", ".\n", "***", "%", "12", "(x)", "\t", "\r\n", "'s", "...\n\n", "\u0301", "×", "|"]
+    text = "".join(f"{w}{s}{w} {w}{s}" for w in words for s in signs)
+    library = Tokenizer.from_file(public_tokenizers.path(tokens.BYTE_BPE))
+    encoder, learnt = tokens.library_encoder(), []
+    encode = encoder.encode_chunks
+    encoder.encode_chunks = lambda data, lengths, spaced: (learnt.extend(lengths), encode(data, lengths, spaced))[1]
+    ids, _ = encoder.encode(np.frombuffer(text.encode(), np.uint8), np.asarray([0, len(text.encode())]))
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(learnt) < 12 * len(words)  # 17 times as many when a chunk reaches to the next space
+
+    rnd = random.Random(3)
+    pieces = [*"abAZ09.,;!?'|<>-é×÷ß\u0301日\u2028\x0b\x85", "\n", "\n", "\t", "\r", " ", " ", "'s", "'re", "endoftext", "<|endoftext|>", "b1.c", "x\ny"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 40))) for _ in range(3000)]
+    texts = [t for t in texts if not re.search(r"\s {1}(<\|endoftext|b1\.c|x\ny)", t)]  # white space that ends at an added token
+    data, offsets = tokens.text_bytes(pa.array(texts))
+    library.add_tokens([AddedToken(t, normalized=False) for t in ("b1.c", "x\ny")])
+    for own in (Tokenizer.from_file(public_tokenizers.path(tokens.BYTE_BPE)), library):
+        own.save(str(tmp_path / "own.json"))
+        ids, counts = tokens.library_encoder(str(tmp_path / "own.json")).encode(data, offsets)
+        got = np.split(ids, np.cumsum(counts)[:-1])
+        assert [g.tolist() for g in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_unknown_patterns_are_cut_at_spaces_only(tmp_path):
+    vocabulary = {c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))} | {"b.": 256, "b.c": 257}
+    own = Tokenizer(models.BPE(vocab=vocabulary, merges=[("b", "."), ("b.", "c")]))
+    own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    own.save(str(tmp_path / "own.json"))
+    text = "ab.c b.c\nb. ab"
+    ids, _ = tokens.library_encoder(str(tmp_path / "own.json")).encode(np.frombuffer(text.encode(), np.uint8), np.asarray([0, len(text)]))
+    assert ids.tolist() == own.encode(text).ids and 257 in ids
+
+
 def test_orc_tokens(spark, docs, nothing, tmp_path):
     path = str(tmp_path / "tokens")
     orc_tokens.write_tokens(docs, path)
