@@ -22,6 +22,8 @@ import pyarrow as pa
 
 # Most chunks remembered by one Python worker; the memo then starts anew.
 MEMO_LIMIT = 1_500_000
+# The same where texts are also cut between words and signs: fewer chunks then hold as much text.
+WORDS_LIMIT = 1_000_000
 # Bytes of text per row slice, bytes looked up at a time, and bytes hashed at a time. A byte being hashed takes
 # about 70 bytes of memory, powers included.
 SLICE_BYTES = 2 << 20
@@ -318,7 +320,7 @@ def library_encoder(path: str | None = None) -> ChunkEncoder:
         ids = np.concatenate(found)
         return ids, cut_counts(token_bytes[ids], lengths) if spaced else np.asarray([len(f) for f in found])
 
-    return ChunkEncoder(encode_chunks, kinds=kinds)
+    return ChunkEncoder(encode_chunks, MEMO_LIMIT if kinds is None else WORDS_LIMIT, kinds)
 
 
 def worker_encoder(path: str | None = None) -> ChunkEncoder:
